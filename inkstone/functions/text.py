@@ -15,6 +15,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim_ws(c: Column | str) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(col(c), r"(?U)^\s++|(?<!\s)\s++\z", "")
@@ -110,10 +115,12 @@ def heading_name(c: Column | str) -> Column:
 
 def separate_headings(c: Column | str) -> Column:
     """A blank line after each line that looks like a heading and is followed by text."""
-    lines = F.split(F.coalesce(col(c), F.lit("")), "\n", -1)
-    pairs = F.arrays_zip(lines.alias("line"), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))).alias("next"))
-    spaced = F.transform(pairs, lambda p: F.when(is_heading(p["line"]) & p["next"].rlike(r"(?U)\S"), F.concat(p["line"], F.lit("\n"))).otherwise(p["line"]))
-    return F.array_join(spaced, "\n")
+
+    def spaced(lines: Column) -> Column:
+        follows = lambda i: F.coalesce(F.get(lines, i + 1).rlike(r"(?U)\S"), F.lit(False))
+        return F.array_join(F.transform(lines, lambda x, i: F.when(follows(i) & is_heading(x), F.concat(x, F.lit("\n"))).otherwise(x)), "\n")
+
+    return let(F.split(F.coalesce(col(c), F.lit("")), "\n", -1), spaced)
 
 
 def truncate(c: Column | str, most: Column | int) -> Column:

@@ -170,9 +170,8 @@ def key_facts(docs: DataFrame, max_facts: int = 10, *, hints: H.Hints = None, hi
     else:
         # without hints the first candidate stays even where the quota is zero
         chosen = _keep(F.col("plain"), none, F.lit(max(1, max_facts)))["chosen"]
-    kept = packed.withColumn("chosen", chosen)
-    byplace = F.array_sort(F.transform(F.filter("plain", lambda x: F.array_contains(F.col("chosen"), x["sent_idx"])), lambda x: F.struct(x["sent_idx"].alias("i"), x["sentence"].alias("t"))))
-    kept = kept.select(F.col(id_col).alias("_of"), F.transform(byplace, lambda x: x["t"]).alias("k"))
+    text_of = lambda i: F.get(F.filter("plain", lambda x: x["sent_idx"] == i), F.lit(0))["sentence"]
+    kept = packed.select(F.col(id_col).alias("_of"), F.transform(F.array_sort(chosen), text_of).alias("k"))
     return docs.select(id_col).join(kept, F.col(id_col) == F.col("_of"), "left").select(id_col, F.coalesce("k", F.array().cast("array<string>")).alias("key_facts"))
 
 

@@ -43,8 +43,11 @@ def weave(s: Column, chosen: Column, headings: Column, names: Column, start: Col
     stands above. Returns (body, pinned); without any pin the plain body where
     ``on_empty`` gives it."""
 
-    def step(state: Column, i: Column) -> Column:
+    def step(state: Column, i: Column, headings: Column, names: Column) -> Column:
         above = F.array_max(F.filter(headings, lambda h: h <= i))
+        return X.let(above, lambda above: placed(state, i, above, headings, names))
+
+    def placed(state: Column, i: Column, above: Column, headings: Column, names: Column) -> Column:
         new = above.isNotNull() & ~F.array_contains(state["seen"], above)
         name = F.get(names, F.array_position(headings, above).cast("int") - 1)
         text = F.get(s, i)["sentence"]
@@ -56,13 +59,16 @@ def weave(s: Column, chosen: Column, headings: Column, names: Column, start: Col
             ).cast(LINES),
         ).otherwise(F.struct(state["out"].alias("out"), F.concat(state["buf"], F.array(text)).alias("buf"), state["seen"].alias("seen"), state["pinned"].alias("pinned")).cast(LINES))
 
+    def fold(headings: Column, names: Column) -> Column:
+        return F.aggregate(F.array_sort(chosen), start, lambda state, i: step(state, i, headings, names), finish)
+
     def finish(state: Column) -> Column:
         body = F.array_join(_flush(state), "\n")
         if on_empty is not None:
             body = F.when(F.size(state["pinned"]) > 0, body).otherwise(on_empty)
         return F.struct(body.alias("body"), state["pinned"].alias("pinned"))
 
-    return F.aggregate(F.array_sort(chosen), start, step, finish)
+    return X.let(headings, lambda headings: X.let(names, lambda names: fold(headings, names)))
 
 
 def keep_headings(s: Column, chosen: Column) -> Column:
@@ -92,16 +98,23 @@ def given_headings(s: Column, chosen: Column, headings: Sequence[str]) -> Column
         lambda got, h: F.concat(got, F.array(F.coalesce(F.get(F.transform(F.filter(s, lambda x: (X.trim_ws(x["sentence"]) == X.trim_ws(h)) & ~F.array_contains(got, x["sent_idx"])), lambda x: x["sent_idx"]), F.lit(0)), F.lit(-1)))),
     )
     pairs = F.zip_with(claim, wanted, lambda i, h: F.struct(i.alias("at"), h.alias("name")))
+    return X.let(pairs, lambda pairs: _given(s, chosen, pairs, wanted, len(own)))
+
+
+def _given(s: Column, chosen: Column, pairs: Column, wanted: Column, n: int) -> Column:
     matched = F.array_sort(F.filter(pairs, lambda p: p["at"] >= 0))
     places, names = F.transform(matched, lambda p: p["at"]), F.transform(matched, lambda p: p["name"])
-    rest = F.transform(F.filter(F.slice(pairs, 2, max(len(own) - 1, 0)), lambda p: p["at"] < 0), lambda p: p["name"])
+    rest = F.transform(F.filter(F.slice(pairs, 2, max(n - 1, 0)), lambda p: p["at"] < 0), lambda p: p["name"])
     head = F.concat(F.slice(wanted, 1, 1), rest)
     first = F.filter(F.transform(F.slice(pairs, 1, 1), lambda p: p["at"]), lambda i: i >= 0)
     start = F.struct(head.alias("out"), F.array().cast("array<string>").alias("buf"), first.alias("seen"), head.alias("pinned")).cast(LINES)
-    woven = weave(s, chosen, places, names, start, None)
-    late = F.filter(wanted, lambda h: ~F.array_contains(woven["pinned"], h))
-    body = F.array_join(F.concat(F.when(woven["body"] == "", F.array().cast("array<string>")).otherwise(F.array(woven["body"])), late), "\n")
-    return F.struct(body.alias("body"), F.concat(woven["pinned"], late).alias("pinned"))
+
+    def finished(woven: Column) -> Column:
+        late = F.filter(wanted, lambda h: ~F.array_contains(woven["pinned"], h))
+        body = F.array_join(F.concat(F.when(woven["body"] == "", F.array().cast("array<string>")).otherwise(F.array(woven["body"])), late), "\n")
+        return F.struct(body.alias("body"), F.concat(woven["pinned"], late).alias("pinned"))
+
+    return X.let(weave(s, chosen, places, names, start, None), finished)
 
 
 def toc_of_given(headings: Sequence[str]) -> Column:

@@ -50,11 +50,11 @@ def _coverage(df: DataFrame) -> DataFrame:
 
     The k-th of equal sentences belongs to the k-th paragraph that contains it.
     """
-    df = df.withColumn("paras", F.transform(X.split_paragraphs("text"), lambda p, i: F.struct(i.alias("i"), p.alias("p"))))
+    paras = F.transform(X.split_paragraphs("text"), lambda p, i: F.struct(i.alias("i"), p.alias("p")))
     same = lambda x: F.size(F.filter("s", lambda y: (y["sentence"] == x["sentence"]) & (y["sent_idx"] < x["sent_idx"])))
-    para = lambda x: F.get(F.filter("paras", lambda p: p["p"].contains(x["sentence"])), same(x))["i"]
-    placed = F.transform("s", lambda x: F.struct(para(x).alias("para"), (-x["composite"]).alias("by"), x["sent_idx"].alias("sent_idx"), (F.length(x["sentence"]) + 1).alias("cost"), x["heading"].alias("heading")))
-    df = df.withColumn("placed", F.filter(placed, lambda x: ~x["heading"] & x["para"].isNotNull()))
+    para = lambda paras, x: F.get(F.filter(paras, lambda p: p["p"].contains(x["sentence"])), same(x))["i"]
+    placed = lambda paras: F.transform("s", lambda x: F.struct(para(paras, x).alias("para"), (-x["composite"]).alias("by"), x["sent_idx"].alias("sent_idx"), (F.length(x["sentence"]) + 1).alias("cost"), x["heading"].alias("heading")))
+    df = df.withColumn("placed", F.filter(X.let(paras, placed), lambda x: ~x["heading"] & x["para"].isNotNull()))
     # sorted by paragraph, score and place, the first of each paragraph is its best
     df = df.withColumn("placed", F.array_sort("placed"))
     df = df.withColumn("best", F.filter("placed", lambda x, i: F.coalesce(F.get(F.col("placed"), i - 1)["para"] != x["para"], F.lit(True))))
