@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embed_hnsw, html_blocks, langid, linededup, packing, pii, secrets, simhash, warc
+from . import decontam, embed_hnsw, html_blocks, langid, linededup, oracle, packing, pii, secrets, simhash, warc
 from .shared import table
 
 
@@ -67,7 +67,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digest(pii.personal_data(table(spark, sf_dir, "documents", "doc_id", "text")))
+    return pii.digest(pii.personal_data(table(spark, sf_dir, "documents", "doc_id", "text"))).drop("top_score")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -75,4 +75,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_simhash, op2_packing, op3_merkle_fixity, op4_html_extraction, op5_line_dedup, op6_embedding_dedup, op7_language_id, op8_decontamination, op9_secrets, op10_pii)
 }
 
-ORACLE: dict[str, str] = {}
+#: The others hash, tokenise, lex or learn beyond SQL; tests hold them to brute force.
+ORACLE: dict[str, str] = {
+    "op3_merkle_fixity": oracle.merkle_fixity(),
+    "op5_line_dedup": oracle.line_dedup(),
+    "op6_embedding_dedup": oracle.embedding_dedup(),
+    "op8_decontamination": oracle.decontamination(),
+    "op10_pii": oracle.personal_data(),
+}
