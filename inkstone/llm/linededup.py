@@ -155,8 +155,11 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = texts.select("f", "t")
     both = pairs.join(whole, "f").join(whole.select(F.col("f").alias("f2"), F.col("t").alias("t2")), "f2")
     near = both.select("f", "t", "t2").mapInPandas(_verified, "f long")
-    verdict = once.join(near.distinct().withColumn("near", F.lit(True)), "f", "left").select(F.col("f").alias("g"), F.struct(*_place()).alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
-    gone = lines.select("doc", "th", "line", "f").join(verdict, F.col("f") == F.col("g")).where(F.col("near") | (F.struct(*_place()) > F.col("first")))
+    here = lines.select("doc", "th", "line", "f")
+    # two joins of plain exchanges: adaptive execution can split a hot line's partition
+    first = once.select(F.col("f").alias("g"), F.struct(*_place()).alias("first"))
+    later = here.join(first, F.col("f") == F.col("g")).where(F.struct(*_place()) > F.col("first")).select(*_place())
+    gone = later.union(here.join(near.distinct(), "f", "left_semi").select(*_place()))
     out = written(gone.groupBy("doc", "th").agg(F.collect_set("line").alias("lines")))
     for done in (once, texts, lines):
         forget(done)
