@@ -46,8 +46,9 @@ def clean_text(c: Column | str) -> Column:
         (r"_{1,3}", ""),
         (r"(?mUd)^#{1,6}\s*", ""),
         (r"(?mUd)^-{3,}$", ""),
-        (r"(?mUd)^\s*[-*+]\s+", ""),
-        (r"(?mUd)^\s*\d+\.\s+", ""),
+        # after an empty line the line before it was tried already, with the same end
+        (r"(?mUd)(?<!\n\n)^\s*+[-*+]\s+", ""),
+        (r"(?mUd)(?<!\n\n)^\s*+\d+\.\s+", ""),
         (rf"(?iU)\b(?:{P.FILLER_PHRASES})\b", ""),
         (rf"(?iU)\b(?:{P.FILLER_WORDS})\b", ""),
         *((f"(?iU){p}", "") for p in P.CRM_LINES),
