@@ -97,7 +97,7 @@ def _variants(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows.append(np.full(2 * len(same) + 1, i))
             if len(rows) == 1_000 or i == len(frame) - 1:
                 of = frame.iloc[np.concatenate(rows)]
-                yield pd.DataFrame({"key": np.concatenate(keys), "role": np.concatenate(roles), "doc": of["doc"].to_numpy(), "th": of["th"].to_numpy(), "line": of["line"].to_numpy(), "f": of["f"].to_numpy()})
+                yield pd.DataFrame({"key": np.concatenate(keys), "role": np.concatenate(roles), "doc": of["doc"].to_numpy(), "line": of["line"].to_numpy(), "f": of["f"].to_numpy()})
                 keys, roles, rows = [], [], []
 
 
@@ -126,7 +126,8 @@ def _verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _place() -> list[Column]:
-    return [F.col("doc"), F.col("th"), F.col("line")]
+    """What lines are ordered by; the hash of the text decides only between rows that share an id."""
+    return [F.col("doc"), F.col("line"), F.col("th")]
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,8 +144,8 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     going = once.join(going, "f", "left_semi").select("f", *_place())
     exploded = named.select("doc", "th", F.posexplode(F.split("t", "\n")).alias("line", "t"))
     texts = written(exploded.join(going, ["doc", "th", "line"]).dropDuplicates(["f"]).select("f", *_place(), "t"))
-    variants = texts.mapInPandas(_variants, "key long, role byte, doc long, th long, line int, f long")
-    at = F.struct(*_place(), F.col("f"))
+    variants = texts.mapInPandas(_variants, "key long, role byte, doc long, line int, f long")
+    at = F.struct("doc", "line", "f")
     earliest = variants.groupBy("key").agg(
         *(F.min(F.when(F.col("role") == r, at)).alias(name) for r, name in ((SAME, "same"), (LONGER, "longer"), (WHOLE, "whole"))), F.count("*").alias("n")
     )
