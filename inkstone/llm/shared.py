@@ -10,6 +10,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's setting to remove a query's shuffle files when it has ended: what it
+#: computed is in the written table, and nothing reads those files again.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: UTF-8 bytes; every byte that is not an ASCII upper-case letter maps to itself.
 LOWER_AZ = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -36,7 +40,12 @@ def written(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     goes when the JVM ends; ``forget`` deletes it earlier."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/inkstone/{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.partitionBy(*partition_by).parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
     again = spark.read.schema(df.schema).parquet(path)
