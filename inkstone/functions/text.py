@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from . import patterns as P
 
 _NUL = "\x00"
+# The characters that count as white space, as a set and as a pattern class.
+SPACES = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_S = r"[ \t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 STRINGS = "array<string>"
 
 
@@ -22,16 +25,16 @@ def let(value: Column, body) -> Column:
 
 def trim_ws(c: Column | str) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(col(c), r"(?U)^\s++|(?<!\s)\s++\z", "")
+    return F.btrim(col(c), F.lit(SPACES))
 
 
 def fold_ws(c: Column | str) -> Column:
     """Every run of white space one space, none at the ends."""
-    return trim_ws(F.regexp_replace(col(c), r"(?U)\s+", " "))
+    return trim_ws(F.regexp_replace(col(c), f"{_S}+", " "))
 
 
 def is_blank(c: Column) -> Column:
-    return ~c.rlike(r"(?U)\S")
+    return trim_ws(c) == ""
 
 
 def strip_think(c: Column | str) -> Column:
@@ -66,16 +69,18 @@ def clean_text(c: Column | str) -> Column:
 def _masked(c: Column) -> Column:
     """Periods that end no sentence become NUL: in numbers, after ``No`` before a
     number, and after a known abbreviation that is a whole dotted word."""
-    short = "|".join(a.replace(".", r"\.") for a in P.ABBREVIATIONS)
+    short = "|".join("".join(rf"\." if ch == "." else f"[{ch.upper()}{ch}]" for ch in a) for a in P.ABBREVIATIONS)
+    first = "".join(sorted({a[0].upper() + a[0] for a in P.ABBREVIATIONS}))
     out = F.translate(c, _NUL, "")
-    out = F.regexp_replace(out, r"(?U)(\d)\.(\d)", f"$1{_NUL}$2")
-    out = F.regexp_replace(out, r"(?U)\bNo\.(?=\s*\d)", f"No{_NUL}")
-    return F.regexp_replace(out, rf"(?Ud)(?<!\b[A-Za-z]{{1,40}}\.)\b((?i:{short}))\.(?![A-Za-z]+\.)", f"$1{_NUL}")
+    out = F.regexp_replace(out, r"(\p{Nd})\.(\p{Nd})", f"$1{_NUL}$2")
+    out = F.regexp_replace(out, rf"No(?<=(?U:\b)No)\.(?={_S}*\p{{Nd}})", f"No{_NUL}")
+    # cheap tests first: an initial, then the word, and only then what stands before it
+    return F.regexp_replace(out, rf"(?=[{first}])(?U:\b)(?=(?:{short})\.)(?<!(?U:\b)[A-Za-z]{{1,40}}\.)({short})\.(?![A-Za-z]+\.)", f"$1{_NUL}")
 
 
 def split_sentences(c: Column | str) -> Column:
     """Sentences of a text in order; null and empty texts have none."""
-    parts = F.split(_masked(F.coalesce(col(c), F.lit(""))), r"(?U)(?<=[.!?])\s+(?=[A-Z])|\n\s*\n", -1)
+    parts = F.split(_masked(F.coalesce(col(c), F.lit(""))), rf"(?<=[.!?]){_S}+(?=[A-Z])|\n{_S}*\n", -1)
     kept = F.filter(F.transform(parts, trim_ws), lambda s: s != "")
     return F.transform(kept, lambda s: F.translate(s, _NUL, "."))
 
@@ -83,13 +88,13 @@ def split_sentences(c: Column | str) -> Column:
 def split_lines_to_sentences(c: Column | str) -> Column:
     """The splitter of keyword extraction: line ends count as periods, and what
     has 20 characters or fewer is left out."""
-    parts = F.split(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"\n+", ". "), r"(?U)(?<=[.!?])\s+", -1)
+    parts = F.split(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"\n+", ". "), rf"(?<=[.!?]){_S}+", -1)
     return F.filter(F.transform(parts, trim_ws), lambda s: F.length(s) > 20)
 
 
 def split_paragraphs(c: Column | str, least: int = 20) -> Column:
     """Blank-line paragraphs of at least ``least`` characters."""
-    parts = F.split(F.coalesce(col(c), F.lit("")), r"(?U)\n\s*\n+", -1)
+    parts = F.split(F.coalesce(col(c), F.lit("")), rf"\n{_S}*\n+", -1)
     return F.filter(F.transform(parts, trim_ws), lambda s: F.length(s) >= least)
 
 
@@ -118,7 +123,7 @@ def separate_headings(c: Column | str) -> Column:
     """A blank line after each line that looks like a heading and is followed by text."""
 
     def spaced(lines: Column) -> Column:
-        follows = lambda i: F.coalesce(F.get(lines, i + 1).rlike(r"(?U)\S"), F.lit(False))
+        follows = lambda i: F.coalesce(trim_ws(F.get(lines, i + 1)) != "", F.lit(False))
         return F.array_join(F.transform(lines, lambda x, i: F.when(follows(i) & is_heading(x), F.concat(x, F.lit("\n"))).otherwise(x)), "\n")
 
     return let(F.split(F.coalesce(col(c), F.lit("")), "\n", -1), spaced)
@@ -158,7 +163,7 @@ def letter_words(c: Column | str) -> Column:
 
 def word_count(c: Column | str) -> Column:
     """Words between white space."""
-    return F.regexp_count(col(c), F.lit(r"(?U)\S+"))
+    return F.regexp_count(col(c), F.lit(f"[^{_S[1:]}+"))
 
 
 def polarity(c: Column | str) -> Column:

@@ -114,3 +114,16 @@ def test_sentences_random(spark):
     for text, got in zip(texts, apply(spark, X.split_sentences, texts)):
         assert all(s.strip() == s and s for s in got)
         assert "".join("".join(got).split()) == "".join(text.split())
+
+
+def test_sql_functions(spark):
+    from inkstone.functions import sql
+
+    names = sql.register(spark, "ink_")
+    texts = ["## A title", "Dr. No grew 3.5 percent. It ended.\n\nNew part of the text goes here", "", "<think>a</think> **b** R&D: x", "The cats sat."]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").createOrReplaceTempView("ink_texts")
+    other = {**sql.SCALARS, "text_terms": X.tokens, "split_sentences": X.split_sentences, "split_paragraphs": X.split_paragraphs, "trim_text": X.trim_ws}
+    assert {n.removeprefix("ink_") for n in names} == set(other)
+    for name in names:
+        got = [r.x for r in spark.sql(f"select i, {name}(t) as x from ink_texts order by i").collect()]
+        assert got == apply(spark, other[name.removeprefix("ink_")], texts), name
