@@ -98,13 +98,17 @@ def split_paragraphs(c: Column | str, least: int = 20) -> Column:
     return F.filter(F.transform(parts, trim_ws), lambda s: F.length(s) >= least)
 
 
+# four runs of three letters; what lies between them is passed over without going back
+_FOUR_WORDS = r"^(?:(?:[^A-Za-z]++|[A-Za-z]{1,2}+(?![A-Za-z]))*+[A-Za-z]{3,}+){4}"
+
+
 def is_structural_heading(c: Column | str) -> Column:
     return col(c).rlike(f"(?Ud){P.HEADING}") & ~is_blank(col(c))
 
 
 def is_heading(c: Column | str) -> Column:
     """A structural heading, or any text with fewer than four words of three letters."""
-    return ~is_blank(col(c)) & (col(c).rlike(f"(?Ud){P.HEADING}") | (F.regexp_count(col(c), F.lit("[A-Za-z]{3,}")) < 4))
+    return ~is_blank(col(c)) & (~col(c).rlike(_FOUR_WORDS) | col(c).rlike(f"(?Ud){P.HEADING}"))
 
 
 def heading_depth(c: Column | str) -> Column:

@@ -35,10 +35,12 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(id_col, F.posexplode(X.split_paragraphs(text_col, least)).alias("para_idx", "paragraph"))
 
 
-def _split(docs: DataFrame, id_col: str, text_col: str, separate: bool) -> DataFrame:
-    """(id, text, sents), dealt out by id."""
-    dealt = docs.select(id_col, F.col(text_col).alias("text")).repartition(id_col)
-    return dealt.select(id_col, "text", X.split_sentences(X.separate_headings("text") if separate else "text").alias("sents"))
+def _split(docs: DataFrame, id_col: str, text_col: str, separate: bool, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, text, sents) and ``carry``, dealt out by id. Sentences are split
+    before that: what reads the exchange again does not split again."""
+    text = F.col(text_col)
+    split = docs.select(id_col, text.alias("text"), *carry, X.split_sentences(X.separate_headings(text) if separate else text).alias("sents"))
+    return split.repartition(id_col)
 
 
 def _term_scores(sents: DataFrame, id_col: str) -> DataFrame:
@@ -71,30 +73,39 @@ def length_raw(words: Column) -> Column:
     return F.when(words < 10, words / 10.0).when(words <= 30, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - (words - 30) / 50.0))
 
 
-def scored_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separate: bool = False) -> DataFrame:
-    """One row per document: id, text, and ``s``, its sentences in order with
+def scored_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separate: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: id, text, the columns in ``carry``, and ``s``, its sentences in order with
     sent_idx, sentence, tfidf, position, length, composite (0.60, 0.25 and 0.15
     of these), words and heading. Documents without sentences have an empty ``s``."""
-    sents = _split(docs, id_col, text_col, separate)
-    every = sents.select(id_col, F.posexplode("sents").alias("sent_idx", "sentence"))
-    scored = every.join(_term_scores(sents, id_col), [id_col, "sent_idx"], "left")
-    words = X.word_count("sentence")
-    row = F.struct("sent_idx", "sentence", F.coalesce("raw", F.lit(0.0)).alias("raw"), words.alias("words"), length_raw(words).alias("long"), X.is_heading("sentence").alias("heading"))
-    packed = scored.groupBy(id_col).agg(F.array_sort(F.collect_list(row)).alias("s"), F.max("raw").alias("top"), F.max(length_raw(words)).alias("top_long"), F.count("*").alias("n"))
-    packed = packed.select(F.col(id_col).alias("_id"), "s", F.coalesce("top", F.lit(0.0)).alias("top"), "top_long", "n")
-
-    def final(x: Column) -> Column:
-        t = F.when(F.col("top") > 0, x["raw"] / F.col("top")).otherwise(0.0)
-        p = position(x["sent_idx"], F.col("n"))
-        q = F.when(F.col("top_long") > 0, x["long"] / F.col("top_long")).otherwise(0.0)
-        return F.struct(
-            x["sent_idx"].alias("sent_idx"), x["sentence"].alias("sentence"), t.alias("tfidf"), p.alias("position"), q.alias("length"),
-            F.round(0.60 * t + 0.25 * p + 0.15 * q, DECIMALS).alias("composite"), x["words"].alias("words"), x["heading"].alias("heading"),
-        )
-
-    finished = packed.select("_id", F.transform("s", final).alias("s"))
-    empty = F.array().cast(finished.schema["s"].dataType)
-    return sents.select(id_col, "text").join(finished, F.col(id_col) == F.col("_id"), "left").select(id_col, "text", F.coalesce("s", empty).alias("s"))
+    sents = _split(docs, id_col, text_col, separate, carry)
+    terms = _term_scores(sents, id_col).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("sent_idx", "raw"))).alias("raws"), F.max("raw").alias("top"))
+    terms = terms.select(F.col(id_col).alias("_of"), "raws", "top")
+    # scores come back as one array a document; sentences without terms are filled in as zero
+    measured = F.transform("sents", lambda t, i: X.let(X.word_count(t), lambda w: F.struct(i.alias("sent_idx"), t.alias("sentence"), w.alias("words"), length_raw(w).alias("long"), X.is_heading(t).alias("heading"))))
+    rows = sents.select(id_col, "text", *carry, measured.alias("m")).join(terms, F.col(id_col) == F.col("_of"), "left")
+
+    def finished(d: Column) -> Column:
+        def final(x: Column, raw: Column) -> Column:
+            t = F.when(d["top"] > 0, raw / d["top"]).otherwise(0.0)
+            q = F.when(d["top_long"] > 0, x["long"] / d["top_long"]).otherwise(0.0)
+            p = position(x["sent_idx"], F.size("m"))
+            composite = F.round(0.60 * t + 0.25 * p + 0.15 * q, DECIMALS)
+            return F.struct(x["sent_idx"].alias("sent_idx"), x["sentence"].alias("sentence"), t.alias("tfidf"), p.alias("position"), q.alias("length"), composite.alias("composite"), x["words"].alias("words"), x["heading"].alias("heading"))
+
+        return F.zip_with("m", d["dense"], final)
+
+    of_document = F.struct(F.coalesce("top", F.lit(0.0)).alias("top"), F.array_max(F.transform("m", lambda x: x["long"])).alias("top_long"), _dense("raws", F.size("m")).alias("dense"))
+    return rows.select(id_col, "text", *carry, X.let(of_document, finished).alias("s"))
+
+
+def _dense(raws: str, n: Column) -> Column:
+    """Scores of the places 0 to ``n`` - 1 from (sent_idx, raw) in order: runs
+    of zeros are put in where places are missing."""
+    zeros = lambda k: F.array_repeat(F.lit(0.0), k)
+    have = F.coalesce(raws, F.array().cast("array<struct<sent_idx:int,raw:double>>"))
+    parts = F.transform(have, lambda x, i: F.concat(zeros(x["sent_idx"] - F.coalesce(F.get(F.col(raws), i - 1)["sent_idx"], F.lit(-1)) - 1), F.array(x["raw"])))
+    last = F.coalesce(F.element_at(F.col(raws), -1)["sent_idx"], F.lit(-1))
+    return F.concat(F.flatten(parts), zeros(n - last - 1))
 
 
 def sections(s: Column) -> Column:

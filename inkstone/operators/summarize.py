@@ -112,7 +112,7 @@ def summarize(
     budget = F.lit(max_length) if isinstance(max_length, int) else max_length
     base = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"), budget.cast("int").alias("budget"))
     separate = bool(prepared) or mode == "default"
-    df = scored_documents(base, id_col, "text", separate).join(base.select(F.col(id_col).alias("_of"), "budget"), F.col(id_col) == F.col("_of")).drop("_of")
+    df = scored_documents(base, id_col, "text", separate, carry=("budget",))
     n, text = F.size("s"), F.col("text")
     cut = X.truncate(text, F.col("budget"))
     if prepared or mode != "coverage":
