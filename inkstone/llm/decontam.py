@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import sha_of
+from .shared import bounded_batches, sha_of
 
 #: Words of a window, and the share of hit words (one in so many) that contaminates.
 WINDOW, ONE_IN = 13, 20
@@ -120,7 +120,7 @@ def with_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         state = _search(sent, window)(docs[text_col], state)
-    made = docs.select(*(docs[c] for c in docs.columns), state.alias("_decontam_state"))
+    made = bounded_batches(docs).select(*(docs[c] for c in docs.columns), state.alias("_decontam_state"))
     at = F.col("_decontam_state")
     contaminated = (at["n_hit"] > 0) & (ONE_IN * at["n_hit"] >= at["n_words"])
     out = F.struct(at["n_words"].alias("n_words"), at["n_hit"].alias("n_hit"), F.size(at["items"]).cast("long").alias("n_items"), at["items"].alias("items"), sha_of(at["items"]).alias("items_sha256"), contaminated.alias("contaminated"))

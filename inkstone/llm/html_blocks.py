@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
+
 #: Widths of the hashed tag path and words, other measures, cells of a direction.
 PATH, WORDS, MEASURES, CELLS = 96, 32, 8, 24
 #: Pages to train on, rounds over them, pages in a step; blocks labelled together.
@@ -332,5 +334,5 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 texts = ["\n".join(b.text for b, c in zip(f, k) if c) for f, k in zip(found, chosen)]
                 yield pd.DataFrame({"page_id": part["id"].astype("Int64").to_numpy(), "url": part["u"].to_numpy(), "text": texts, "n_chars": list(map(len, texts)), "n_blocks": list(map(len, found)), "n_main": [int(k.sum()) for k in chosen]})
 
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("u"), F.col(html_col).alias("h"))
+    rows = bounded_batches(pages).select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("u"), F.col(html_col).alias("h"))
     return rows.mapInPandas(of, "page_id long, url string, text string, n_chars long, n_blocks long, n_main long")

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .shared import bounded_batches
+
 #: Documents of each language from which the tables are learned, at most:
 #: those whose hashed ids are the smallest, so the choice follows no order.
 SAMPLE = 400
@@ -130,7 +132,7 @@ def with_language(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col
                 rows.append((names[order[0]], min(1.0, float(share[order[0]])), ",".join(names[i] for i in order), float(share[-1])))
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "langs", "background"])
 
-    return docs.select(*(docs[c] for c in docs.columns), F.pandas_udf(of, "lang_pred string, score double, langs string, background double")(docs[text_col]).alias(name))
+    return bounded_batches(docs).select(*(docs[c] for c in docs.columns), F.pandas_udf(of, "lang_pred string, score double, langs string, background double")(docs[text_col]).alias(name))
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import forget, written
+from .shared import bounded_batches, forget, written
 
 #: Words from which on a line is compared, so that one word is at most a fifth.
 MIN_WORDS = 5
@@ -135,7 +135,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     row that has any. ``doc`` is the id (the largest long for null), ``th`` a
     hash of the text; together they name a row, so repeated rows share a result.
     """
-    named = _named(docs, id_col, text_col)
+    named = _named(bounded_batches(docs), id_col, text_col)
     lines = written(named.where("t is not null").mapInPandas(_lines, "doc long, th long, line int, f long, keys array<long>"))
     once = written(lines.groupBy("f").agg(F.min(F.struct(*_place())).alias("first"), F.any_value("keys").alias("keys")).select("f", "first.*", "keys"))
     keyed = once.select("f", F.explode("keys").alias("k"))

@@ -19,14 +19,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import union_all, written
+from .shared import bounded_batches, union_all, written
 
 #: The id after the last one of each document.
 END = 2
 #: Leftover windows merged by one task in one round.
 FAN_IN = 32
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ROWS = f"{_PIECE}, part long, ids binary, pieces array<struct<doc_id: long, start: long, length: long, doc_tokens: long>>"
@@ -234,7 +234,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
 
         return of
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     now = written(rows.mapInPandas(first, _ROWS))
     out, level = [now.where("part is null")], 1
     while True:

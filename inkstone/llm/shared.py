@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: computed is in the written table, and nothing reads those files again.
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Rows of an Arrow batch of texts.
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
+
 #: UTF-8 bytes; every byte that is not an ASCII upper-case letter maps to itself.
 LOWER_AZ = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -34,6 +37,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, after the session's Arrow batches are made small enough for long
+    texts: Python workers and the JVM each hold a batch at a time."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        conf.set(BATCH_SETTING, BATCH_ROWS)
+    return df
+
+
 def written(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """``df`` computed once, written as Parquet to the shared folder, and read
     again: cuts the lineage, and any executor can be lost afterwards. The folder
