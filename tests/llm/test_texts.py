@@ -18,6 +18,10 @@ from inkstone.llm.queries import QUERIES
 DOCS = "doc_id long, text string, spans string, n_hit int"
 
 
+#: The smallest table has no secrets and little personal data; the next one has.
+LARGER = "/root/testdata/sf0.01"
+
+
 def docs(spark, rows):
     return spark.createDataFrame([(d, t, "x", 1) for d, t in rows], DOCS)
 
@@ -232,9 +236,9 @@ def slow_secrets(text):
     return (*n, hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest())
 
 
-def test_secrets_query(spark, sf_dir):
-    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in QUERIES["op9_secrets"](spark, sf_dir).collect()}
-    want = {r.doc_id: slow_secrets(r.text) for r in table(spark, sf_dir, "documents").collect()}
+def test_secrets_query(spark):
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in QUERIES["op9_secrets"](spark, LARGER).collect()}
+    want = {r.doc_id: slow_secrets(r.text) for r in table(spark, LARGER, "documents").collect()}
     assert got == want and any(sum(w[:3]) for w in want.values())
 
 
@@ -276,9 +280,9 @@ def pii_fields(r):
     return r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256
 
 
-def test_pii_query(spark, sf_dir):
-    got = {r.doc_id: pii_fields(r) for r in QUERIES["op10_pii"](spark, sf_dir).collect()}
-    want = {r.doc_id: slow_pii(r.text) for r in table(spark, sf_dir, "documents").collect()}
+def test_pii_query(spark):
+    got = {r.doc_id: pii_fields(r) for r in QUERIES["op10_pii"](spark, LARGER).collect()}
+    want = {r.doc_id: slow_pii(r.text) for r in table(spark, LARGER, "documents").collect()}
     assert got == want and any(sum(w[:4]) for w in want.values())
 
 
