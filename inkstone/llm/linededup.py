@@ -2,14 +2,17 @@
 
 The symbols are words. A line of at least ``MIN_WORDS`` words is a duplicate
 if an earlier line (by document id, then place) is at an edit distance of at
-most one word. Equal lines meet in one aggregation. For the others, two lines
+most one word. With ``short_lines``, every other line that is not blank is one
+if an earlier line has the same words; of those, lines of ``MIN_CHARS``
+characters and more have characters for symbols and are compared within one
+edit, too. Equal lines meet in one aggregation. For the others, two lines
 within the bound share the first or the last half of their words, so only lines
 that share such a half with a different line go on; this screen loses nothing.
 The rest emit their deletion variants as hashed keys: a substitution leaves
 equal variants with the same place deleted, an insertion makes a variant of the
 longer line equal to the shorter line. For each key the earliest line of either
 role is kept by aggregation, never the pairs. Each line's earliest partner is
-then verified by edit distance over the words themselves.
+then verified by edit distance over the symbols themselves.
 """
 
 from __future__ import annotations
@@ -25,6 +28,11 @@ from .shared import bounded_batches, forget, written
 
 #: Words from which on a line is compared, so that one word is at most a fifth.
 MIN_WORDS = 5
+#: Characters from which on a line of fewer words is compared by characters:
+#: long addresses, encoded data and scripts without spaces, not names or dates.
+MIN_CHARS = 40
+#: Variant keys of a batch.
+BATCH_KEYS = 200_000
 #: Roles of a variant key: same place deleted, variant of a longer line, whole line.
 SAME, LONGER, WHOLE = 0, 1, 2
 _STEP = 0x9E3779B97F4A7C15
@@ -35,6 +43,15 @@ def line_words(line: str) -> list[str]:
     return line.lower().split()
 
 
+def line_symbols(words: list[str]) -> list[str]:
+    """What a line is compared by within one edit: its words, its characters
+    (marked by a space, which no word holds) or nothing."""
+    if len(words) >= MIN_WORDS:
+        return words
+    text = " ".join(words)
+    return [f" {c}" for c in text] if len(text) >= MIN_CHARS else []
+
+
 def _half_sizes(n: int) -> set[int]:
     """Words of the shared half, for partners as long or one word longer;
     rounded down so that neighbouring lengths agree."""
@@ -56,17 +73,21 @@ def _screen_keys(words: list[str]) -> list[int]:
     return keys
 
 
-def _lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from xxhash import xxh64_intdigest as digest
+def _lines(least: int):
+    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xxhash import xxh64_intdigest as digest
 
-    for frame in frames:
-        rows = []
-        for doc, th, text in zip(frame["doc"], frame["th"], frame["t"]):
-            for number, line in enumerate(text.split("\n")):
-                words = line_words(line)
-                if len(words) >= MIN_WORDS:
-                    rows.append((doc, th, number, _signed(digest("\0".join(words).encode("utf-8", "surrogatepass"), 9)), _screen_keys(words)))
-        yield pd.DataFrame(rows, columns=["doc", "th", "line", "f", "keys"])
+        for frame in frames:
+            rows = []
+            for doc, th, text in zip(frame["doc"], frame["th"], frame["t"]):
+                for number, line in enumerate(text.split("\n")):
+                    words = line_words(line)
+                    if len(words) >= least:
+                        symbols = line_symbols(words)
+                        rows.append((doc, th, number, _signed(digest("\0".join(words).encode("utf-8", "surrogatepass"), 9)), _screen_keys(symbols) if symbols else []))
+            yield pd.DataFrame(rows, columns=["doc", "th", "line", "f", "keys"])
+
+    return of
 
 
 def variant_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
@@ -89,16 +110,17 @@ def variant_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
 
 def _variants(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        keys, roles, rows = [], [], []
+        keys, roles, rows, n = [], [], [], 0
         for i, line in enumerate(frame["t"]):
-            same, longer, whole = variant_keys(line_words(line))
+            same, longer, whole = variant_keys(line_symbols(line_words(line)))
             keys += [same, longer, np.array([whole])]
             roles.append(np.repeat(np.array([SAME, LONGER, WHOLE], np.int8), [len(same), len(longer), 1]))
             rows.append(np.full(2 * len(same) + 1, i))
-            if len(rows) == 1_000 or i == len(frame) - 1:
+            n += len(rows[-1])
+            if n >= BATCH_KEYS or i == len(frame) - 1:
                 of = frame.iloc[np.concatenate(rows)]
                 yield pd.DataFrame({"key": np.concatenate(keys), "role": np.concatenate(roles), "doc": of["doc"].to_numpy(), "line": of["line"].to_numpy(), "f": of["f"].to_numpy()})
-                keys, roles, rows = [], [], []
+                keys, roles, rows, n = [], [], [], 0
 
 
 def edit_distance(a: list[str], b: list[str], most: int = 1) -> int:
@@ -121,7 +143,7 @@ def edit_distance(a: list[str], b: list[str], most: int = 1) -> int:
 
 def _verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        near = [edit_distance(line_words(a), line_words(b)) <= 1 for a, b in zip(frame["t"], frame["t2"])]
+        near = [edit_distance(line_symbols(line_words(a)), line_symbols(line_words(b))) <= 1 for a, b in zip(frame["t"], frame["t2"])]
         yield frame.loc[near, ["f"]]
 
 
@@ -130,13 +152,13 @@ def _place() -> list[Column]:
     return [F.col("doc"), F.col("line"), F.col("th")]
 
 
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = False) -> DataFrame:
     """(doc, th, lines): the numbers, from 0, of all duplicate lines of each
     row that has any. ``doc`` is the id (the largest long for null), ``th`` a
     hash of the text; together they name a row, so repeated rows share a result.
     """
     named = _named(bounded_batches(docs), id_col, text_col)
-    lines = written(named.where("t is not null").mapInPandas(_lines, "doc long, th long, line int, f long, keys array<long>"))
+    lines = written(named.where("t is not null").mapInPandas(_lines(1 if short_lines else MIN_WORDS), "doc long, th long, line int, f long, keys array<long>"))
     once = written(lines.groupBy("f").agg(F.min(F.struct(*_place())).alias("first"), F.any_value("keys").alias("keys")).select("f", "first.*", "keys"))
     keyed = once.select("f", F.explode("keys").alias("k"))
     shared = keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
@@ -184,18 +206,18 @@ def _without(texts: pd.Series, numbers: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["text", "n_lines", "n_dropped", "long_kept"])
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = False) -> DataFrame:
     """All columns of ``docs`` and ``line_dedup``: a struct of the text without
     its duplicate lines, n_lines, n_dropped and long_kept (nothing was dropped
     or a line of ``MIN_WORDS`` words is left).
 
     Lines end at ``\\n``; words are split at white space and compared in lower
-    case. Lines of fewer words are never dropped. The earliest line of any two
-    within the bound stays, whether or not it is itself near an earlier one's
+    case. Lines of fewer words are dropped only with ``short_lines``; blank
+    lines never are. The earliest line of any two within the bound stays, whether or not it is itself near an earlier one's
     copy; rows that repeat an id and a text count as one row. A null text has
     no lines and stays null; a null id comes after all others.
     """
-    gone = duplicate_lines(docs, id_col, text_col).select(F.col("doc").alias("_gone_doc"), F.col("th").alias("_gone_th"), F.col("lines").alias("_gone_lines"))
+    gone = duplicate_lines(docs, id_col, text_col, short_lines).select(F.col("doc").alias("_gone_doc"), F.col("th").alias("_gone_th"), F.col("lines").alias("_gone_lines"))
     here = F.coalesce(docs[id_col].cast("long"), F.lit((1 << 63) - 1)) == F.col("_gone_doc")
     joined = docs.join(gone, here & (F.xxhash64(docs[text_col]) == F.col("_gone_th")), "left")
     without = F.pandas_udf(_without, "text string, n_lines long, n_dropped long, long_kept boolean")

@@ -135,6 +135,37 @@ def test_line_dedup_edges(spark):
     assert linededup.dedup_lines(docs.limit(0)).collect() == []
 
 
+def slow_all_lines(rows):
+    lines = [(d, i, linededup.line_words(x)) for d, t in rows if t is not None for i, x in enumerate(t.split("\n"))]
+    lines = [x for x in lines if x[2]]
+
+    def symbols(words):
+        return words if len(words) >= 5 else list(" ".join(words)) if len(" ".join(words)) >= 40 else None
+
+    gone = {}
+    for k, (d, i, w) in enumerate(lines):
+        for _, _, v in lines[:k]:
+            alike = (len(w) >= 5) == (len(v) >= 5) and symbols(w) and symbols(v)
+            if w == v or alike and linededup.edit_distance(symbols(w), symbols(v)) <= 1:
+                gone.setdefault(d, set()).add(i)
+                break
+    return gone
+
+
+def test_short_lines_match_brute_force(spark):
+    url, han = "https://host.example/" + "a1b2" * 12, "這是一個沒有空格的很長的句子" * 4
+    rows = [
+        (1, f"les.\n\n{url}\n{han}\nPage 1\n  \n \u3000\na b c d e"),
+        (2, f"LES.\n\nabcde\n{url}x\n{han[:20]}X{han[21:]}\nPage 2\nown line\n  \nsix words are on this line"),
+        (3, f"{url[:30]}zz{url[30:]}\n{han[:5]}XY{han[5:]}\nown  Line\nPage 1\nfive are on this line\nles.\n" + " ".join("a" * 40) + "\n" + "a" * 40 + "\n" + "a" * 41),
+        (4, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc: set(r.lines) for r in linededup.duplicate_lines(docs, short_lines=True).collect()}
+    assert got == slow_all_lines(rows)
+    assert {0, 3, 4} <= got[2] and {2, 3, 5, 8} <= got[3] and 5 not in got[2] and not {0, 1} & got[3]
+
+
 def test_edit_distance():
     assert linededup.edit_distance(list("abcde"), list("abXde")) == 1
     assert linededup.edit_distance(list("abcde"), list("bcdef")) == 2
