@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, embed_hnsw, html_blocks, langid, linededup, oracle, packing, pii, secrets, simhash, warc
-from .shared import table
+from .shared import table, written
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,17 +24,21 @@ def op3_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     that is made to differ: records whose digest starts with 0 have lost their
     last character there, those that start with 1a are absent."""
     pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
-    ours = warc.leaves(pages)
-    digest = F.sha2(warc.record_bytes(F.col("page_id"), F.col("url"), F.col("html")), 256)
-    damaged = pages.withColumn("d", digest).where("not startswith(d, '1a')")
-    damaged = damaged.withColumn("html", F.when(F.startswith("d", F.lit("0")), F.left("html", F.length("html") - 1)).otherwise(F.col("html")))
-    # absent records leave their place empty, so that the others keep theirs
-    theirs = ours.select("archive", "seq", "record_id", "start", "end").join(
-        warc.leaves(damaged).select("archive", "record_id", "digest"), ["archive", "record_id"]
-    )
-    found = warc.audit(ours, theirs.select("archive", "seq", "start", "end", "digest"), warc.levels_for(warc.ARCHIVE_RECORDS))
+
+    def digest(html: Column) -> Column:
+        return F.sha2(warc.record_bytes(F.col("page_id"), F.col("url"), html), 256)
+
+    html, good = F.col("html"), digest(F.col("html"))
+    # where there is no character to lose, one is added
+    damaged = F.when(F.length(html) > 0, F.left(html, F.length(html) - 1)).otherwise("?")
+    theirs = F.when(F.startswith(good, F.lit("1a")), None).when(F.startswith(good, F.lit("0")), digest(damaged)).otherwise(good)
+    # both replicas by one numbering: absent records leave their place empty, so that the others keep theirs
+    ours = written(warc.leaves(pages, carry={"theirs": theirs}))
+    replica = ours.where("theirs is not null").select("archive", "seq", "start", "end", F.col("theirs").alias("digest"))
+    found = warc.audit(ours, replica, warc.levels_for(warc.ARCHIVE_RECORDS))
+    archive = F.nullif("archive", F.lit(warc.NULL_IDS))
     return ours.join(found, ["archive", "seq"], "left").select(
-        F.col("record_id").alias("page_id"), "archive", "seq", F.col("start").alias("start_offset"), F.col("end").alias("end_offset"), "digest", F.coalesce("status", F.lit("intact")).alias("status")
+        F.col("record_id").alias("page_id"), archive.alias("archive"), "seq", F.col("start").alias("start_offset"), F.col("end").alias("end_offset"), "digest", F.coalesce("status", F.lit("intact")).alias("status")
     )
 
 

@@ -16,8 +16,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .shared import forget, written
+
 #: Records of an archive, and children of a node.
 ARCHIVE_RECORDS, FAN_OUT = 256, 16
+#: The archive of records without an id; no id has this one.
+NULL_IDS = -(1 << 63)
 
 
 def record_bytes(record_id: Column, url: Column, payload: Column) -> Column:
@@ -35,23 +39,42 @@ def record_bytes(record_id: Column, url: Column, payload: Column) -> Column:
     return F.concat(head, body, F.lit("\r\n\r\n")).cast("binary")
 
 
-def leaves(records: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", archive_records: int = ARCHIVE_RECORDS) -> DataFrame:
-    """archive, seq, record_id, start, end, digest: one row per record.
+def leaves(
+    records: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", archive_records: int = ARCHIVE_RECORDS, carry: dict[str, Column] | None = None
+) -> DataFrame:
+    """archive, seq, record_id, start, end, digest: one row per record, and the
+    columns of ``carry``, expressions over ``records``.
 
-    An archive holds a range of ids, so its size is bounded while ids are
-    distinct; records lie in the order of id, then digest, and equal records
-    side by side. Records with a null id form archive -1.
+    An archive holds a range of ids; records lie in the order of id, then
+    digest, and equal records side by side. Records with a null id form the
+    archive ``NULL_IDS``. An archive that repeated or null ids make large is
+    numbered in parts: rows are dealt by their place, numbered and added up
+    inside each part, and moved on by what the archive's earlier parts hold.
     """
-    made = records.select(F.col(id_col).cast("long").alias("record_id"), record_bytes(F.col(id_col), F.col(url_col), F.col(payload_col)).alias("bytes"))
+    carry = carry or {}
+    made = records.select(
+        F.col(id_col).cast("long").alias("record_id"), record_bytes(F.col(id_col), F.col(url_col), F.col(payload_col)).alias("bytes"), *(c.alias(name) for name, c in carry.items())
+    )
     made = made.select(
-        F.coalesce(F.floor(F.col("record_id") / archive_records).cast("long"), F.lit(-1).cast("long")).alias("archive"),
+        F.coalesce(F.floor(F.col("record_id") / archive_records).cast("long"), F.lit(NULL_IDS).cast("long")).alias("archive"),
         "record_id",
         F.sha2("bytes", 256).alias("digest"),
         F.octet_length("bytes").cast("long").alias("size"),
+        *carry,
     )
-    order = Window.partitionBy("archive").orderBy("record_id", "digest")
+    # equal records may lie in several parts
+    made = written(made.withColumn("tie", F.monotonically_increasing_id()))
+    place = ["archive", "record_id", "digest", "tie"]
+    dealt = written(made.repartitionByRange(*place).withColumn("part", F.spark_partition_id()))
+    forget(made)
+    before = Window.partitionBy("archive").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    held = dealt.groupBy("archive", "part").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    held = held.select("archive", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"), F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes"))
+    order = Window.partitionBy("archive", "part").orderBy("record_id", "digest", "tie")
     end = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return made.select("archive", (F.row_number().over(order) - 1).cast("long").alias("seq"), "record_id", (end - F.col("size")).alias("start"), end.alias("end"), "digest")
+    inside = dealt.withColumn("seq", F.row_number().over(order) - 1).withColumn("end", end).join(held, ["archive", "part"])
+    inside = inside.withColumn("end", F.col("end") + F.col("bytes"))
+    return inside.select("archive", (F.col("seq") + F.col("n")).cast("long").alias("seq"), "record_id", (F.col("end") - F.col("size")).alias("start"), "end", "digest", *carry)
 
 
 def tree(leaf_rows: DataFrame, levels: int, fan_out: int = FAN_OUT) -> list[DataFrame]:
@@ -77,8 +100,8 @@ def audit(one: DataFrame, other: DataFrame, levels: int, fan_out: int = FAN_OUT)
     """archive, seq, status of every leaf in which two replicas (as ``leaves``
     gives them) differ: ``changed``, ``missing`` (not in ``other``) or ``extra``.
 
-    ``levels`` must reach a single root for the largest archive. Empty
-    replicas are allowed; equal ones give an empty table.
+    ``levels`` should reach a single root for a usual archive; of a larger one
+    all nodes of the top level are compared. Empty replicas are allowed; equal ones give an empty table.
     """
     ours, theirs = tree(one, levels, fan_out), tree(other, levels, fan_out)
     differing = None

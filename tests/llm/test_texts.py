@@ -77,6 +77,28 @@ def test_fixity_query(spark, sf_dir):
         assert row.digest == hashlib.sha256(head.encode() + body + b"\r\n\r\n").hexdigest()
 
 
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_fixity_query_with_repeated_and_null_ids(spark, tmp_path, coalesce):
+    rows = [(i // 5 - 3, f"http://h/{i}", "x" * (i % 3)) for i in range(300)] + [(None, f"http://n/{i}", "y") for i in range(600)]
+    rows += [(7, "http://same", "z")] * 400 + [(None, None, None)] * 3
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    made, want, places = [], [], {}
+    for i, u, h in rows:
+        head = f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:record:{'' if i is None else i}>\r\nWARC-Target-URI: {u or ''}\r\nContent-Type: text/html\r\nContent-Length: {len(h or '')}\r\n\r\n{h or ''}\r\n\r\n"
+        made.append((i if i is None else i // 256, i or 0, hashlib.sha256(head.encode()).hexdigest(), i, len(head)))
+    for archive, _, digest, i, size in sorted(made, key=lambda x: (str(x[0]), *x[1:3])):
+        seq, at = places.get(archive, (0, 0))
+        places[archive] = seq + 1, at + size
+        want.append((i, archive, seq, at, at + size, digest, "missing" if digest.startswith("1a") else "changed" if digest.startswith("0") else "intact"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    try:
+        got = [tuple(r) for r in QUERIES["op3_merkle_fixity"](spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert {r[6] for r in want} == {"missing", "changed", "intact"}
+
+
 def test_fixity_audit_descends_to_every_difference(spark):
     rows = [(i, f"http://h/{i}", "x" * (i % 7)) for i in range(700)] + [(None, None, None), (5, "http://h/5", "x" * 5)]
     schema = "page_id long, url string, html string"
