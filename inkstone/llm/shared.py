@@ -3,8 +3,11 @@ folder, connected components over edges, and small text helpers."""
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +17,8 @@ from pyspark.sql import functions as F
 #: computed is in the written table, and nothing reads those files again.
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-#: Rows of an Arrow batch of texts.
+#: Rows of an Arrow batch while a table is written; Spark bounds a batch's bytes
+#: itself (``spark.sql.execution.arrow.maxBytesPerBatch``, 64 MB unless set).
 BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
 
 #: UTF-8 bytes; every byte that is not an ASCII upper-case letter maps to itself.
@@ -29,35 +33,44 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of
-    the session. Only where that is unset (local tests) a temporary one is set."""
+    the session. Where that is unset, a local session takes a temporary folder
+    of its own; on a cluster that is an error, as executors do not share one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='inkstone-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _local_dir()
 
 
-def bounded_batches(df: DataFrame) -> DataFrame:
-    """``df``, after the session's Arrow batches are made small enough for long
-    texts: Python workers and the JVM each hold a batch at a time."""
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(BATCH_SETTING)) <= BATCH_ROWS:
-        conf.set(BATCH_SETTING, BATCH_ROWS)
-    return df
+@functools.cache
+def _local_dir() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='inkstone-')}"
+
+
+@contextlib.contextmanager
+def _setting(spark: SparkSession, **settings: str) -> Iterator[None]:
+    """Session settings for the time of a write; the caller's come back after it."""
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def written(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """``df`` computed once, written as Parquet to the shared folder, and read
-    again: cuts the lineage, and any executor can be lost afterwards. The folder
-    goes when the JVM ends; ``forget`` deletes it earlier."""
+    again: cuts the lineage, and any executor can be lost afterwards. Arrow
+    batches hold few rows meanwhile, as Python workers and the JVM each hold one
+    at a time. The folder goes when the JVM ends; ``forget`` deletes it earlier."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/inkstone/{uuid.uuid4().hex}"
-    before = spark.conf.get(FREE_SHUFFLES, "false")
-    spark.conf.set(FREE_SHUFFLES, "true")
-    try:
+    rows = int(spark.conf.get(BATCH_SETTING))
+    with _setting(spark, **{FREE_SHUFFLES: "true", BATCH_SETTING: str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS)}):
         df.write.partitionBy(*partition_by).parquet(path)
-    finally:
-        spark.conf.set(FREE_SHUFFLES, before)
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
     again = spark.read.schema(df.schema).parquet(path)
@@ -82,21 +95,16 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     each step is a min-aggregation and an equi-join, so a hub's rows are
     pre-aggregated on the map side and its join partition can be split by
     adaptive execution. Null ends and self-loops are ignored; repeated edges
-    count once; an empty list gives an empty table. Edge lists that shrink to
-    nothing of interest never reach the driver: it sees a count and a checksum.
+    count once; an empty list gives an empty table. The driver sees only how
+    many edges a round has changed.
     """
-    spark = edges.sparkSession
     now = written(
         edges.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b"))
         .where(f"{u} is not null and {v} is not null and {u} <> {v}")
         .distinct()
     )
-    seen = None
-    while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first()
-        if mark == seen or not mark[0]:
-            break
-        seen = mark
+    changed = now.count()
+    while changed:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
         large = (
@@ -116,6 +124,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
             .distinct()
         )
         following = written(small)
+        # no edge twice on either side: equal sizes and nothing new mean equal lists
+        changed = following.join(now, ["a", "b"], "left_anti").count() or now.count() - following.count()
         forget(now)
         forget(large)
         now = following

@@ -8,15 +8,16 @@ so a node holds a contiguous range of Gray ranks. A value also visits the
 nodes that its accumulated differences leave in reach (at most ``max_bits``
 flipped bits among those ``k``); all other nodes are pruned as whole groups.
 Inside a node the values are sorted by Gray rank and a tree is built whose
-upper nodes hold the bits that all values below share; a query adds up its
-differences against those shared patterns on its way down and leaves a branch
-as soon as they exceed ``max_bits``. Nodes that are too full descend further
+upper nodes hold the bits that all values below share. The tree is walked down
+against itself: differences between the shared patterns of two groups add up on
+the way, and all pairs of two groups are left as soon as they exceed ``max_bits``. Nodes that are too full descend further
 bits of the hierarchy, carrying the differences spent so far, until they fit.
 No pair list leaves a task: each node returns a spanning forest of its links.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from itertools import combinations
@@ -26,13 +27,25 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .shared import LOWER_AZ, bounded_batches, connected_components, forget, written
+from .shared import LOWER_AZ, connected_components, forget, written
 
 #: Values in a node of the distributed hierarchy, as planned and at most.
 NODE_PLANNED, NODE_MOST = 4_096, 32_768
-#: Children of a node of the tree inside a task; queries walked down together.
-FAN_OUT, QUERIES = 4, 2_048
+#: Children of a node of the tree inside a task; pairs of nodes opened at once.
+FAN_OUT, FRONTIER = 2, 1 << 16
+#: Similar documents: words of a shingle, least Jaccard similarity of their sets.
+WIDTH, SIMILARITY = 5, 0.8
+#: Fingerprints of a set, each of 32 bits, bits in which two may differ to meet; buckets of the projections.
+TABLES, TABLE_FLIPS, BUCKETS = 32, 2, 4_096
+#: Links up to which all of a value's links are followed; beyond, those that span.
+SMALL = 32
+#: Values of a table in a node, as planned and at most.
+TABLE_PLANNED, TABLE_MOST = 65_536, 262_144
+#: Bits apart, of all TABLES * 32, from which on a similarity of 0.8 is ruled out,
+#: and up to which it is taken for granted: at 0.8 it is 155 with a deviation of 16.
+UNLIKELY, CERTAIN = 230, 99
 
 
 def shingles(text: str | None, width: int) -> list[bytes]:
@@ -63,15 +76,19 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(id, fp): one row per row of ``docs``, ``fp`` the fingerprint as a signed long."""
+    """(id, th, fp): one row per row of ``docs``; ``th`` is a hash of the text,
+    ``fp`` the fingerprint as a signed long."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["id", "fp"])
+            values = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values.view(np.int64))], ["id", "th", "fp"])
 
-    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(of, "id long, fp long")
+    return _keyed(docs, id_col, text_col).mapInArrow(of, "id long, th long, fp long")
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"))
 
 
 def gray_rank(values: np.ndarray) -> np.ndarray:
@@ -83,8 +100,8 @@ def gray_rank(values: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """A tree over Gray-sorted values; a node keeps the bits that all values
-    below it share and that no node above it has stated already."""
+    """A tree over Gray-sorted values: each node knows which bits all values
+    below it share, and the pattern of those bits."""
 
     def __init__(self, values: np.ndarray):
         self.order = np.argsort(gray_rank(values), kind="stable")
@@ -94,29 +111,46 @@ class GrayIndex:
             cuts = np.arange(0, len(all_and[-1]), FAN_OUT)
             all_and.append(np.bitwise_and.reduceat(all_and[-1], cuts))
             all_or.append(np.bitwise_or.reduceat(all_or[-1], cuts))
-        shared = [~(a ^ o) for a, o in zip(all_and, all_or)]
-        self.levels = []  # from the top: (pattern, bits first stated here)
-        for depth in range(len(shared) - 1, -1, -1):
-            own = shared[depth]
-            if depth + 1 < len(shared):
-                own = own & ~np.repeat(shared[depth + 1], FAN_OUT)[: len(own)]
-            self.levels.append((all_and[depth] & own, own))
-
-    def search(self, queries: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query number, value number) of all values within ``most`` bits."""
-        q = np.repeat(np.arange(len(queries)), len(self.levels[0][0]))
-        node = np.tile(np.arange(len(self.levels[0][0])), len(queries))
-        spent = np.zeros(len(q), np.uint8)
-        for depth, (pattern, own) in enumerate(self.levels):
-            if depth:
-                q, spent = np.repeat(q, FAN_OUT), np.repeat(spent, FAN_OUT)
-                node = (node[:, None] * FAN_OUT + np.arange(FAN_OUT)).ravel()
-                there = node < len(pattern)
-                q, node, spent = q[there], node[there], spent[there]
-            spent = spent + np.bitwise_count((queries[q] ^ pattern[node]) & own[node])
-            near = spent <= most
-            q, node, spent = q[near], node[near], spent[near]
-        return q, self.order[node]
+        # from the top: (pattern, bits shared)
+        self.levels = [(a, ~(a ^ o)) for a, o in zip(reversed(all_and), reversed(all_or))]
+
+    def meetings(self, other: GrayIndex | None, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(own number, other's number) of all values within ``most`` bits, in
+        batches; without ``other`` of all pairs of own values, each once.
+
+        Both trees are walked down together: a pair of groups is left as soon
+        as the bits that both share differ in more than ``most`` places, and
+        with it all pairs of values below. At most ``FRONTIER`` pairs are opened at once."""
+        one, two = self.levels, (other or self).levels
+        # the lower tree waits until the higher one has as many levels to go
+        shift_one, shift_two = max(0, len(two) - len(one)), max(0, len(one) - len(two))
+        top = np.arange(len(one[0][0])), np.arange(len(two[0][0]))
+        todo = [(0, np.repeat(top[0], len(top[1])), np.tile(top[1], len(top[0])))]
+        depth_of = lambda depth, shift: max(0, depth - shift)
+        last = max(len(one), len(two)) - 1
+        while todo:
+            depth, a, b = todo.pop()
+            (pattern_a, shared_a), (pattern_b, shared_b) = one[depth_of(depth, shift_one)], two[depth_of(depth, shift_two)]
+            near = np.bitwise_count((pattern_a[a] ^ pattern_b[b]) & shared_a[a] & shared_b[b]) <= most
+            if other is None:
+                near &= a <= b if depth < last else a < b
+            a, b = a[near], b[near]
+            if depth == last:
+                if len(a):
+                    yield self.order[a], (other or self).order[b]
+                continue
+            wide = FRONTIER // FAN_OUT**2
+            for i in range(0, len(a), wide):
+                c, d = a[i : i + wide], b[i : i + wide]
+                if depth >= shift_one:
+                    c, d = (c[:, None] * FAN_OUT + np.arange(FAN_OUT)).ravel(), np.repeat(d, FAN_OUT)
+                    there = c < len(one[depth + 1 - shift_one][0])
+                    c, d = c[there], d[there]
+                if depth >= shift_two:
+                    c, d = np.repeat(c, FAN_OUT), (d[:, None] * FAN_OUT + np.arange(FAN_OUT)).ravel()
+                    there = d < len(two[depth + 1 - shift_two][0])
+                    c, d = c[there], d[there]
+                todo.append((depth + 1, c, d))
 
 
 class Forest:
@@ -125,12 +159,21 @@ class Forest:
     def __init__(self, size: int):
         self.parent = np.arange(size)
 
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        while len(a):
-            a, b = self.roots(a), self.roots(b)
+    def link(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Join by the links (u, v); those of them that joined two trees come back."""
+        made_u, made_v = [], []
+        while len(u):
+            a, b = self.roots(u), self.roots(v)
             apart = a != b
-            a, b = a[apart], b[apart]
-            np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
+            u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+            high, low = np.maximum(a, b), np.minimum(a, b)
+            np.minimum.at(self.parent, high, low)
+            won = np.nonzero(self.parent[high] == low)[0]
+            won = won[np.unique(high[won], return_index=True)[1]]
+            made_u.append(u[won])
+            made_v.append(v[won])
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *made_u]), np.concatenate([none, *made_v])
 
     def roots(self, at: np.ndarray) -> np.ndarray:
         up = self.parent[at]
@@ -141,20 +184,33 @@ class Forest:
             up = higher
 
 
-def _node_links(most: int):
+def _node_links(most: int, small: int):
+    """Links of a node that span its components. With ``small`` they are links
+    that were found, so that they can be checked one by one, and all links of
+    values that have no more than so many; without, links to a component's root."""
+
     def of(rows: pd.DataFrame) -> pd.DataFrame:
         home = rows["home"].to_numpy()
         values = np.concatenate([rows["fp"].to_numpy()[home], rows["fp"].to_numpy()[~home]]).view(np.uint64)
         n = int(home.sum())
-        forest = Forest(len(values))
+        forest, met = Forest(len(values)), np.zeros(len(values), np.int64)
+        kept = [np.zeros((2, 0), np.int64)]
         if n:
             index = GrayIndex(values[:n])
-            for i in range(0, len(values), QUERIES):
-                q, found = index.search(values[i : i + QUERIES], most)
-                forest.link(q + i, found)
-        roots = forest.roots(np.arange(len(values)))
-        linked = roots != np.arange(len(values))
-        return pd.DataFrame({"u": values[linked].view(np.int64), "v": values[roots[linked]].view(np.int64)})
+            for batch in itertools.chain(index.meetings(None, most), ((v, h + n) for v, h in index.meetings(GrayIndex(values[n:]), most)) if n < len(values) else ()):
+                made = forest.link(*batch)
+                if small:
+                    for end in batch:
+                        np.add.at(met, end, 1)
+                    few = (met[batch[0]] <= small) | (met[batch[1]] <= small)
+                    kept += [np.stack(made), np.stack([batch[0][few], batch[1][few]])]
+        if small:
+            u, v = np.concatenate(kept, axis=1)
+        else:
+            roots = forest.roots(np.arange(len(values)))
+            u = np.nonzero(roots != np.arange(len(values)))[0]
+            v = roots[u]
+        return pd.DataFrame({"u": values[u].view(np.int64), "v": values[v].view(np.int64)})
 
     return of
 
@@ -164,18 +220,23 @@ def _flips(bits: int, most: int) -> list[tuple[int, int]]:
     return [(sum(1 << i for i in c), n) for n in range(most + 1) for c in combinations(range(bits), n)]
 
 
-def fingerprint_links(distinct: DataFrame, max_bits: int = 2, planned: int = NODE_PLANNED, most: int = NODE_MOST) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, max_bits: int = 2, planned: int = NODE_PLANNED, most: int = NODE_MOST, tables: int = 1) -> DataFrame:
     """Edges (u, v) whose components are those of all pairs of the distinct
-    values in ``distinct.fp`` that differ in at most ``max_bits`` bits."""
+    values in ``distinct.fp`` that differ in at most ``max_bits`` bits. With
+    ``tables`` the lowest byte of a value is the number of its table, each
+    table has a hierarchy of its own, and values of different tables never link."""
     count = distinct.count()
-    depth = max(0, math.ceil(math.log2(max(1, count) / planned)))
-    rows = distinct.select("fp", F.lit(0).cast("long").alias("node"), F.lit(0).alias("spent"), F.lit(True).alias("home"))
-    at, parts = 0, []
+    depth = max(0, math.ceil(math.log2(max(1, count) / tables / planned)))
+    table = F.col("fp").bitwiseAND(F.lit(0xFF if tables > 1 else 0).cast("long"))
+    rows = distinct.select("fp", table.alias("node"), F.lit(0).alias("spent"), F.lit(True).alias("home"))
+    at, parts, deepest = 0, [], 64 if tables == 1 else 56
     while True:
         step = depth - at
         if step:
             flips = F.array(*(F.struct(F.lit(m).cast("long").alias("mask"), F.lit(n).alias("bits")) for m, n in _flips(step, max_bits)))
             own = F.shiftrightunsigned("fp", 64 - depth) if depth else F.lit(0).cast("long")
+            if tables > 1:
+                own = own.bitwiseOR(F.shiftleft(table, depth))
             low = F.lit((1 << step) - 1).cast("long")
             rows = (
                 rows.withColumn("flip", F.explode(flips))
@@ -185,21 +246,34 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = 2, planned: int = NOD
                 .where(~F.col("home") | (F.col("to") >= own))
                 .select("fp", F.col("to").alias("node"), (F.col("spent") + F.col("flip.bits")).alias("spent"), (F.col("home") & (F.col("flip.bits") == 0)).alias("home"))
             )
-        full = rows.groupBy("node").agg(F.count_if("home").alias("n"), F.count("*").alias("all")).where(f"n > {most} or all > {64 * most}").where(F.lit(depth < 64))
+        full = rows.groupBy("node").agg(F.count_if("home").alias("n"), F.count("*").alias("all")).where(f"n > {most} or all > {64 * most}").where(F.lit(depth < deepest))
         full = written(full.select(F.col("node").alias("full")))
         crowded = bool(full.take(1))
         fitting = rows.join(full, F.col("node") == F.col("full"), "left_anti") if crowded else rows
-        parts.append(fitting.groupBy("node").applyInPandas(_node_links(max_bits), "u long, v long"))
+        parts.append(fitting.groupBy("node").applyInPandas(_node_links(max_bits, SMALL if tables > 1 else 0), "u long, v long"))
         if not crowded:
             break
         rows = rows.join(full, F.col("node") == F.col("full"), "left_semi")
-        at, depth = depth, min(64, depth + 6)
+        at, depth = depth, min(deepest, depth + 6)
     edges = parts[0]
     for more in parts[1:]:
         edges = edges.union(more)
     return edges
 
 
+def _components(docs: DataFrame, id_col: str, text_col: str, width: int, max_bits: int) -> DataFrame:
+    """(id, th, fp, component_id), one row per row of ``docs``."""
+    prints = written(fingerprints(docs, id_col, text_col, width))
+    values = written(prints.groupBy("fp").agg(F.min("id").alias("least")))
+    edges = fingerprint_links(values.select("fp"), max_bits)
+    groups = connected_components(edges)
+    named = values.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    chosen = written(named.join(smallest, "component").select(F.col("fp").alias("of"), "component_id"))
+    forget(values)
+    return prints.join(chosen, F.col("fp") == F.col("of")).select("id", "th", "fp", "component_id")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row per row of ``docs``.
 
@@ -209,23 +283,148 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     becomes a component's id unless all ids in it are null. Repeated rows stay;
     an empty table gives an empty one; other columns are not read.
     """
-    prints = written(fingerprints(docs, id_col, text_col, width))
-    values = written(prints.groupBy("fp").agg(F.min("id").alias("least")))
-    edges = fingerprint_links(values.select("fp"), max_bits)
-    groups = connected_components(edges)
-    named = values.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    chosen = written(named.join(smallest, "component").select(F.col("fp").alias("of"), "component_id"))
-    forget(values)
-    return prints.join(chosen, F.col("fp") == F.col("of")).select(
-        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: the one whose id
-    is the smallest. Rows with a null id are kept; exact repeats of a kept id
-    stay as they are."""
-    groups = simhash_components(docs, id_col, text_col)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("gone"), "left_anti")
+    found = _components(docs, id_col, text_col, width, max_bits)
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _without_later(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` less the rows whose component has a smaller id, in ``found`` (id,
+    th, component_id). Id and text's hash name a row, so rows that share an id
+    are judged one by one; null ids stay, and so do exact repeats of a kept row."""
+    gone = found.where("id <> component_id").select(F.col("id").alias("_gone_id"), F.col("th").alias("_gone_th")).distinct()
+    here = (docs[id_col].cast("long") == F.col("_gone_id")) & (F.xxhash64(docs[text_col]) == F.col("_gone_th"))
+    return docs.join(gone, here, "left_anti")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 2) -> DataFrame:
+    """``docs`` with one document of each group of near fingerprints: the one
+    whose id is the smallest, row by row as ``_without_later`` says."""
+    return _without_later(docs, _components(docs, id_col, text_col, width, max_bits), id_col, text_col)
+
+
+def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The distinct shingles of a text as sorted XXH64 values."""
+    from xxhash import xxh64_intdigest as digest
+
+    return np.array(sorted({digest(s, 42) for s in shingles(text, width)}), np.uint64)
+
+
+def _signs(seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).choice(np.array([-1, 1], np.float32), BUCKETS)
+
+
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """(sets, TABLES) longs: the signs of TABLES * 32 random projections of each
+    set, 32 bits a table, in the upper half of a long; the table's number is in
+    the lowest byte. Shingles are dealt to signed buckets; the projections are
+    two rounds of random signs and a Hadamard transform, as a product of two."""
+    side = int(math.sqrt(BUCKETS))
+    base = np.ones((1, 1), np.float32)
+    while len(base) < side:
+        base = np.block([[base, base], [base, -base]])
+    per = np.fromiter(map(len, sets), np.int64, len(sets))
+    every = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
+    slot = np.repeat(np.arange(len(sets)), per) * BUCKETS + (every % np.uint64(BUCKETS)).astype(np.int64)
+    x = np.bincount(slot, np.where(every >> np.uint64(63), 1.0, -1.0), len(sets) * BUCKETS).astype(np.float32).reshape(-1, side, side)
+    x = base @ (x * _signs(1).reshape(side, side)) @ base
+    x = base[: TABLES * 32 // side] @ (x * _signs(2).reshape(side, side)) @ base
+    bits = np.packbits(x.reshape(len(sets), TABLES, 32) > 0, axis=2).view(">u4")[:, :, 0].astype(np.uint64)
+    return ((bits << np.uint64(32)) | np.arange(TABLES, dtype=np.uint64)).view(np.int64)
+
+
+def _sketched(width: int):
+    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xxhash import xxh3_128_intdigest
+
+        for frame in frames:
+            for i in range(0, len(frame), 128):
+                part = frame.iloc[i : i + 128]
+                sets = [shingle_set(t, width) for t in part["t"]]
+                names = [xxh3_128_intdigest(s.tobytes()) for s in sets]
+                halves = np.array([[n >> 64, n & (1 << 64) - 1] for n in names], np.uint64).view(np.int64)
+                yield pd.DataFrame({"id": part["id"].astype("Int64").to_numpy(), "th": part["th"].to_numpy(), "k1": halves[:, 0], "k2": halves[:, 1], "n": list(map(len, sets)), "bits": list(sketches(sets))})
+
+    return of
+
+
+def _similar(width: int, least: float):
+    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            near = []
+            for a, b in zip(frame["t1"], frame["t2"]):
+                a, b = shingle_set(a, width), shingle_set(b, width)
+                both = len(np.intersect1d(a, b, True))
+                near.append(both >= least * (len(a) + len(b) - both))
+            yield frame.loc[near, ["a", "b"]]
+
+    return of
+
+
+def _candidates(classes: DataFrame, least: float) -> DataFrame:
+    """(u, v, far): class numbers, u > v, that meet in a table, and the bits in
+    which their sketches differ. A forest for each table and fingerprint, never all pairs."""
+    pieces = classes.select("cid", F.explode("bits").alias("fp"))
+    firsts = written(pieces.groupBy("fp").agg(F.min("cid").alias("first")))
+    same = pieces.join(firsts, "fp").where("cid <> first").select("cid", "first")
+    links = fingerprint_links(firsts.select("fp"), TABLE_FLIPS, TABLE_PLANNED, TABLE_MOST, TABLES)
+    near = links.join(firsts.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(firsts.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v")
+    edges = same.select(F.col("cid").alias("a"), F.col("first").alias("b")).union(near.select("a", "b")).where("a <> b")
+    edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    one, two = (classes.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "uv")
+    far = F.aggregate(F.zip_with("bits_u", "bits_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    met = edges.join(one, "u").join(two, "v").where(F.least("n_u", "n_v") >= least * F.greatest("n_u", "n_v"))
+    out = written(met.select("u", "v", far.alias("far")).where(F.col("far") <= UNLIKELY))
+    forget(firsts)
+    return out
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
+    """(id, th, component_id), one row per row of ``docs``: documents link when
+    the Jaccard similarity of their sets of ``width``-word shingles is ``least``
+    or more (texts of fewer words are one shingle; those without words are equal).
+
+    Equal sets are folded first. ``TABLES`` fingerprints of 32 bits a set are
+    each searched in the Gray-ordered index; a pair at the limit of 0.8 is met
+    with probability 0.98, nearer ones sooner. What meets with ``CERTAIN`` bits
+    of all or fewer apart links at once; other links are counted on the texts,
+    the nearest of each document first, as long as they would join two components.
+    """
+    rows = written(_keyed(docs, id_col, text_col).mapInPandas(_sketched(width), "id long, th long, k1 long, k2 long, n long, bits array<long>"))
+    folded = rows.groupBy("k1", "k2").agg(F.min("id").alias("least_id"), F.min("th").alias("th"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"))
+    classes = written(folded.withColumn("cid", F.monotonically_increasing_id()))
+    open_ = edges = _candidates(classes, least)
+    certain = edges.where(F.col("far") <= CERTAIN).select("u", "v")
+    groups, tried = connected_components(certain), 1
+    texts = docs.select(F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"))
+    while True:
+        for end in "uv":
+            named = groups.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
+            open_ = open_.drop(f"c_{end}").join(named, end, "left").withColumn(f"c_{end}", F.coalesce(f"c_{end}", end))
+        open_ = open_.where("c_u <> c_v").withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy("far", "v")))
+        open_ = written(open_)
+        if not open_.take(1):
+            break
+        now = open_.where(F.col("rank") <= tried)
+        ends = now.select(F.col("u").alias("cid")).union(now.select("v")).distinct()
+        needed = classes.select("cid", "th").join(ends, "cid", "left_semi")
+        known = texts.join(needed, "th").dropDuplicates(["cid"]).select("cid", "t")
+        both = now.join(known.select(F.col("cid").alias("u"), F.col("t").alias("t1")), "u").join(known.select(F.col("cid").alias("v"), F.col("t").alias("t2")), "v")
+        linked = both.select(F.col("c_u").alias("a"), F.col("c_v").alias("b"), "t1", "t2").mapInPandas(_similar(width, least), "a long, b long")
+        joined = connected_components(linked, "a", "b")
+        moved = groups.select("node", F.col("component").alias("old")).union(joined.select("node", F.col("node").alias("old"))).distinct()
+        # a component's number is one of its nodes; what had no component yet is its own
+        moved = moved.join(joined.select(F.col("node").alias("old"), "component"), "old", "left").select("node", F.coalesce("component", "old").alias("component"))
+        groups = written(moved.groupBy("node").agg(F.min("component").alias("component")))
+        open_, tried = open_.where(F.col("rank") > tried).drop("rank"), 4 * tried
+    named = classes.join(groups, F.col("cid") == F.col("node"), "left").select("k1", "k2", "least_id", F.coalesce("component", "cid").alias("component"))
+    smallest = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    chosen = written(named.join(smallest, "component").select("k1", "k2", "component_id"))
+    for done in (classes, edges):
+        forget(done)
+    return rows.join(chosen, ["k1", "k2"]).select("id", "th", "component_id")
+
+
+def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one document of each group of ``similar_components``: the
+    one whose id is the smallest, row by row as ``_without_later`` says."""
+    return _without_later(docs, similar_components(docs, id_col, text_col, width, least), id_col, text_col)

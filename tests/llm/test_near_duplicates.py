@@ -65,6 +65,62 @@ def test_simhash_edges(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "5", "5", "7", "None"]
 
 
+def test_keep_one_judges_rows_that_share_an_id(spark):
+    text = "the same text of some words here"
+    rows = [(1, text), (5, text), (5, "something unrelated to all the others of this table"), (7, "another one of which there is no copy at all")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for keep in (simhash.keep_one, simhash.keep_one_similar):
+        assert sorted(tuple(r) for r in keep(docs).collect()) == sorted([rows[0], *rows[2:]])
+
+
+def slow_similar(rows, width=5, least=0.8):
+    def sets(text):
+        words = "".join(c.lower() if c.isascii() else c for c in text or "").split()
+        return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+    known = [sets(t) for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if len(known[i] & known[j]) >= least * len(known[i] | known[j])]
+    return union(len(rows), links)
+
+
+def test_similar_documents_match_brute_force(spark, sf_dir):
+    rng = np.random.default_rng(6)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()]
+    for i in range(60):  # groups of near copies of one to five changed words
+        words = [f"w{x}" for x in rng.integers(0, 900, rng.integers(40, 300))]
+        for k in range(int(rng.integers(1, 5))):
+            copy = list(words)
+            for _ in range(int(rng.integers(0, 6))):
+                copy[int(rng.integers(0, len(copy)))] = "changed"
+            rows.append((100_000 + 10 * i + k, " ".join(copy)))
+    rows += [(200_000, None), (200_001, ""), (200_002, "two words"), (200_003, "Two  words"), (None, "two words"), (200_004, rows[-1][1])]
+    want, least = slow_similar(rows), {}
+    for (doc, _), root in zip(rows, want):
+        if doc is not None:
+            least[root] = min(doc, least.get(root, doc))
+    docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, component_id int")
+    found = {r.id: r.component_id for r in simhash.similar_components(docs).collect()}
+    wrong = sum(found[d] != least[r] for (d, _), r in zip(rows, want))
+    assert wrong <= 0.01 * len(rows)  # a pair at the limit is met with probability 0.98
+    kept = simhash.keep_one_similar(docs)
+    assert kept.columns == docs.columns and kept.where("doc_id is null").count() == 1
+    assert kept.count() == len(set(found.values())) + 1
+    assert simhash.keep_one_similar(docs.limit(0)).collect() == []
+
+
+def test_gray_index_meets_all_pairs():
+    rng = np.random.default_rng(9)
+    values = np.unique(np.concatenate([rng.integers(0, 1 << 63, 300, dtype=np.uint64), rng.integers(0, 1 << 10, 200, dtype=np.uint64)]))
+    other = np.concatenate([values[::3] ^ np.uint64(1 << 9), rng.integers(0, 1 << 63, 7, dtype=np.uint64)])
+    index = simhash.GrayIndex(values)
+    near = np.bitwise_count(values[:, None] ^ values[None]) <= 2
+    assert sorted((int(max(a, b)), int(min(a, b))) for x, y in index.meetings(None, 2) for a, b in zip(x, y)) == [(i, j) for i in range(len(values)) for j in range(i) if near[i, j]]
+    near = np.bitwise_count(values[:, None] ^ other[None]) <= 2
+    for few in (other, other[:3], other[:1]):
+        got = sorted((int(a), int(b)) for x, y in index.meetings(simhash.GrayIndex(few), 2) for a, b in zip(x, y))
+        assert got == [(i, j) for i in range(len(values)) for j in range(len(few)) if near[i, j]]
+
+
 @pytest.mark.parametrize("planned,most", [(1 << 20, 1 << 20), (16, 32), (64, 40)])
 def test_fingerprint_links_at_every_depth(spark, planned, most):
     rng = np.random.default_rng(3)
