@@ -1,11 +1,9 @@
 """Operator 5: near-duplicate lines by a deletion-neighbourhood join.
 
-The symbols are words. A line of at least ``MIN_WORDS`` words is a duplicate
-if an earlier line (by document id, then place) is at an edit distance of at
-most one word. With ``short_lines``, every other line that is not blank is one
-if an earlier line has the same words; of those, lines of ``MIN_CHARS``
-characters and more have characters for symbols and are compared within one
-edit, too. Equal lines meet in one aggregation. For the others, two lines
+Every line that is not blank is a duplicate if an earlier line (by document id,
+then place) has the same words. The bound beyond that is one edit, where one edit
+is a small part of a line: words are the symbols of lines of at least
+``MIN_WORDS`` words, characters those of other lines of at least ``MIN_CHARS``. Equal lines meet in one aggregation. For the others, two lines
 within the bound share the first or the last half of their words, so only lines
 that share such a half with a different line go on; this screen loses nothing.
 The rest emit their deletion variants as hashed keys: a substitution leaves
@@ -152,7 +150,7 @@ def _place() -> list[Column]:
     return [F.col("doc"), F.col("line"), F.col("th")]
 
 
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = False) -> DataFrame:
+def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = True) -> DataFrame:
     """(doc, th, lines): the numbers, from 0, of all duplicate lines of each
     row that has any. ``doc`` is the id (the largest long for null), ``th`` a
     hash of the text; together they name a row, so repeated rows share a result.
@@ -206,14 +204,14 @@ def _without(texts: pd.Series, numbers: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["text", "n_lines", "n_dropped", "long_kept"])
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = True) -> DataFrame:
     """All columns of ``docs`` and ``line_dedup``: a struct of the text without
     its duplicate lines, n_lines, n_dropped and long_kept (nothing was dropped
     or a line of ``MIN_WORDS`` words is left).
 
     Lines end at ``\\n``; words are split at white space and compared in lower
-    case. Lines of fewer words are dropped only with ``short_lines``; blank
-    lines never are. The earliest line of any two within the bound stays, whether or not it is itself near an earlier one's
+    case. Blank lines are never dropped; without ``short_lines`` neither are
+    lines of fewer than ``MIN_WORDS`` words. The earliest line of any two within the bound stays, whether or not it is itself near an earlier one's
     copy; rows that repeat an id and a text count as one row. A null text has
     no lines and stays null; a null id comes after all others.
     """

@@ -23,15 +23,21 @@ def merkle_fixity() -> str:
 
 
 def line_dedup() -> str:
-    """All lines less each of their words, as whole strings."""
+    """Equal lines by their words; long enough lines less each of their symbols, as whole strings.
+    A space follows each word and is before each character, so that the two never meet."""
+    chars = "list_transform(regexp_extract_all(whole, '(?s).'), lambda c: ' ' || c)"
+    words = "list_transform(w, lambda x: x || ' ')"
     return f"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as no from documents),
-    w as (select *, regexp_extract_all(lower(line), '\\S+') as w from l), k as (select doc_id, no, w, array_to_string(w, ' ') as whole, [doc_id, no] as place from w where len(w) >= {linededup.MIN_WORDS}),
-    v as (select *, unnest(range(1, len(w) + 1)) as cut from k), d as (select doc_id, no, place, len(w) as n, cut, array_to_string(list_concat(w[1:cut - 1], w[cut + 1:]), ' ') as rest from v),
+    w as (select *, regexp_extract_all(lower(line), '\\S+') as w, array_to_string(regexp_extract_all(lower(line), '\\S+'), ' ') as whole, [doc_id, no] as place from l),
+    every as (select * from w where len(w) > 0),
+    k as (select doc_id, no, place, case when len(w) >= {linededup.MIN_WORDS} then {words} else {chars} end as w from every where len(w) >= {linededup.MIN_WORDS} or length(whole) >= {linededup.MIN_CHARS}),
+    s as (select *, array_to_string(w, '') as whole from k), v as (select *, unnest(range(1, len(w) + 1)) as cut from k),
+    d as (select doc_id, no, place, len(w) as n, cut, array_to_string(list_concat(w[1:cut - 1], w[cut + 1:]), '') as rest from v),
     gone as (
-        select doc_id, no from k qualify min(place) over (partition by whole) < place
+        select doc_id, no from every qualify min(place) over (partition by whole) < place
         union select doc_id, no from d qualify min(place) over (partition by n, cut, rest) < place
-        union select d.doc_id, d.no from d join k on d.rest = k.whole where k.place < d.place
-        union select k.doc_id, k.no from d join k on d.rest = k.whole where d.place < k.place)
+        union select d.doc_id, d.no from d join s on d.rest = s.whole where s.place < d.place
+        union select s.doc_id, s.no from d join s on d.rest = s.whole where d.place < s.place)
     select l.doc_id, count(*) as n_lines, count(g.no) as n_dropped, coalesce(string_agg(case when g.no is null then line end, chr(10) order by l.no), '') as text from l left join gone g on l.doc_id = g.doc_id and l.no = g.no group by l.doc_id"""
 
 

@@ -145,13 +145,18 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).collect() == []
 
 
-def slow_lines(rows):
+def slow_all_lines(rows):
     lines = [(d, i, linededup.line_words(x)) for d, t in rows if t is not None for i, x in enumerate(t.split("\n"))]
-    lines = [x for x in lines if len(x[2]) >= 5]
+    lines = [x for x in lines if x[2]]
+
+    def symbols(words):
+        return words if len(words) >= 5 else list(" ".join(words)) if len(" ".join(words)) >= 40 else None
+
     gone = {}
     for k, (d, i, w) in enumerate(lines):
-        for e, j, v in lines[:k]:
-            if abs(len(w) - len(v)) <= 1 and linededup.edit_distance(w, v) <= 1:
+        for _, _, v in lines[:k]:
+            alike = (len(w) >= 5) == (len(v) >= 5) and symbols(w) and symbols(v)
+            if w == v or alike and linededup.edit_distance(symbols(w), symbols(v)) <= 1:
                 gone.setdefault(d, set()).add(i)
                 break
     return gone
@@ -159,7 +164,7 @@ def slow_lines(rows):
 
 def test_line_dedup_matches_brute_force(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()]
-    gone = slow_lines(rows)
+    gone = slow_all_lines(rows)
     assert gone
     got = {r.doc_id: r for r in QUERIES["op5_line_dedup"](spark, sf_dir).collect()}
     for doc, text in rows:
@@ -179,7 +184,7 @@ def test_line_dedup_random_edits(spark):
     rng.shuffle(lines)
     rows = [(i, "\n".join(lines[i * 8 : i * 8 + 8])) for i in range(30)]
     got = linededup.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert {r.doc: set(r.lines) for r in got.collect()} == slow_lines(rows)
+    assert {r.doc: set(r.lines) for r in got.collect()} == slow_all_lines(rows)
 
 
 def test_line_dedup_edges(spark):
@@ -191,23 +196,6 @@ def test_line_dedup_edges(spark):
     assert linededup.dedup_lines(docs.limit(0)).collect() == []
 
 
-def slow_all_lines(rows):
-    lines = [(d, i, linededup.line_words(x)) for d, t in rows if t is not None for i, x in enumerate(t.split("\n"))]
-    lines = [x for x in lines if x[2]]
-
-    def symbols(words):
-        return words if len(words) >= 5 else list(" ".join(words)) if len(" ".join(words)) >= 40 else None
-
-    gone = {}
-    for k, (d, i, w) in enumerate(lines):
-        for _, _, v in lines[:k]:
-            alike = (len(w) >= 5) == (len(v) >= 5) and symbols(w) and symbols(v)
-            if w == v or alike and linededup.edit_distance(symbols(w), symbols(v)) <= 1:
-                gone.setdefault(d, set()).add(i)
-                break
-    return gone
-
-
 def test_short_lines_match_brute_force(spark):
     url, han = "https://host.example/" + "a1b2" * 12, "這是一個沒有空格的很長的句子" * 4
     rows = [
