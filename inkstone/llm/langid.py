@@ -4,7 +4,8 @@ For each language a table of character n-gram log-likelihoods is learned. A
 document is a mixture of languages and of a flat background: expectation-
 maximisation estimates the proportions from its n-grams, and languages leave
 the set one by one while the likelihood, less half a logarithm of the number
-of n-grams for each language, does not fall.
+of n-grams for each member, does not fall. The background may leave, too, but
+one language always stays.
 """
 
 from __future__ import annotations
@@ -19,11 +20,12 @@ from pyspark.sql.window import Window
 
 #: Documents of each language from which the tables are learned, at most:
 #: those whose hashed ids are the smallest, so the choice follows no order.
+#: Their whole texts count.
 SAMPLE = 400
-#: Characters of a sampled document that count.
-SAMPLE_CHARS = 20_000
-#: Slots of the hashed n-gram tables, added counts, steps of the estimation.
-SLOTS, SMOOTH, STEPS = 1 << 16, 0.1, 12
+#: Slots of the hashed n-gram tables, added counts.
+SLOTS, SMOOTH = 1 << 16, 0.1
+#: An estimation ends when a step gains less log-likelihood than about this.
+GAIN = 0.01
 UNDETERMINED = "und"
 
 
@@ -45,41 +47,53 @@ def grams(text: str) -> np.ndarray:
 def likelihoods(counts: np.ndarray) -> np.ndarray:
     """(languages, SLOTS) of n-gram probabilities from smoothed counts."""
     smooth = counts + SMOOTH
-    return smooth / smooth.sum(axis=1, keepdims=True)
+    return np.asfortranarray(smooth / smooth.sum(axis=1, keepdims=True))
 
 
 def _estimate(given: np.ndarray, weight: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, float]:
-    share = start
-    for _ in range(STEPS):
-        joint = given * share
-        share = (weight / joint.sum(axis=1)) @ joint / weight.sum()
-    return share, float(weight @ np.log(given @ share))
-
-
-def mixture(text: str | None, probabilities: np.ndarray) -> np.ndarray:
-    """Proportions of the languages and, last, of the background; all zero
-    when the text is null or has no letter."""
+    """Shares at which the likelihood stands, and its logarithm. A step gains
+    about the n-grams times the divergence of its shares from those before."""
+    share, total, mixed = start, weight.sum(), given @ start
+    if len(share) == 1:
+        return share, float(weight @ np.log(mixed))
+    while True:
+        moved = share * ((weight / mixed) @ given) / total
+        some = moved > 0
+        gain = total * float(moved[some] @ np.log(moved[some] / share[some]))
+        share, mixed = moved, given @ moved
+        if gain < GAIN:
+            return share, float(weight @ np.log(mixed))
+
+
+def mixture(text: str | None, probabilities: np.ndarray) -> tuple[np.ndarray, int]:
+    """Proportions of the languages and, last, of the background, and the number
+    of the language that explains the text best among those that stayed. All
+    zero and -1 when the text is null or has no letter."""
     languages = len(probabilities)
     out = np.zeros(languages + 1)
     if not text or not any(map(str.isalpha, text)):
-        return out
+        return out, -1
     slot, times = np.unique(grams(text), return_counts=True)
-    if not len(slot):
-        return out
-    given = np.column_stack([probabilities[:, slot].T, np.full(len(slot), 1 / SLOTS)])
+    given = np.full((len(slot), languages + 1), 1 / SLOTS)
+    given[:, :-1] = probabilities.T[slot]  # rows of a table that lies language by language in memory
     chosen = list(range(languages + 1))
     share, fit = _estimate(given, times, np.full(len(chosen), 1 / len(chosen)))
     price = 0.5 * np.log(times.sum())
     while len(chosen) > 1:
-        least = int(np.argmin(share[:-1])) if chosen[-1] == languages and len(chosen) > 2 else int(np.argmin(share))
-        rest = [c for i, c in enumerate(chosen) if i != least]
-        start = np.delete(share, least) + 1e-9
+        free = [i for i, c in enumerate(chosen) if c == languages or sum(x < languages for x in chosen) > 1]
+        least = min(free, key=lambda i: share[i])
+        rest = chosen[:least] + chosen[least + 1 :]
+        start = share[[i for i in range(len(chosen)) if i != least]] + 1e-9
         fewer, fit_fewer = _estimate(given[:, rest], times, start / start.sum())
         if fit_fewer + price < fit:
             break
         chosen, share, fit = rest, fewer, fit_fewer
     out[chosen] = share
-    return out
+    most = out[:-1].max()
+    best = [c for c in chosen if c < languages and out[c] == most]
+    if len(best) > 1:  # equal shares, or none at all beside the background
+        best.sort(key=lambda c: -float(times @ np.log(given[:, c])))
+    return out, best[0]
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
@@ -88,7 +102,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     and the counts are made by Spark; the driver gets one table of counts per language."""
     key = F.xxhash64(F.col(id_col).cast("string"), F.lit(7))
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    rows = rows.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, SAMPLE_CHARS).alias("t"), key.alias("k"))
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t"), key.alias("k"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row for each language
     if not sizes:
         return [], np.zeros((0, SLOTS))
@@ -97,14 +111,20 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     few = rows.where(F.col("k").cast("double") < (share[F.col("lang")] * 2 - 1) * 2.0**63)
     ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("k", "t"))).where(F.col("rank") <= sample)
 
-    def count(part: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(SLOTS)
-        for text in part["t"]:
-            total += np.bincount(grams(text), minlength=SLOTS)
-        return pd.DataFrame({"lang": [part["lang"].iloc[0]], "counts": [total.astype(np.float32).tobytes()]})
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for lang, text in zip(frame["lang"], frame["t"]):
+                slot, times = np.unique(grams(text), return_counts=True)
+                yield pd.DataFrame({"lang": lang, "slot": slot, "n": times})
 
-    found = sorted((r["lang"], r["counts"]) for r in ranked.groupBy("lang").applyInPandas(count, "lang string, counts binary").collect())
-    return [lang for lang, _ in found], likelihoods(np.array([np.frombuffer(c, np.float32) for _, c in found], np.float64))
+    counted = ranked.select("lang", "t").mapInPandas(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    # at most SLOTS numbers for each language
+    found = counted.groupBy("lang").agg(F.collect_list(F.struct("slot", "n")).alias("n")).orderBy("lang").collect()
+    counts = np.zeros((len(found), SLOTS))
+    for row, of in zip(counts, found):
+        for x in of["n"]:
+            row[x["slot"]] = x["n"]
+    return [r["lang"] for r in found], likelihoods(counts)
 
 
 def with_language(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", name: str = "language") -> DataFrame:
@@ -113,7 +133,9 @@ def with_language(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col
     and background. Row by row, in place; whole texts are read.
 
     ``und`` with score 0 for null texts, texts without a letter, and where no
-    language was learned. Ties go to the language that sorts first.
+    language was learned; any other text has a learned language, however small
+    its proportion beside the background. Equal proportions are decided by the
+    likelihood, then by the order of names.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -122,12 +144,12 @@ def with_language(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col
         for part in texts:
             rows = []
             for text in part:
-                share = mixture(text, table) if names else np.zeros(1)
-                if not share[:-1].any():
-                    rows.append((UNDETERMINED, 0.0, "", float(share[-1])))
+                share, best = mixture(text, table) if names else (np.zeros(1), -1)
+                if best < 0:
+                    rows.append((UNDETERMINED, 0.0, "", 0.0))
                     continue
-                order = [i for i in np.argsort(-share[:-1], kind="stable") if share[i] > 0]
-                rows.append((names[order[0]], min(1.0, float(share[order[0]])), ",".join(names[i] for i in order), float(share[-1])))
+                order = [best, *(i for i in np.argsort(-share[:-1], kind="stable") if share[i] > 0 and i != best)]
+                rows.append((names[best], min(1.0, float(share[best])), ",".join(names[i] for i in order), float(share[-1])))
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "langs", "background"])
 
     return docs.select(*(docs[c] for c in docs.columns), F.pandas_udf(of, "lang_pred string, score double, langs string, background double")(docs[text_col]).alias(name))

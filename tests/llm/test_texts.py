@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -201,6 +202,66 @@ def test_language_mixture_and_edges(spark, sf_dir):
     assert langid.identify(docs(spark, []), model).collect() == []
 
 
+def slow_mixture(text, tables):
+    """Letters only, a plain estimation run to its end, and every order of the rule stated again."""
+    low = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+    while "  " in low:
+        low = low.replace("  ", " ")
+    slots = langid.grams(low).tolist()
+    assert len(slots) == 2 * len(low) - 3
+    columns = [[t[s] for s in slots] for t in tables] + [[1 / langid.SLOTS] * len(slots)]
+
+    def run(members, share):
+        for _ in range(3_000):
+            sums = [sum(share[m] * columns[m][i] for m in members) for i in range(len(slots))]
+            share = {m: sum(share[m] * columns[m][i] / sums[i] for i in range(len(slots))) / len(slots) for m in members}
+            if max(share.values()) == 1.0:
+                break
+        return share, sum(math.log(sum(share[m] * columns[m][i] for m in members)) for i in range(len(slots)))
+
+    members = list(range(len(columns)))
+    share, fit = run(members, {m: 1 / len(members) for m in members})
+    while len(members) > 1:
+        last = [m for m in members if m < len(tables)]
+        least = min((m for m in members if m not in last or len(last) > 1), key=lambda m: share[m])
+        rest = [m for m in members if m != least]
+        fewer, fit_fewer = run(rest, {m: (share[m] + 1e-9) / sum(share[x] + 1e-9 for x in rest) for m in rest})
+        if fit_fewer + 0.5 * math.log(len(slots)) < fit:
+            break
+        members, share, fit = rest, fewer, fit_fewer
+    return [share.get(m, 0.0) for m in range(len(columns))]
+
+
+def test_language_mixture_matches_a_plain_estimation(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents")
+    names, tables = langid.learn(rows.where(~langid.held_out()))
+    texts = [r.text[:90] for r in rows.orderBy("doc_id").limit(12).collect()]
+    texts += [texts[0][:60] + " " + texts[1][:60], "Привет мир как дела", "zzzq xkcd qqq"]
+    for text in texts:
+        share, best = langid.mixture(text, tables)
+        slow = slow_mixture(text, tables)
+        assert share == pytest.approx(slow, abs=0.03), text
+        if max(slow[:-1]) > 0.05:
+            assert best == int(np.argmax(slow[:-1]))
+
+
+def test_lettered_texts_have_a_learned_language(spark, sf_dir):
+    model = langid.learn(table(spark, sf_dir, "documents"))
+    texts = ["Привет мир как дела", "日本語の文章", "x", "ñ", "a1b2", "12 34 !!", "٣٤"]
+    got = {r.doc_id: r for r in langid.identify(docs(spark, list(enumerate(texts))), model).collect()}
+    assert all(got[i].lang_pred in model[0] and 0 <= got[i].score <= 1 for i in range(5)) and {got[5].lang_pred, got[6].lang_pred} == {"und"}
+    assert got[0].background > 0.5
+    clash = spark.createDataFrame([(1, "some text", "en", 0.5, "x")], "doc_id long, text string, lang string, score double, langs string")
+    assert langid.with_language(clash, model).columns == [*clash.columns, "language"]
+
+
+def test_languages_learn_from_whole_texts(spark):
+    late = "z" * 30_000 + " qj" * 2_000
+    names, tables = langid.learn(spark.createDataFrame([(1, late, "a"), (2, "other words", "b"), (3, None, "a"), (4, "!!", "b"), (5, "no label", None)], "doc_id long, text string, lang string"))
+    slot = np.unique(langid.grams("qj"))
+    assert names == ["a", "b"] and (tables[0][slot] > tables[1][slot]).all()
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
