@@ -2,29 +2,32 @@
 
 Equal vectors are folded to classes. Classes are dealt by hash to shards of a
 bounded size; each shard builds one hierarchical navigable small-world graph,
-and every class queries every shard. A beam widens while all it holds is within
-the threshold, and for all queries of a block while probes with known answers
-(members moved to just inside the threshold) are not all but found. Cosines of
-what was found are verified in double precision. A task returns counts and a
-spanning forest of the links it found, never the pairs; components are united
-from the forests.
+and every class queries every shard: a graph is sent once for a long lane of
+queries, which stream past it. A beam widens while all it holds is within the
+threshold, and for a whole shard while an audit of probes with known answers
+(members moved to just inside the threshold) does not find them; a shard whose
+audit never succeeds compares with all its members. Cosines of what was found
+are verified in double precision. A task returns counts and spanning forests of
+the links it found, never the pairs; components are united from the forests.
 """
 
 from __future__ import annotations
 
 import io
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import connected_components, written
 from .simhash import Forest
 
-#: Classes of a shard, and of a block of queries, as planned.
-SHARD, BLOCK = 32_768, 8_192
+#: Classes of a shard, queries that stream past one sending of a graph, and queries answered at once.
+SHARD, LANE, BLOCK = 32_768, 262_144, 4_096
 #: Links of a node (twice as many in the lowest layer), beam when building and at first when asking.
 LINKS, BUILD_BEAM, ASK_BEAM = 12, 48, 32
 #: Recall of the probes at which a beam is wide enough, probes, nodes opened in one step.
@@ -211,16 +214,15 @@ class Graph:
         return np.take_along_axis(out_ids, by, 1), np.take_along_axis(out_sims, by, 1)
 
     def dump(self) -> bytes:
+        """The lists; vectors are kept beside them in full precision."""
         to = io.BytesIO()
-        np.savez(to, vectors=self.vectors, height=self.height, order=self.order, **{f"layer{i}": x for i, x in enumerate(self.layers)})
+        np.savez(to, height=self.height, **{f"layer{i}": x for i, x in enumerate(self.layers)})
         return to.getvalue()
 
     @classmethod
-    def load(cls, data: bytes) -> Graph:
+    def load(cls, data: bytes, vectors: np.ndarray) -> Graph:
         with np.load(io.BytesIO(data)) as z:
-            graph = cls(z["vectors"], z["height"], [z[f"layer{i}"] for i in range(sum(k.startswith("layer") for k in z.files))])
-            graph.order = z["order"]
-        return graph
+            return cls(vectors, z["height"], [z[f"layer{i}"] for i in range(sum(k.startswith("layer") for k in z.files))])
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -229,9 +231,11 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return wide / np.sqrt((wide * wide).sum(axis=1, keepdims=True))
 
 
-def _wide_enough(graph: Graph, threshold: float) -> int:
-    """The beam at which probes find what comparing with all members finds."""
-    n, d = graph.vectors.shape
+def _audited(graph: Graph, threshold: float) -> tuple[int, int, int]:
+    """The beam at which probes find what comparing with all members finds, how
+    many links the probes have, and how many were found at that beam. A beam as
+    wide as the graph stands for comparing with all members."""
+    n = len(graph.vectors)
     rng = np.random.default_rng(11)
     chosen = graph.vectors[rng.choice(n, min(PROBES, n), replace=False)].astype(np.float64)
     noise = rng.standard_normal(chosen.shape)
@@ -239,98 +243,151 @@ def _wide_enough(graph: Graph, threshold: float) -> int:
     noise /= np.maximum(np.sqrt((noise * noise).sum(1, keepdims=True)), 1e-12)
     inside = min(1.0, threshold + 0.2 * (1 - threshold))
     probes = (inside * chosen + math.sqrt(1 - inside * inside) * noise).astype(np.float32)
-    true = probes @ graph.vectors.T >= threshold
+    true = int((probes @ graph.vectors.T >= threshold).sum())
     beam = ASK_BEAM
     while beam < n:
-        ids, sims = graph.search(probes, beam, threshold=threshold)
-        if (sims >= threshold).sum() >= RECALL * true.sum():
-            break
+        _, sims = graph.search(probes, beam, threshold=threshold)
+        if (found := int((sims >= threshold).sum())) >= RECALL * true:
+            return beam, true, found
         beam *= 2
-    return beam
-
-
-def _build(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("cid")
-    graph = Graph.build(_unit(np.vstack(rows["v"].to_numpy())).astype(np.float32))
-    by = graph.order
-    return pd.DataFrame(
-        {
-            "shard": [rows["shard"].iloc[0]],
-            "graph": [graph.dump()],
-            "exact": [np.vstack(rows["v"].to_numpy())[by].astype(np.float32).tobytes()],
-            "cids": [rows["cid"].to_numpy()[by].tobytes()],
-            "copies": [rows["copies"].to_numpy()[by].tobytes()],
-        }
-    )
+    return n, true, true
+
+
+def _near(graph: Graph, queries: np.ndarray, beam: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query number, member) of similarities (single precision) of ``least`` and more, in batches."""
+    if beam < len(graph.vectors):
+        ids, sims = graph.search(queries, beam, threshold=least)
+        q, slot = np.nonzero((sims >= least) & (ids >= 0))
+        yield q, ids[q, slot]
+        return
+    for i in range(0, len(graph.vectors), 8_192):
+        q, node = np.nonzero(queries @ graph.vectors[i : i + 8_192].T >= least)
+        yield q, node + i
+
+
+def _build(threshold: float, wide: type):
+    def of(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("cid")
+        exact = np.vstack(rows["v"].to_numpy())
+        graph = Graph.build(_unit(exact).astype(np.float32))
+        by = graph.order
+        beam, true, found = _audited(graph, threshold)
+        return pd.DataFrame(
+            {
+                "shard": [rows["shard"].iloc[0]],
+                "beam": [beam],
+                "probed": [true],
+                "found": [found],
+                "graph": [graph.dump()],
+                "exact": [exact[by].astype(wide).tobytes()],
+                "cids": [rows["cid"].to_numpy()[by].tobytes()],
+                "copies": [rows["copies"].to_numpy()[by].tobytes()],
+            }
+        )
+
+    return of
+
 
+class _Asking:
+    """One loaded graph and the forest of what queries found in it."""
 
-def _ask(threshold: float):
-    def of(queries: pd.DataFrame, graphs: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(graphs):
-            return pd.DataFrame({"a": [], "b": [], "n": []}).astype("Int64")
-        row = graphs.iloc[0]
-        graph = Graph.load(row["graph"])
-        cids, copies = np.frombuffer(row["cids"], np.int64), np.frombuffer(row["copies"], np.int64)
-        members = _unit(np.frombuffer(row["exact"], np.float32).reshape(len(cids), -1))
-        beam = _wide_enough(graph, threshold)
-        asked, own = _unit(np.vstack(queries["v"].to_numpy())), queries["cid"].to_numpy()
-        names, back = np.unique(np.concatenate([own, cids]), return_inverse=True)
+    def __init__(self, row: dict, wide: type, threshold: float):
+        self.threshold, self.beam = threshold, int(row["beam"])
+        self.cids, self.copies = np.frombuffer(row["cids"], np.int64), np.frombuffer(row["copies"], np.int64)
+        self.members = _unit(np.frombuffer(row["exact"], wide).reshape(len(self.cids), -1))
+        self.graph = Graph.load(row["graph"], self.members.astype(np.float32))
+
+    def answers(self, own: np.ndarray, vectors: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Each query's number of links in the graph, and a forest of the links of these queries."""
+        asked = _unit(vectors)
+        names, back = np.unique(np.concatenate([own, self.cids]), return_inverse=True)
         forest, total = Forest(len(names)), np.zeros(len(own), np.int64)
         for i in range(0, len(own), 512):
             part = asked[i : i + 512]
-            ids, sims = graph.search(part.astype(np.float32), beam, threshold=threshold - 1e-4)
-            q, slot = np.nonzero((sims >= threshold - 1e-4) & (ids >= 0))
-            node = ids[q, slot]
-            for j in range(0, len(q), 100_000):
-                a, b = q[j : j + 100_000], node[j : j + 100_000]
-                linked = ((part[a] * members[b]).sum(1) >= threshold) & (own[i + a] != cids[b])
-                a, b = a[linked], b[linked]
-                np.add.at(total, i + a, copies[b])
-                forest.link(back[i + a], back[len(own) + b])
+            for q, node in _near(self.graph, part.astype(np.float32), self.beam, self.threshold - 1e-4):
+                for j in range(0, len(q), 100_000):
+                    a, b = q[j : j + 100_000], node[j : j + 100_000]
+                    linked = ((part[a] * self.members[b]).sum(1) >= self.threshold) & (own[i + a] != self.cids[b])
+                    a, b = a[linked], b[linked]
+                    np.add.at(total, i + a, self.copies[b])
+                    forest.link(back[i + a], back[len(own) + b])
         roots = forest.roots(np.arange(len(names)))
         tied = np.nonzero(roots != np.arange(len(names)))[0]
-        counts = pd.DataFrame({"a": own, "b": pd.NA, "n": total})
-        ties = pd.DataFrame({"a": names[tied], "b": names[roots[tied]], "n": pd.NA})
-        return pd.concat([counts, ties]).astype("Int64")
+        some = total > 0
+        yield pd.DataFrame({"a": own[some], "b": pd.NA, "n": total[some]}).astype("Int64")
+        yield pd.DataFrame({"a": names[tied], "b": names[roots[tied]], "n": pd.NA}).astype("Int64")
+
+
+def _ask(threshold: float, wide: type):
+    """Rows arrive sorted by shard and lane, each graph before its queries, which stream past it."""
+
+    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asking = None
+        for frame in frames:
+            starts = [*np.nonzero(frame["graph"].notna().to_numpy())[0].tolist(), len(frame)]
+            for at, end in zip([0, *(s + 1 for s in starts[:-1])], starts):
+                for i in range(at, end, BLOCK):
+                    part = frame.iloc[i : min(i + BLOCK, end)]
+                    yield from asking.answers(part["cid"].to_numpy(np.int64), np.vstack(part["v"].to_numpy()))
+                if end < len(frame):
+                    asking = None  # the old graph goes before the next one comes
+                    asking = _Asking(frame.iloc[end].to_dict(), wide, threshold)
 
     return of
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+def near_vectors(
+    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, shard: int = SHARD, lane: int = LANE, audits: Callable[[list], None] | None = None
+) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of ``vectors``.
 
     ``n_links`` counts other rows linked directly (cosine at least
-    ``threshold``); ``component_id`` is the smallest id reachable. Vectors that
-    are null, empty, zero, or hold null or non-finite components, and rows with
-    a null id, link with nothing and are their own component. Vectors of
-    different lengths do not link. Rows that repeat an id and a vector link like copies.
+    ``threshold``, in double precision over the components as they are stored);
+    ``component_id`` is the smallest id reachable. Vectors that are null, empty,
+    zero, or hold null or non-finite components, and rows with a null id, link
+    with nothing and are their own component. Vectors of different lengths do
+    not link. Rows that repeat an id and a vector link like copies; different
+    vectors under one id are told apart. ``audits`` is called with one row for
+    each shard: shard, beam, probed (links of the probes), found.
     """
-    v = F.col(vector_col).cast("array<float>")
+    kind = vectors.schema[vector_col].dataType
+    single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    wide, component = (np.float32, "float") if single else (np.float64, "double")
+    v = F.col(vector_col).cast(f"array<{component}>")
     usable = (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0) & F.col(id_col).isNotNull()
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(usable, F.transform(v, lambda x: x + F.lit(0.0).cast("float"))).alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(usable, F.transform(v, lambda x: x + F.lit(0.0).cast(component))).alias("v"))
     rows = rows.withColumn("h1", F.when(F.col("v").isNotNull(), F.xxhash64("v"))).withColumn("h2", F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(1), F.col("v"))))
-    classes = written(rows.where("v is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("cid"), F.count("*").alias("copies"), F.any_value("v").alias("v")).withColumn("dim", F.size("v")))
-    sizes = classes.groupBy("dim").count()
-    dealt = classes.join(sizes.select(F.col("dim").alias("d"), F.greatest(F.lit(2), F.ceil(F.col("count") / shard)).cast("int").alias("shards"), F.ceil(F.col("count") / block).cast("int").alias("blocks")), F.col("dim") == F.col("d"))
-    dealt = dealt.withColumn("home", F.pmod("h1", "shards")).withColumn("block", F.pmod("h2", "blocks"))
+    # a class is one vector, whatever ids its rows have; its number stays with the written row
+    classes = rows.where("v is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.any_value("v").alias("v"))
+    classes = written(classes.withColumn("dim", F.size("v")).withColumn("cid", F.monotonically_increasing_id()))
+    count = F.col("count")
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    sizes = classes.groupBy("dim").count().select(F.col("dim").alias("d"), F.greatest(F.lit(2), F.ceil(count / shard)).cast("int").alias("shards"), count)
+    # a graph is sent once for each lane of queries: lanes are long, but for small tables as many as cores
+    sizes = sizes.withColumn("lanes", F.greatest(F.ceil(count / lane), F.least(F.ceil(count / BLOCK), F.ceil(cores / F.col("shards")))).cast("int")).drop("count")
+    dealt = classes.join(sizes, F.col("dim") == F.col("d")).withColumn("home", F.pmod("h1", "shards"))
     name = lambda c: F.concat_ws("/", "dim", c)
-    graphs = written(
-        dealt.select(name("home").alias("shard"), "cid", "copies", "v").groupBy("shard").applyInPandas(_build, "shard string, graph binary, exact binary, cids binary, copies binary")
-    )
-    asking = dealt.select("cid", "v", "block", "dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("s")).select("cid", "v", name("s").alias("shard"), F.col("block").cast("long").alias("block"))
-    places = asking.select(F.col("shard").alias("at"), F.col("block").alias("part")).distinct()
-    sent = places.join(graphs, F.col("at") == F.col("shard")).select("at", "part", "graph", "exact", "cids", "copies")
-    asked = asking.groupBy("shard", "block").cogroup(sent.groupBy("at", "part"))
-    found = written(asked.applyInPandas(_ask(threshold), "a long, b long, n long"))
+    built = "shard string, beam long, probed long, found long, graph binary, exact binary, cids binary, copies binary"
+    graphs = written(dealt.select(name("home").alias("shard"), "cid", "copies", "v").groupBy("shard").applyInPandas(_build(threshold, wide), built))
+    if audits:
+        audits(graphs.select("shard", "beam", "probed", "found").collect())  # one small row for each shard
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = dealt.select("cid", "v", "h2", "dim", "lanes", each("shards").alias("s")).select(name("s").alias("shard"), F.pmod("h2", "lanes").cast("long").alias("lane"), "cid", "v")
+    lanes = sizes.select(F.col("d").alias("dim"), "shards", each("lanes").alias("lane")).select("dim", "lane", each("shards").alias("s")).select(name("s").alias("shard"), F.col("lane").cast("long").alias("lane"))
+    sent = graphs.join(lanes, "shard").select("shard", "lane", "beam", "graph", "exact", "cids", "copies")
+    # queries have no graph, graphs no query; null sorts last, so that a graph comes first
+    stream = asking.unionByName(sent, allowMissingColumns=True).repartition("shard", "lane").sortWithinPartitions("shard", "lane", F.isnull("graph"))
+    found = written(stream.select("cid", "v", "beam", "graph", "exact", "cids", "copies").mapInPandas(_ask(threshold, wide), "a long, b long, n long"))
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
-    ties = found.where("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    groups = connected_components(ties)
-    known = (
-        classes.select("h1", "h2", "cid", "copies")
+    groups = connected_components(found.where("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    named = (
+        classes.select("h1", "h2", "cid", "least", "copies")
         .join(counts, F.col("cid") == F.col("a"), "left")
         .join(groups, F.col("cid") == F.col("node"), "left")
-        .select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component_id"))
+        .select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "cid").alias("group"))
     )
+    named = written(named)
+    known = named.join(named.groupBy("group").agg(F.min("least").alias("component_id")), "group").select("k1", "k2", "n_links", "component_id")
     out = rows.join(known, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")), "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    first = F.coalesce("component_id", "vec_id")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), first.alias("component_id"), F.coalesce(F.col("vec_id") == first, F.lit(True)).alias("kept"))

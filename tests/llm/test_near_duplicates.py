@@ -222,7 +222,8 @@ def slow_vectors(rows, threshold=0.95):
         return v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)
 
     good = [i for i, (k, v) in enumerate(rows) if k is not None and usable(v)]
-    x = np.array([rows[i][1] for i in good], np.float32).astype(np.float64)
+    x = np.array([rows[i][1] for i in good], np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     near = x @ x.T >= threshold
     np.fill_diagonal(near, False)
@@ -244,12 +245,13 @@ def test_vectors_query_has_the_links(spark, sf_dir):
 
 def test_vectors_recall_and_edges(spark):
     rng = np.random.default_rng(8)
-    base = rng.standard_normal((600, 32))
+    seen, base = [], rng.standard_normal((600, 32))
     close = base[:120] + 0.15 * rng.standard_normal((120, 32))
     crowd = base[7] + 0.12 * rng.standard_normal((150, 32))
     rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(np.concatenate([base, close, crowd]))]
     rows += [(2_000, rows[3][1]), (2_001, rows[3][1]), (2_002, None), (2_003, []), (2_004, [0.0] * 32), (2_005, [float("nan")] * 32), (2_006, [None] * 32), (2_007, [3e38] * 32), (2_008, [2e38] * 32), (None, rows[3][1])]
-    got = embed_hnsw.near_vectors(spark.createDataFrame([(k, v, 0) for k, v in rows], "vec_id long, embedding array<float>, shard int"), shard=200, block=128).collect()
+    got = embed_hnsw.near_vectors(spark.createDataFrame([(k, v, 0) for k, v in rows], "vec_id long, embedding array<float>, shard int"), shard=200, lane=128, audits=seen.extend).collect()
+    assert len(seen) > 3 and all(r.found >= 0.99 * r.probed for r in seen)
     want = slow_vectors(rows)
     found = sorted(str((r.vec_id, r.n_links, r.component_id)) for r in got)
     links = lambda x: sum(int(s.split(", ")[1]) for s in x)
@@ -257,3 +259,31 @@ def test_vectors_recall_and_edges(spark):
     assert sum(a == b for a, b in zip(found, want)) >= 0.95 * len(want)
     assert all(r.kept == (r.component_id is None or r.vec_id == r.component_id) for r in got)
     assert embed_hnsw.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_vectors_keep_doubles_and_tell_rows_of_one_id_apart(spark):
+    rows = [(1, [1e39, 0.0]), (2, [1.0, 0.0]), (3, [1e-50, 0.0]), (5, [0.0, 1.0]), (5, [1.0, 1.0]), (6, [0.05, 1.0]), (7, [1.02, 1.0]), (8, [1.0, 1.03]), (9, [-1.0, -1.0])]
+    got = embed_hnsw.near_vectors(spark.createDataFrame([(k, v, 0, 0) for k, v in rows], "vec_id long, embedding array<double>, n_links int, cid int"))
+    assert sorted(str((r.vec_id, r.n_links, r.component_id)) for r in got.collect()) == slow_vectors(rows)
+    assert got.columns == ["vec_id", "n_links", "component_id", "kept"]
+
+
+def test_vectors_compare_with_all_where_the_audit_fails(spark, monkeypatch):
+    """Graphs that find nothing: every shard falls back to comparing with all its members."""
+    rng = np.random.default_rng(3)
+    rows = [(i, list(map(float, v))) for i, v in enumerate(np.repeat(rng.standard_normal((60, 8)), 3, axis=0) + 0.05 * rng.standard_normal((180, 8)))]
+
+    def blind(self, queries, beam, level=0, there=None, threshold=None):
+        if threshold is None:
+            return plain(self, queries, beam, level, there)
+        return np.full((len(queries), 1), -1), np.full((len(queries), 1), -3, np.float32)
+
+    plain = embed_hnsw.Graph.search
+    monkeypatch.setattr(embed_hnsw.Graph, "search", blind)
+    x = np.array([v for _, v in rows])
+    graph = embed_hnsw.Graph.build((x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32))
+    beam, probed, found = embed_hnsw._audited(graph, 0.95)
+    assert beam == len(rows) and probed == found > 0
+    q = graph.vectors[:20]
+    pairs = {(int(a), int(b)) for a, b in zip(*map(np.concatenate, zip(*embed_hnsw._near(graph, q, beam, 0.95))))}
+    assert pairs == set(zip(*(x.tolist() for x in np.nonzero(q @ graph.vectors.T >= 0.95))))
