@@ -10,16 +10,35 @@ def _q(text: str) -> str:
 
 
 def merkle_fixity() -> str:
-    """Leaf digests by place; a leaf differs where the replica was made to differ."""
+    """Both replicas record by record: equal places first, then equal bytes, then equal ids."""
     n = warc.ARCHIVE_RECORDS
     crlf = "chr(13) || chr(10)"
-    record = (
-        f"'WARC/1.0' || {crlf} || 'WARC-Type: resource' || {crlf} || 'WARC-Record-ID: <urn:record:' || coalesce(cast(page_id as varchar), '') || '>' || {crlf} || 'WARC-Target-URI: ' || coalesce(url, '')"
-        f" || {crlf} || 'Content-Type: text/html' || {crlf} || 'Content-Length: ' || strlen(coalesce(html, '')) || {crlf} || {crlf} || coalesce(html, '') || {crlf} || {crlf}"
-    )
-    return f"""with r as (select page_id, cast(floor(page_id / {n}.0) as bigint) as archive, {record} as b from pages), l as (select page_id, archive, sha256(b) as digest, strlen(b) as size from r),
-    p as (select *, row_number() over o - 1 as seq, sum(size) over o as e from l window o as (partition by archive order by page_id, digest))
-    select page_id, archive, seq, cast(e - size as bigint) as start_offset, cast(e as bigint) as end_offset, digest, case when starts_with(digest, '1a') then 'missing' when starts_with(digest, '0') then 'changed' else 'intact' end as status from p"""
+
+    def record(html: str) -> str:
+        return (
+            f"'WARC/1.0' || {crlf} || 'WARC-Type: resource' || {crlf} || 'WARC-Date: {warc.DATE}' || {crlf} || 'WARC-Record-ID: <urn:record:' || coalesce(cast(page_id as varchar), '') || '>' || {crlf} || 'WARC-Target-URI: ' || coalesce(url, '')"
+            f" || {crlf} || 'Content-Type: text/html' || {crlf} || 'Content-Length: ' || strlen(coalesce({html}, '')) || {crlf} || {crlf} || coalesce({html}, '') || {crlf} || {crlf}"
+        )
+
+    def placed(name: str, rows: str) -> str:
+        return f"""{name} as (select page_id, archive, row_number() over o - 1 as seq, sum(size) over o - size as s, sum(size) over o as e, digest
+        from (select page_id, floor(page_id / {n}.0) as archive, first, sha256(b) as digest, strlen(b) as size from ({rows})) window o as (partition by archive order by first, page_id, digest))"""
+
+    def pair(number: int, left: str, right: str, by: str) -> str:
+        ranked = lambda t: f"(select *, row_number() over (partition by archive, {by} order by seq) as k from {t})"
+        same = f"a.archive is not distinct from b.archive and a.{by} is not distinct from b.{by} and a.k = b.k"
+        return f"""p{number} as (select a.* exclude (k) from {ranked(left)} a semi join {ranked(right)} b on {same}), l{number} as (select a.* exclude (k) from {ranked(left)} a anti join {ranked(right)} b on {same}), r{number} as (select b.* exclude (k) from {ranked(right)} b anti join {ranked(left)} a on {same})"""
+
+    other = "left(html, greatest(length(html) - 1, 0)) || case when right(html, 1) = '?' then '!' else '?' end"
+    same = "a.archive is not distinct from b.archive and a.seq = b.seq and a.s = b.s and a.e = b.e and a.digest = b.digest"
+    return f"""with g as (select page_id, url, html, sha256({record('html')}) as good from pages where true), kept as (select * from g where not starts_with(good, '1a')),
+    t as (select page_id, url, case when starts_with(good, '0') then coalesce({other}, '?') else html end as html, cast(starts_with(good, '3c') as int) as first from kept
+        union all select page_id, url, coalesce(html, '') || '+', 0 from kept where starts_with(good, '2b')),
+    {placed('ours', f"select page_id, 0 as first, {record('html')} as b from pages")}, {placed('theirs', f"select page_id, first, {record('html')} as b from t")},
+    p0 as (select a.* from ours a semi join theirs b on {same}), l0 as (select a.* from ours a anti join theirs b on {same}), r0 as (select b.* from theirs b anti join ours a on {same}),
+    {pair(1, 'l0', 'r0', 'digest')}, {pair(2, 'l1', 'r1', 'page_id')},
+    f as (select *, 'intact' as status from p0 union all select *, 'moved' from p1 union all select *, 'changed' from p2 union all select *, 'missing' from l2 union all select *, 'extra' from r2)
+    select page_id, cast(archive as bigint) as archive, seq, cast(s as bigint) as start_offset, cast(e as bigint) as end_offset, digest, status from f"""
 
 
 def line_dedup() -> str:

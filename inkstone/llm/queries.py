@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, embed_hnsw, html_blocks, langid, linededup, oracle, packing, pii, secrets, simhash, warc
@@ -21,25 +21,20 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record with its place and digest, audited against a replica
-    that is made to differ: records whose digest starts with 0 have lost their
-    last character there, those that start with 1a are absent."""
+    that has places and offsets of its own and is made to differ by the records'
+    digests: those that start with 0 have another last character there, 1a are
+    absent, 2b have a second record behind them, 3c lie at the end of their archive."""
     pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
-
-    def digest(html: Column) -> Column:
-        return F.sha2(warc.record_bytes(F.col("page_id"), F.col("url"), html), 256)
-
-    html, good = F.col("html"), digest(F.col("html"))
-    # where there is no character to lose, one is added
-    damaged = F.when(F.length(html) > 0, F.left(html, F.length(html) - 1)).otherwise("?")
-    theirs = F.when(F.startswith(good, F.lit("1a")), None).when(F.startswith(good, F.lit("0")), digest(damaged)).otherwise(good)
-    # both replicas by one numbering: absent records leave their place empty, so that the others keep theirs
-    ours = written(warc.leaves(pages, carry={"theirs": theirs}))
-    replica = ours.where("theirs is not null").select("archive", "seq", "start", "end", F.col("theirs").alias("digest"))
-    found = warc.audit(ours, replica, warc.levels_for(warc.ARCHIVE_RECORDS))
+    html, good = F.col("html"), F.sha2(warc.record_bytes(F.col("page_id"), F.col("url"), F.col("html")), 256)
+    starts = lambda text: F.startswith("good", F.lit(text))
+    damaged = F.concat(F.left(html, F.greatest(F.length(html) - 1, F.lit(0))), F.when(F.right(html, F.lit(1)) == "?", "!").otherwise("?"))
+    known = written(pages.withColumn("good", good)).where(~starts("1a"))
+    kept = known.withColumn("html", F.when(starts("0"), F.coalesce(damaged, F.lit("?"))).otherwise(html))
+    more = known.where(starts("2b")).withColumn("html", F.concat(F.coalesce(html, F.lit("")), F.lit("+")))
+    replica = warc.leaves(kept.unionByName(more), order=starts("3c").cast("int"))
+    found = warc.compare(warc.leaves(pages), replica, warc.levels_for(warc.ARCHIVE_RECORDS))
     archive = F.nullif("archive", F.lit(warc.NULL_IDS))
-    return ours.join(found, ["archive", "seq"], "left").select(
-        F.col("record_id").alias("page_id"), archive.alias("archive"), "seq", F.col("start").alias("start_offset"), F.col("end").alias("end_offset"), "digest", F.coalesce("status", F.lit("intact")).alias("status")
-    )
+    return found.select(F.col("record_id").alias("page_id"), archive.alias("archive"), "seq", F.col("start").alias("start_offset"), F.col("end").alias("end_offset"), "digest", "status")
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
