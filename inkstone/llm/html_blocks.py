@@ -19,6 +19,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,82 +36,135 @@ BATCH_BLOCKS = 4_096
 # Names of tags by what they do to the text.
 _BLOCK = frozenset("address article aside blockquote body button caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html iframe label legend li main nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_RAW = frozenset("script style title noscript template textarea svg iframe".split())
 _ENDS_ITSELF = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_STOPS = frozenset("ul ol dl table div section article form body".split())
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|title|noscript|template|textarea|svg|iframe)\b[^>]*+>.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][A-Za-z0-9]*+)((?:"[^"]*+"|'[^']*+'|[^"'>])*+)>|<[!?/][^>]*+>""",
-    re.S | re.I,
-)
+_NAME = re.compile("[A-Za-z][A-Za-z0-9]*")
+_TAG_PART = re.compile("""[>"']""")
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME_WORD = re.compile(r"[a-z]+")
+#: Lower case of ASCII letters alone: places stay what they are.
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 class Block:
+    """A leaf block: its text, the summed hashes of the tags and names around it, characters in links."""
+
     __slots__ = ("text", "path", "linked")
 
-    def __init__(self, text: str, path: tuple[str, ...], linked: int):
+    def __init__(self, text: str, path: np.ndarray, linked: int):
         self.text, self.path, self.linked = text, path, linked
 
 
+def tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closing, attributes) of all markup, in order; the name
+    is empty for comments and declarations, and a raw element (such as a script)
+    is one token with its contents. One way forward: whatever is found missing
+    once (an end of comment, of a tag, of a quote) is not looked for again, so
+    the time is linear whatever the page holds."""
+    low, size, at = page.translate(_LOWER), len(page), 0
+    quotes = True  # until a quote turns out to be open to the end of the page
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = size if end < 0 else end + 3
+            yield start, at, "", False, ""
+            continue
+        closing = page.startswith("/", start + 1)
+        name = _NAME.match(low, start + 1 + closing)
+        if not name and page[start + 1 : start + 2] not in ("!", "?", "/"):
+            at = start + 1
+            continue
+        end = -1
+        if name and quotes:
+            look = name.end()
+            while part := _TAG_PART.search(page, look):
+                if part[0] == ">":
+                    end = part.start()
+                    break
+                look = page.find(part[0], part.end()) + 1
+                if not look:
+                    break
+            quotes = end >= 0
+        if end < 0:
+            end = page.find(">", start)
+            if end < 0:
+                return  # no tag ends any more: the rest is text
+        at = end + 1
+        if name and name[0] in _RAW and not closing:
+            over = low.find(f"</{name[0]}", at)
+            over = page.find(">", over) if over >= 0 else -1
+            at = size if over < 0 else over + 1
+            yield start, at, "", False, ""
+        else:
+            yield start, at, name[0] if name else "", closing, page[name.end() : end] if name else ""
+
+
+@functools.lru_cache(maxsize=20_000)
+def _hashed(name: str) -> tuple[int, int]:
+    h = zlib.crc32(name.encode())
+    return h % PATH, 1 if h >> 31 else -1
+
+
 def blocks(page: str | None) -> list[Block]:
-    """Leaf blocks of a page in order, character references decoded and white
-    space folded. Malformed markup is read as far as it goes."""
+    """Leaf blocks of a page in order, character references of each run of text
+    decoded and white space folded. Malformed markup is read as far as it goes."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, np.ndarray]] = []
+    held: Counter[str] = Counter()
     parts: list[tuple[str, bool]] = []
-    link = 0
+    link, outside = False, np.zeros(PATH, np.int32)
     page = page or ""
 
     def close_block() -> None:
         if parts:
-            text = " ".join(html.unescape("".join(t for t, _ in parts)).split())
+            text = " ".join("".join(t for t, _ in parts).split())
             if text:
                 linked = sum(len(t) for t, in_link in parts if in_link)
-                out.append(Block(text, tuple(n for _, names in stack for n in names), linked))
+                out.append(Block(text, stack[-1][1] if stack else outside, linked))
             parts.clear()
 
+    def leave(at: int) -> None:
+        held.subtract(t for t, _ in stack[at:])
+        del stack[at:]
+
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            parts.append((page[at : m.start()], link > 0))
-        at = m.end()
-        tag = (m[3] or "").lower()
-        if not tag:
-            continue
+    for start, end, tag, closing, attributes in tokens(page):
+        if start > at:
+            parts.append((html.unescape(page[at:start]), link))
+        at = end
         if tag == "a":
-            link = 0 if m[2] else 1
+            link = not closing
         elif tag == "br":
-            parts.append((" ", link > 0))
+            parts.append((" ", link))
         elif tag in _BLOCK:
             close_block()
-            if m[2]:
-                if any(t == tag for t, _ in stack):
-                    while stack.pop()[0] != tag:
-                        pass
-                link = 0
+            if closing:
+                if held[tag] > 0:
+                    leave(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
+                link = False
                 continue
             ends = _ENDS_ITSELF.get(tag, ())
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ends:
-                    del stack[i:]
-                    break
-                if stack[i][0] in _STOPS:
-                    break
+            if any(held[t] > 0 for t in ends):
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] in ends:
+                        leave(i)
+                        break
+                    if stack[i][0] not in _ENDS_ITSELF:
+                        break
             if tag not in _VOID:
-                names = [w for n in _NAMES.findall(m[4]) for w in _NAME_WORD.findall("".join(n).lower())] if m[4] else []
-                stack.append((tag, (tag, *(f".{w}" for w in names[:8]))))
+                path = (stack[-1][1] if stack else outside).copy()
+                names = [w for n in _NAMES.findall(attributes) for w in _NAME_WORD.findall("".join(n).lower())] if attributes else []
+                for name in (tag, *(f".{w}" for w in names)):
+                    slot, sign = _hashed(name)
+                    path[slot] += sign
+                stack.append((tag, path))
+                held[tag] += 1
     if at < len(page):
-        parts.append((page[at:], link > 0))
+        parts.append((html.unescape(page[at:]), link))
     close_block()
     return out
 
 
-@functools.lru_cache(maxsize=20_000)
-def _path(path: tuple[str, ...]) -> np.ndarray:
-    h = np.array([zlib.crc32(name.encode()) for name in path[-24:]] or [0], np.int64)
-    return np.clip(np.bincount(h % PATH, np.where(h >> 31, 1.0, -1.0), PATH), -2, 2).astype(np.float32)
-
-
 def features(found: list[Block]) -> np.ndarray:
     """(blocks, PATH + WORDS + MEASURES) for one page's blocks."""
     size = len(found)
@@ -126,7 +180,7 @@ def features(found: list[Block]) -> np.ndarray:
     digits = np.array([sum(map(b.text.count, "0123456789")) for b in found])
     capital = np.array([b.text[:1].isupper() for b in found])
     measures = (np.log1p(n) / 6, np.minimum(1, linked / n), np.log1p(per) / 4, ends / per, commas / per, digits / n, np.arange(size) / size, capital)
-    return np.concatenate([np.array([_path(b.path) for b in found]), hashed, np.column_stack(measures)], axis=1).astype(np.float32)
+    return np.concatenate([np.clip(np.array([b.path for b in found]), -2, 2), hashed, np.column_stack(measures)], axis=1).astype(np.float32)
 
 
 class Labeller:
@@ -225,7 +279,7 @@ def sample_page(rng: random.Random) -> str:
     few = lambda a, b: " ".join(word() + (style if rng.random() < 0.9 else "") for _ in range(rng.randint(a, b))).capitalize()
 
     def sentences(a: int, b: int) -> str:
-        text = " ".join(few(2, 18) + rng.choice(["", "", ","]) + rng.choice(".....!?") for _ in range(rng.randint(a, b)))
+        text = " ".join(few(1, rng.choice([2, 8, 18, 18])) + rng.choice(["", "", ","]) + rng.choice(".....!?") for _ in range(rng.randint(a, b)))
         return text.upper().replace("&AMP;", "&amp;") if loud else text
 
     named = rng.random() < 0.8
@@ -264,7 +318,7 @@ def sample_page(rng: random.Random) -> str:
             return f'<p>{mark}{few(3, 9)} <a href="#">{few(1, 4)}</a> {sentences(1, 3)}</p>'
         return rng.choice([ad, form, side])()
 
-    body = "".join(part() for _ in range(rng.randint(1, 16)))
+    body = "".join(part() for _ in range(rng.randint(1, rng.choice([6, 16, 28]))))
     title = rng.choice([f"<h1>{mark}{few(2, 10)}</h1>"] * 4 + ["", f"<header><h1>{mark}{few(2, 9)}</h1></header>"])
     inside = title + body
     kind = rng.choice(["article"] * 4 + ["main", "div", "section"])

@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -218,11 +219,64 @@ def test_html_gradients():
 
 def test_html_edges(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>broken <b>x"), (4, "u", "<" * 5_000), (5, "u", "<p>a &amp; b</p>" * 3_000)]
-    got = html_blocks.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = html_blocks.main_text(spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, text string, n_chars int"))
+    assert html_blocks.main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
     assert sorted(str(r.page_id) for r in got.collect()) == ["1", "2", "4", "5", "None"]
     assert [b.text for b in html_blocks.blocks("<p>a <i>b</i><br>c<p>d &eacute;</p><script>x</p></script>e<!-- z --></div>f")] == ["a b c", "d é", "e", "f"]
 
 
+@pytest.mark.parametrize("unit", ["<script ", "<a ", "<a '", '<a "', "<!--", "<", "</", "<p>", "<div>", "</p>", "<blockquote><p>", "<td><li>", "<title>", "&amp;", "<![CDATA["])
+def test_html_reads_a_megabyte_of_anything(unit):
+    """Twice the text takes about twice the time (here: less than a quadratic scan's four times, with room for noise)."""
+    def took(n):
+        began = time.perf_counter()
+        html_blocks.blocks(unit * (n // len(unit)))
+        return time.perf_counter() - began
+
+    took(10_000)
+    assert took(1_000_000) < max(3.0, 12 * took(250_000))
+
+
+def test_html_decodes_before_markup_goes():
+    texts = lambda page: [b.text for b in html_blocks.blocks(page)]
+    assert texts("&<b>amp;</b>") == ["&amp;"] and texts("a &lt;b&gt; c&nbsp; d") == ["a <b> c d"]
+    assert texts("<p title='a > b'>x<p title=\"it's\">y") == ["x", "y"]
+    assert texts("<p>one<p title='open>two</p>three") == ["one", "two", "three"]
+    assert texts("<SCRIPT>a<p>b</Script >c<style>p{}") == ["c"] and texts("a < b <3 c") == ["a < b <3 c"]
+    deep = html_blocks.blocks("".join(f'<div class="{"x " * 20}n{i}">' for i in range(400)) + "<p>deep</p>")
+    assert len(deep) == 1 and np.abs(deep[0].path).sum() > 0
+
+
+PAGES = [
+    (
+        """<html><body><div class="topnav"><ul><li><a href=/>Home</a><li><a href=/news>News</a><li><a href=/sport>Sport</a></ul></div>
+        <main><h1>River levels fall after a dry spring</h1><p>Engineers said on Monday that levels along the lower river had dropped by almost a metre since March.
+        <p>Farmers downstream have asked for earlier releases from the dam, which stands at two thirds of its capacity.</p>
+        <ul><li>Releases start in June.</li><li>Boats over ten tons must wait.</li></ul></main>
+        <aside class="related"><h3>More</h3><ul><li><a href=/a>Dam repairs</a></li><li><a href=/b>Fishing season</a></li></ul></aside>
+        <footer>&copy; 2020 The Valley Post. <a href=/terms>Terms</a></footer></body></html>""",
+        ["River levels fall after a dry spring", "Engineers said on Monday that levels along the lower river had dropped by almost a metre since March.", "Farmers downstream have asked for earlier releases from the dam, which stands at two thirds of its capacity.", "Releases start in June.", "Boats over ten tons must wait."],
+    ),
+    (
+        """<body><header><a href="/">Kitchen Notes</a><p>Recipes and more</p></header><div class="cookie-notice"><p>We use cookies to improve this site.</p><button>Accept</button></div>
+        <article class="post"><h1>Bread without kneading</h1><p>Mix flour, water, salt and a little yeast in the evening, and leave the bowl on the table.</p>
+        <h2>The next day</h2><p>Fold the dough twice, let it rest for an hour, and bake it in a hot pot with the lid on for <b>thirty minutes</b>.</p>
+        <div class="ad">Buy our pots, now at half price!</div><p>Let it cool before you cut it.</p></article>
+        <section class="comments"><h3>Comments</h3><div class="comment"><b>Ann</b> <p>Mine came out flat, what did I do wrong?</p></div></section>
+        <form class="newsletter"><label>Email</label><input><button>Subscribe</button></form><footer><p>Copyright Kitchen Notes</p></footer></body>""",
+        ["Bread without kneading", "Mix flour, water, salt and a little yeast in the evening, and leave the bowl on the table.", "The next day", "Fold the dough twice, let it rest for an hour, and bake it in a hot pot with the lid on for thirty minutes.", "Let it cool before you cut it."],
+    ),
+]
+
+
+@pytest.mark.parametrize("page,want", PAGES)
+def test_html_pages_written_by_hand(page, want):
+    found = html_blocks.blocks(page)
+    chosen = html_blocks.label([found], html_blocks.trained())[0]
+    got = [b.text for b, c in zip(found, chosen) if c]
+    assert len(set(want) & set(got)) >= len(want) - 1 and len(set(got) - set(want)) <= 1
+
+
 def test_language_accuracy(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").collect()
     truth = {r.doc_id: r.lang for r in rows}
