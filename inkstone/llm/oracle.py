@@ -75,7 +75,7 @@ def decontamination() -> str:
     iw as (select distinct item_id, n, array_to_string(w[j:j + n - 1], ' ') as win from (select *, unnest(range(1, len(w) - n + 2)) as j from s)), sizes as (select distinct n from iw),
     d as (select doc_id, {words} as w from documents), dw as (select doc_id, n, j, array_to_string(w[j:j + n - 1], ' ') as win from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as j from d, sizes where len(w) >= n)),
     hits as (select doc_id, item_id, j, dw.n from dw join iw on dw.n = iw.n and dw.win = iw.win), marked as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(j, j + n)) as p from hits) group by doc_id),
-    met as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, cast(item_id as varchar) as item from hits) group by doc_id)
+    met as (select doc_id, count(item) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, cast(item_id as varchar) as item from hits) group by doc_id)
     select doc_id, cast(coalesce(len(w), 0) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
     coalesce(n_hit, 0) > 0 and {decontam.ONE_IN} * coalesce(n_hit, 0) >= len(w) as contaminated from d left join marked using (doc_id) left join met using (doc_id)"""
 

@@ -376,7 +376,7 @@ def slow_hits(text, items):
         for i in range(len(words) - n + 1 if n else 0):
             if tuple(words[i : i + n]) in windows:
                 hit |= set(range(i, i + n))
-                found.add(str(item))
+                found |= set() if item is None else {str(item)}
     joined = ",".join(sorted(found))
     return len(words), len(hit), len(found), hashlib.sha256(joined.encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(words)
 
@@ -398,9 +398,11 @@ def test_decontamination_random(spark, monkeypatch):
     items = [(i, sentence(rng.choice([1, 2, 5, 13, 14, 20]))) for i in range(12)] + [(50, None), (51, "..."), (None, "a b"), (0, "c3 c3 c3")]
     rows = [(i, sentence(rng.randint(0, 80)) + " " + rng.choice(items)[1].__str__()) for i in range(60)] + [(98, None), (99, "")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    want = {d: slow_hits(t, [x for x in items if x[0] is not None]) for d, t in rows}
+    want = {d: slow_hits(t, items) for d, t in rows}
     assert {r.doc_id: fields(r) for r in decontam.contamination(docs(spark, rows), bench).collect()} == want
-    monkeypatch.setattr(decontam, "CHUNK_BYTES", 200)
+    monkeypatch.setattr(decontam, "CHUNK_BYTES", 600)
+    monkeypatch.setattr(decontam, "PIECE_WORDS", 4)
+    assert decontam._parts(bench, "item_id", "text", 13)[1] > 2
     assert {r.doc_id: fields(r) for r in decontam.contamination(docs(spark, rows), bench).collect()} == want
     assert not any(r.contaminated for r in decontam.contamination(docs(spark, rows), bench.limit(0)).collect())
     kept = decontam.drop_contaminated(docs(spark, rows), bench)
