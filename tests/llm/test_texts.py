@@ -443,6 +443,63 @@ def test_secrets_random_and_lexer(spark):
     assert len(secrets.secrets(docs(spark, [(None, "x"), (1, "y"), (1, "y")])).collect()) == 3
 
 
+FORMS = [
+    "{n} = {q}",
+    "{n} := {q}",
+    "export {n}={b}",
+    "{n}: {q}",
+    "  - {n}: {b}  # note",
+    "'{n}' => {q},",
+    '{{"{n}": {q}}}',
+    "const {n}: string = {q};",
+    "String {n} = {q};",
+    "var {n} string = {q}",
+    "cfg['{n}'] = {q}",
+    "<set {n}={q}/>",
+    "<{n}>{b}</{n}>",
+    "{n} = r{q}",
+    "{n} = ({q})",
+    "{n}=$(cat <<END\n{b}\nEND\n)",
+    "{n}: |\n    {b}\n",
+    "{n} = '''{b}'''",
+    "/* {n} = {q} */",
+]
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_secrets_lexer_reads_assignments_of_every_form(form):
+    """Statements made from known names and literals, through chains of constants in any order."""
+    rng = random.Random(form)
+    letters = "abcdefghkmnpqrstuvwxyzABCDEFGH23456789"
+    for _ in range(20):
+        literal = "".join(rng.sample(letters, 18)) + "7"
+        quoted = rng.choice("\"'") + "{}" 
+        quoted = quoted.format(literal) + quoted[0]
+        hops = [f"v{i}x" for i in range(rng.randint(0, 4))]
+        target = rng.choice(["db_password", "clientSecret", "API_KEY", "authToken"])
+        chain = [*hops, target]
+        lines = [form.format(n=chain[0], q=quoted, b=literal)] + [f"{b} = {a}" for a, b in zip(chain, chain[1:])]
+        other = "".join(rng.sample(letters, 18)) + "8"
+        lines.append(form.format(n="plain_name", q=f'"{other}"', b=other))
+        if rng.random() < 0.5 and len(lines) < 4 or "\n" not in form:
+            rng.shuffle(lines)
+        text = "it's a note: see below\n" + "\n".join(lines) + "\nend of file"
+        assert [text[s:e] for k, s, e in secrets.scan(text) if k == "pair"] == [literal], text
+
+
+def test_secrets_lexer_edges():
+    found = lambda text: [text[s:e] for k, s, e in secrets.scan(text) if k == "pair"]
+    assert found("if password == 'aB3dE6gH9kL2'") == [] and found("password = os.getenv('HOME_DIRECTORY_1')") == []
+    assert found("a = b\nb = a\npassword = a") == [] and found("password = password") == []
+    assert found("password = \"aB3dE6\" +\n  'gH9kL2'") == ["aB3dE6\" +\n  'gH9kL2"]
+    assert found("base = 'aB3dE6gH9kL2'\napi_key = f'{base}/x'") == ["aB3dE6gH9kL2"]
+    assert found("x" * 300 + "_password = 'aB3dE6gH9kL2'") == ["aB3dE6gH9kL2"]
+    for unit in ('password = "', "'", "'''", 'token = token + "a1b2c3d4e5f6"\n', "password: |\n", "<<EOF key ", "key=<", "secret: (", "pass<a>b</", "token:\n"):
+        began = time.perf_counter()
+        secrets.scan(unit * (200_000 // len(unit)))
+        assert time.perf_counter() - began < 20, unit
+
+
 def luhn(digits):
     total = 0
     for i, c in enumerate(reversed(digits)):
