@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, linededup, warc
+from . import decontam, linededup, pii, warc
 
 
 def _q(text: str) -> str:
@@ -81,27 +81,41 @@ def decontamination() -> str:
 
 
 def personal_data() -> str:
-    """The plain patterns, leftmost first, then the checks."""
+    """The plain patterns, leftmost first, then the checks, then the words around what is left."""
     digits = "regexp_replace(hit, '[^0-9]', '', 'g')"
     luhn = f"list_sum(list_transform(list_reverse(string_split({digits}, '')), lambda c, i: case when i % 2 = 1 then cast(c as integer) else 2 * cast(c as integer) - (case when cast(c as integer) > 4 then 9 else 0 end) end)) % 10 = 0"
     small = "len(list_filter(string_split(hit, '.'), lambda p: length(ltrim(p, '0')) > 3 or cast('0' || right(p, 3) as integer) > 255)) = 0"
     value = "case when regexp_matches(c, '[0-9]') then c else cast(ascii(c) - 55 as varchar) end"
+    plain = "replace(hit, ' ', '')"
     # the remainder of a long number, digit by digit
-    mod97 = f"list_reduce(list_prepend(0, list_transform(string_split(array_to_string(list_transform(string_split(hit[5:] || hit[1:4], ''), lambda c: {value}), ''), ''), lambda c: cast(c as integer))), lambda a, b: (a * 10 + b) % 97) = 1"
+    mod97 = f"list_reduce(list_prepend(0, list_transform(string_split(array_to_string(list_transform(string_split({plain}[5:] || {plain}[1:4], ''), lambda c: {value}), ''), ''), lambda c: cast(c as integer))), lambda a, b: (a * 10 + b) % 97) = 1"
+    shape = "[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)"
+    local = f"length({digits}) between 7 and 12 and not ends_with(gap, '+') and not regexp_matches(hit, '^[0-9]+(\\.[0-9]+){{2,3}}$|^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')"
     kinds = [
         ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
         ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", small),
-        ("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({digits}) between 16 and 19 and {luhn}"),
+        ("card", r"[0-9](?:[ -]?[0-9])+", f"length({digits}) between 16 and 19 and {luhn}"),
         ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) between 8 and 15"),
-        ("iban", r"[A-Za-z0-9]+", f"case when regexp_full_match(hit, '[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}') then {mod97} else false end"),
+        ("iban", "", mod97),
+        ("local", r"[0-9][0-9().\x20/-]*[0-9]", local),
     ]
     parts = []
-    for order, (kind, pattern, valid) in enumerate(kinds):
-        p = _q(pattern.replace(r"[\x20-]", "[ -]"))
-        ends = f"select doc_id, unnest(h) as hit, unnest(g[1:len(h)]) as gap, generate_subscripts(h, 1) as k from (select doc_id, regexp_extract_all(coalesce(text, ''), {p}) as h, string_split_regex(coalesce(text, ''), {p}) as g from documents)"
-        placed = f"select doc_id, hit, sum(length(gap) + length(hit)) over (partition by doc_id order by k) as e from ({ends})"
-        parts.append(f"select doc_id, {order} as o, '{kind}' as kind, cast(e - length(hit) as bigint) as s, cast(e as bigint) as e from ({placed}) where {valid}")
+    for order, ((kind, pattern, valid), rule) in enumerate(zip(kinds, pii.KINDS)):
+        p = _q(pattern)
+        if kind == "iban":  # every place where one can start; the longest shape that ends with its word
+            begins = "list_filter(range(1, length(text) + 1), lambda i: regexp_matches(substr(text, i, 4), '[A-Z]{2}[0-9]{2}') and not regexp_matches(substr(text, i - 1, 1), '[A-Za-z0-9]'))"
+            some = "select doc_id, text, unnest(%s) as i from documents where regexp_matches(text, '[A-Z]{2}[0-9]{2}[ A-Z0-9][A-Z0-9]')" % begins
+            ends = f"select doc_id, i, regexp_extract(substr(text, i, 60), '^({shape})(?:[^A-Za-z0-9]|$)', 1) as hit from ({some})"
+            placed = f"select doc_id, hit, '' as gap, i - 1 + length(hit) as e from ({ends}) where hit <> ''"
+        else:
+            ends = f"select doc_id, unnest(h) as hit, unnest(g[1:len(h)]) as gap, generate_subscripts(h, 1) as k from (select doc_id, regexp_extract_all(coalesce(text, ''), {p}) as h, string_split_regex(coalesce(text, ''), {p}) as g from documents)"
+            placed = f"select doc_id, hit, gap, sum(length(gap) + length(hit)) over (partition by doc_id order by k) as e from ({ends})"
+        checked = f"select doc_id, cast(e - length(hit) as bigint) as s, cast(e as bigint) as e from ({placed}) where {valid}"
+        near = lambda text: f"regexp_matches(lower({text}), '\\b(?:{rule.near})')"  # noqa: B023, E731
+        score = f"{rule.score} + case when {near(f'substr(text, greatest(s - {pii.BEFORE}, 0) + 1, least(s, {pii.BEFORE}))')} then {pii.ADDS_BEFORE} else 0 end + case when {near(f'substr(text, e + 1, {pii.BEHIND})')} then {pii.ADDS_BEHIND} else 0 end"
+        scored = f"select doc_id, {order} as o, '{kind}' as kind, s, e, {score} as score from ({checked}) join documents using (doc_id)"
+        parts.append(f"select * from ({scored}) where score >= {rule.least or 0}")
     counts = ", ".join(f"count(*) filter (kind = '{k}') as n_{k}" for k, _, _ in kinds)
     one = "kind || ':' || s || ':' || e"
-    return f"""with spans as ({' union all '.join(parts)}), a as (select doc_id, {counts}, string_agg({one}, ',' order by o, s) filter (o < 4) as base, string_agg({one}, ',' order by o, s) as spans from spans group by doc_id)
-    select documents.doc_id, {', '.join(f'coalesce(n_{k}, 0) as n_{k}' for k, _, _ in kinds)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from documents left join a on documents.doc_id = a.doc_id"""
+    return f"""with spans as ({' union all '.join(parts)}), a as (select doc_id, {counts}, string_agg({one}, ',' order by o, s) filter (o < 4) as base, string_agg({one}, ',' order by o, s) as spans, string_agg(cast(score as varchar), ',' order by o, s) as scores from spans group by doc_id)
+    select documents.doc_id, {', '.join(f'coalesce(n_{k}, 0) as n_{k}' for k, _, _ in kinds)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(scores, '') as scores from documents left join a on documents.doc_id = a.doc_id"""
