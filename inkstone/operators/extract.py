@@ -18,53 +18,48 @@ STAT = "struct<stat_type:string,value:string,unit:string,phrase:string,context_s
 CONTEXT, DENSITY = 25, 0.15
 
 
-def occurrences(c: Column, pattern: str, groups: int) -> Column:
-    """All matches in order: start, end and the groups. A pattern must match no
-    empty text; starts follow from the texts between the matches."""
-    zipped = F.arrays_zip(
-        F.split(c, pattern, -1).alias("gap"), F.regexp_extract_all(c, F.lit(pattern), F.lit(0)).alias("hit"),
-        *(F.regexp_extract_all(c, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in range(1, groups + 1)),
-    )
-    found = F.filter(zipped, lambda x: x["hit"].isNotNull())
-    kind = "array<struct<start:int,end:int," + ",".join(f"g{g}:string" for g in range(1, groups + 1)) + ">>"
-
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        got = F.struct(start.alias("start"), end.alias("end"), *(x[f"g{g}"].alias(f"g{g}") for g in range(1, groups + 1)))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(got).cast(kind)).alias("out"))
-
-    return F.aggregate(found, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda s: s["out"])
-
-
 def _first(*groups: Column) -> Column:
     return F.coalesce(*(F.nullif(g, F.lit("")) for g in groups))
 
 
 def sentence_stats(s: Column) -> Column:
     """Facts of one sentence: money, percent, date, duration, count, each in
-    order. Sentences with a run of twenty digits have none."""
-    unit = lambda m: F.lower(m["g2"])
+    order. Sentences with a run of twenty digits have none.
+
+    A kind's pattern runs only where its cheap gate is open; the groups are cut
+    out of the hits, and places follow from the texts between the hits."""
+    unit = lambda m: F.lower(m(2))
     shape = {
-        "money": (3, lambda m: _first(m["g1"], m["g2"], m["g3"]), lambda m: F.lit("usd")),
-        "percent": (2, lambda m: m["g1"], lambda m: F.lit("percent")),
-        "date": (3, lambda m: _first(m["g1"], m["g2"], m["g3"]), lambda m: F.lit("date")),
-        "duration": (2, lambda m: F.concat_ws(" ", m["g1"], unit(m)), lambda m: F.regexp_replace(unit(m), "s+$", "")),
-        "count": (2, lambda m: m["g1"], unit),
+        "money": (lambda m: _first(m(1), m(2), m(3)), lambda m: F.lit("usd")),
+        "percent": (lambda m: m(1), lambda m: F.lit("percent")),
+        "date": (lambda m: m(0), lambda m: F.lit("date")),
+        "duration": (lambda m: F.concat_ws(" ", m(1), unit(m)), lambda m: F.regexp_replace(unit(m), "s+$", "")),
+        "count": (lambda m: m(1), unit),
     }
-    def facts(name: str, groups: int, value, of) -> Column:
-        pattern, folded = P.FACTS[name]
+    none = F.array().cast(f"array<{STAT}>")
+
+    def facts(name: str, value, of) -> Column:
+        pattern, folded, gate = P.FACTS[name]
+        pattern = f"(?{'i' if folded else ''}Ud){pattern}"
+
+        def placed(hits: Column) -> Column:
+            def step(state: Column, x: Column) -> Column:
+                start = state["at"] + F.length(x["gap"])
+                end = start + F.length(x["hit"])
+                left = F.greatest(start - CONTEXT, F.lit(0))
+                group = lambda g: F.regexp_extract(x["hit"], pattern, g) if g else x["hit"]
+                fact = F.struct(F.lit(name).alias("stat_type"), value(group).alias("value"), of(group).alias("unit"), X.trim_ws(F.substring(s, left + 1, end + CONTEXT - left)).alias("phrase"), s.alias("context_sentence"))
+                return F.struct(end.alias("at"), F.concat(state["out"], F.array(fact).cast(f"array<{STAT}>")).alias("out"))
 
-        def fact(m: Column) -> Column:
-            left = F.greatest(m["start"] - CONTEXT, F.lit(0))
-            phrase = X.trim_ws(F.substring(s, left + 1, m["end"] + CONTEXT - left))
-            return F.struct(F.lit(name).alias("stat_type"), value(m).alias("value"), of(m).alias("unit"), phrase.alias("phrase"), s.alias("context_sentence")).cast(STAT)
+            both = F.zip_with(F.slice(F.split(s, pattern, -1), 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+            return F.when(F.size(hits) > 0, F.aggregate(both, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda st: st["out"])).otherwise(none)
 
-        return F.transform(occurrences(s, f"(?{'i' if folded else ''}Ud){pattern}", groups), fact)
+        found = X.let(F.regexp_extract_all(s, F.lit(pattern), F.lit(0)), placed)
+        return F.when(s.rlike(gate), found).otherwise(none)
 
     kinds = [facts(name, *how) for name, how in shape.items()]
-    some = s.rlike(r"(?U)\d") & ~s.rlike(rf"(?U){P.LONG_RUN}")
-    return F.when(some, F.concat(*kinds)).otherwise(F.array().cast(f"array<{STAT}>"))
+    some = s.rlike(P.ANY_DIGIT) & ~s.rlike(rf"(?U){P.LONG_RUN}")
+    return F.when(some, F.concat(*kinds)).otherwise(none)
 
 
 def stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -334,9 +329,11 @@ def attributes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.transform(lines, lambda x: made(F.regexp_extract(x, line, 1), F.regexp_extract(x, line, 2), x, "line_kv", 0.9)),
     ).cast(ATTRIBUTE)
     found = F.filter(found, lambda a: (a["label"] != "") & (a["value"] != "") & (a["key"] != "") & (F.length(a["key"]) <= 80))
-    rows = docs.select(id_col, found.alias("a"))
-    first = F.filter("a", lambda a, i: ~F.exists(F.slice(F.col("a"), 1, i), lambda b: (b["key"] == a["key"]) & (b["value"] == a["value"])))
-    return rows.select(id_col, first.alias("attributes"))
+    # equal keys and values side by side, the first of each ahead; then back in order
+    rows = docs.select(id_col, F.array_sort(F.transform(found, lambda a, i: F.struct(a["key"].alias("key"), a["value"].alias("value"), i.alias("i"), a.alias("a")))).alias("a"))
+    new = lambda x, i: F.coalesce((F.get(F.col("a"), i - 1)["key"] != x["key"]) | (F.get(F.col("a"), i - 1)["value"] != x["value"]), F.lit(True))
+    first = F.array_sort(F.transform(F.filter("a", new), lambda x: F.struct(x["i"].alias("i"), x["a"].alias("a"))))
+    return rows.select(id_col, F.transform(first, lambda x: x["a"]).alias("attributes"))
 
 
 def fact_records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

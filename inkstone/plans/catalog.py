@@ -423,7 +423,7 @@ def _facts_sql(source: str) -> str:
     shape = {"money": (3, first, "'usd'"), "percent": (2, "g1", "'percent'"), "date": (3, first, "'date'"), "duration": (2, "g1 || ' ' || lower(g2)", "rtrim(lower(g2), 's')"), "count": (2, "g1", "lower(g2)")}
     parts = []
     for order, (name, (groups, value, unit)) in enumerate(shape.items()):
-        pattern, folded = P.FACTS[name]
+        pattern, folded, _ = P.FACTS[name]
         pattern = q(("(?i)" if folded else "") + pattern)
         found = ", ".join(f"unnest(regexp_extract_all(sentence, {pattern}, {g})) as g{g}" for g in range(1, groups + 1))
         rows = f"select doc_id, sent_idx, sentence, string_split_regex(sentence, {pattern}) as gaps, regexp_extract_all(sentence, {pattern}) as hits, generate_subscripts(regexp_extract_all(sentence, {pattern}), 1) as k, {found} from {source} where regexp_matches(sentence, '\\d') and not regexp_matches(sentence, {q(P.LONG_RUN)})"

@@ -44,6 +44,9 @@ def narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
         "nation": text(F.col("c_nationkey")),
         "segment": F.col("c_mktsegment"),
     }
+    # the texts grow out of a small aggregate, which adaptive execution would leave in one task
+    cores = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows = rows.repartition(cores, "c_custkey")
     return rows.select(F.col("c_custkey").alias("doc_id"), F.concat(*_parts(lambda t: F.lit(t), fields)).alias("text"))
 
 

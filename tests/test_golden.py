@@ -1,10 +1,9 @@
-"""Golden cases read as data from the folders that ``GOLDEN_DIR`` (suites of cases)
-and ``GOLDEN_TEXTS`` (inputs that several cases share) name; skipped without them."""
+"""Golden cases: texts, arguments and the results that must come out, kept as
+data in ``golden/cases.json``. Cases of equal arguments run as one DataFrame."""
 
 from __future__ import annotations
 
 import json
-import os
 from pathlib import Path
 
 import pytest
@@ -13,79 +12,64 @@ from inkstone.functions import text as X
 from inkstone.operators import extract
 from inkstone.operators.summarize import extract_keyword, summarize
 
-ROOT = Path(os.environ.get("GOLDEN_DIR", "/nowhere"))
-CORPUS = Path(os.environ.get("GOLDEN_TEXTS", "/nowhere"))
-pytestmark = pytest.mark.skipif(not ROOT.exists(), reason="no golden cases here")
+GOLDEN = json.loads((Path(__file__).parent / "golden" / "cases.json").read_text(encoding="utf-8"))
 
 
-def cases(suite):
-    for case in sorted((ROOT / suite).glob("*")) if ROOT.exists() else ():
-        given, expected = case / "input.txt", case / "expected.txt"
-        if not given.exists():
-            given = CORPUS / f"{case.name.split('__')[0]}.txt"
-        if given.exists() and expected.exists():
-            yield pytest.param(case, given, expected, id=f"{suite}/{case.name}")
+def groups(suite):
+    """Lists of the suite's cases with equal arguments, named by their first case."""
+    found = {}
+    for case in GOLDEN["cases"]:
+        if case["suite"] == suite:
+            found.setdefault(json.dumps(case["args"], sort_keys=True), []).append(case)
+    return [pytest.param(of, id=of[0]["case"]) for of in found.values()]
 
 
-def one(spark, path):
-    return spark.createDataFrame([(1, path.read_bytes().decode())], "doc_id long, text string")
+def check(spark, cases, made):
+    """``made`` takes the documents of all cases and gives one column, by the order of the cases."""
+    docs = spark.createDataFrame([(i, GOLDEN["texts"][c["text"]]) for i, c in enumerate(cases)], "doc_id long, text string")
+    got = {r[0]: r[1] for r in made(docs).collect()}
+    for i, case in enumerate(cases):
+        assert got[i] == case["expected"], case["case"]
 
 
-@pytest.mark.parametrize("case,given,expected", [*cases("clean_text"), *cases("strip_think"), *cases("keyword"), *cases("tfidf-legacy"), *cases("tfidf-v0.2")])
-def test_modes(spark, case, given, expected):
-    config = json.loads((case / "config.json").read_text())
-    params, docs = config.get("params", {}), one(spark, given)
+@pytest.mark.parametrize("cases", groups("modes"))
+def test_modes(spark, cases):
+    config = cases[0]["args"]
+    params = config.get("params", {})
     made = {
-        "clean_text": lambda: docs.select(X.clean_text("text").alias("x")),
-        "strip_think": lambda: docs.select(X.strip_think("text").alias("x")),
-        "keyword": lambda: extract_keyword(docs, params["keywords"], params.get("num_sentences", 10)).select("extract"),
-        "tfidf": lambda: summarize(docs, params.get("max_length", 500), mode=params.get("scorer_mode", "legacy")).select("summary"),
+        "clean_text": lambda docs: docs.select("doc_id", X.clean_text("text")),
+        "strip_think": lambda docs: docs.select("doc_id", X.strip_think("text")),
+        "keyword": lambda docs: extract_keyword(docs, params["keywords"], params.get("num_sentences", 10)).select("doc_id", "extract"),
+        "tfidf": lambda docs: summarize(docs, params.get("max_length", 500), mode=params.get("scorer_mode", "legacy")).select("doc_id", "summary"),
     }
-    assert made[config["mode"]]().first()[0] == expected.read_bytes().decode()
+    check(spark, cases, made[config["mode"]])
 
 
-def wanted(suite):
-    return [*cases(suite)]
-
-
-@pytest.mark.parametrize("case,given,expected", [*wanted("v0_4_hints"), *wanted("v0_4_2_pins"), *wanted("v0_4_3_headings")])
-def test_hints_and_pins(spark, case, given, expected):
-    args = json.loads((case / "args.json").read_text())
+@pytest.mark.parametrize("cases", groups("summaries"))
+def test_hints_pins_and_headings(spark, cases):
+    args = {k: v for k, v in cases[0]["args"].items() if v is not None}
     length = args.pop("max_length", 500)
-    got = summarize(one(spark, given), length, **{k: v for k, v in args.items() if v is not None}).first()
-    assert got.summary == expected.read_bytes().decode()
-
-
-def rows(spark, kind, docs):
-    f = {
-        "stats": lambda: [f"{s.stat_type} | {s.value} | {s.unit} | {s.phrase} | {s.context_sentence}" for s in extract.stats(docs).first().stats],
-        "outline": lambda: [f"{o.depth} | {o.name} | {o.representative_sentence}" for o in extract.outline(docs).first().outline],
-        "toc": lambda: extract.toc(docs).first().toc,
-        "phrases": lambda: extract.phrases(docs).first().phrases,
-        "top_terms": lambda: extract.top_terms(docs).first().terms,
-        "key_facts": lambda: extract.key_facts(docs).first().key_facts,
-        "correlate_facts": lambda: [f"{c.entity} | {c.number} | {c.polarity} | {c.sentence}" for c in extract.correlate_facts(docs).first().correlated_facts],
-    }
-    if kind == "metadata":
-        m = extract.metadata(docs).first().metadata
-        return [f"DATES: {', '.join(m.dates)}", f"AMOUNTS: {', '.join(m.amounts)}", f"URLS: {', '.join(m.urls)}", f"ENTITIES: {', '.join(m.entities)}"]
-    return f[kind]()
+    check(spark, cases, lambda docs: summarize(docs, length, **args).select("doc_id", "summary"))
 
 
-def parity():
-    for kind in sorted((ROOT / "extract-parity").glob("*")) if ROOT.exists() else ():
-        for case in sorted(kind.glob("*")):
-            given = case / "input.txt"
-            given = given if given.exists() else CORPUS / f"{case.name}.txt"
-            if given.exists():
-                yield pytest.param(kind.name, given, case / "expected.txt", id=f"{kind.name}/{case.name}")
+LINES = {
+    "stats": (extract.stats, lambda x: f"{x.stat_type} | {x.value} | {x.unit} | {x.phrase} | {x.context_sentence}"),
+    "outline": (extract.outline, lambda x: f"{x.depth} | {x.name} | {x.representative_sentence}"),
+    "correlate_facts": (extract.correlate_facts, lambda x: f"{x.entity} | {x.number} | {x.polarity} | {x.sentence}"),
+    **{name: (f, str) for name, f in (("toc", extract.toc), ("phrases", extract.phrases), ("top_terms", extract.top_terms), ("key_facts", extract.key_facts))},
+}
 
 
-@pytest.mark.parametrize("kind,given,expected", [*parity()])
-def test_extraction(spark, kind, given, expected):
-    got = rows(spark, kind, one(spark, given))
-    text = "\n".join(line.rstrip() if kind == "metadata" else line for line in got) + ("\n" if got else "")
-    want = expected.read_bytes().decode() if expected.exists() else ""
+@pytest.mark.parametrize("cases", groups("facts"))
+def test_facts(spark, cases):
+    kind = cases[0]["args"]["kind"]
+    docs = spark.createDataFrame([(i, GOLDEN["texts"][c["text"]]) for i, c in enumerate(cases)], "doc_id long, text string")
     if kind == "metadata":
-        want = "\n".join(line.rstrip() for line in want.split("\n"))
-    assert text == want
+        for r in extract.metadata(docs).collect():
+            m = r.metadata
+            got = [f"{name.upper()}: {', '.join(m[name])}".rstrip() for name in ("dates", "amounts", "urls", "entities")]
+            assert got == [line.rstrip() for line in cases[r.doc_id]["expected"].splitlines()], cases[r.doc_id]["case"]
+        return
+    made, line = LINES[kind]
+    for r in made(docs).collect():
+        assert "".join(f"{line(x)}\n" for x in r[1]) == cases[r.doc_id]["expected"], cases[r.doc_id]["case"]
