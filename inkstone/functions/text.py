@@ -167,7 +167,7 @@ def letter_words(c: Column | str) -> Column:
 
 def word_count(c: Column | str) -> Column:
     """Words between white space."""
-    return F.regexp_count(col(c), F.lit(f"[^{_S[1:]}+"))
+    return F.size(F.filter(F.split(col(c), f"{_S}+", -1), lambda w: w != ""))
 
 
 def polarity(c: Column | str) -> Column:

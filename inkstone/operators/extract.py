@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import hints as H
+from ..functions import numbers as N
 from ..functions import patterns as P
 from ..functions import text as X
 from . import scoring
@@ -62,10 +63,61 @@ def sentence_stats(s: Column) -> Column:
     return F.when(some, F.concat(*kinds)).otherwise(none)
 
 
-def stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, stats): all facts of a document in order; no shuffle."""
+def word_stats(s: Column) -> Column:
+    """Facts of one sentence, spelled-out numbers included: patterns run where
+    digits stand for them, and values, phrases and places are those of the
+    sentence itself. Sentences without such numbers have the facts of ``sentence_stats``."""
+    none = F.array().cast(f"array<{STAT}>")
+
+    def of(x: Column) -> Column:
+        text, spans = x["text"], x["map"]
+
+        def facts(name: str) -> Column:
+            pattern, folded, _ = P.FACTS[name]
+            pattern = f"(?{'i' if folded else ''}Ud){pattern}"
+
+            def placed(hits: Column) -> Column:
+                def step(state: Column, h: Column) -> Column:
+                    start = state["at"] + F.length(h["gap"])
+                    end = start + F.length(h["hit"])
+                    left, right = N.back(start, spans, False), N.back(end, spans, True)
+                    cut = lambda a, b: X.trim_ws(F.substring(s, a + 1, b - a))
+                    group = lambda g: F.regexp_extract(h["hit"], pattern, g)
+                    number = cut(left, N.back(start + F.length(group(1)), spans, True))
+                    unit_at = N.back(end - F.length(group(2)), spans, False)
+                    value, unit = {
+                        "money": (cut(left, right), F.lit("usd")),
+                        "percent": (number, F.lit("percent")),
+                        "date": (cut(left, right), F.lit("date")),
+                        "duration": (F.concat_ws(" ", number, F.lower(cut(unit_at, right))), F.regexp_replace(F.lower(group(2)), "s+$", "")),
+                        "count": (number, F.lower(group(2))),
+                    }[name]
+                    near = F.greatest(left - CONTEXT, F.lit(0))
+                    fact = F.struct(F.lit(name).alias("stat_type"), value.alias("value"), unit.alias("unit"), X.trim_ws(F.substring(s, near + 1, right + CONTEXT - near)).alias("phrase"), s.alias("context_sentence"))
+                    return F.struct(end.alias("at"), F.concat(state["out"], F.array(fact).cast(f"array<{STAT}>")).alias("out"))
+
+                both = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+                return F.when(F.size(hits) > 0, F.aggregate(both, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda st: st["out"])).otherwise(none)
+
+            return X.let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
+
+        return F.concat(*map(facts, P.FACTS))
+
+    def found(spans: Column) -> Column:
+        return F.when(F.size(spans) == 0, sentence_stats(s)).otherwise(X.let(N.shadow(s, spans), of))
+
+    return F.when(s.rlike(rf"(?U){P.LONG_RUN}"), none).otherwise(X.let(N.spans(s), found))
+
+
+def _facts_of(word_names: bool):
+    return word_stats if word_names else sentence_stats
+
+
+def stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", convert_word_names: bool = False) -> DataFrame:
+    """(id, stats): all facts of a document in order; no shuffle. With
+    ``convert_word_names`` spelled-out numbers count as numbers."""
     sents = docs.select(id_col, X.split_sentences(text_col).alias("sents"))
-    return sents.select(id_col, F.flatten(F.transform("sents", sentence_stats)).alias("stats"))
+    return sents.select(id_col, F.flatten(F.transform("sents", _facts_of(convert_word_names))).alias("stats"))
 
 
 def metadata(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", entities: bool = False) -> DataFrame:
@@ -111,11 +163,11 @@ def _fact_keys(facts: Column) -> Column:
     return F.array_distinct(F.transform(facts, lambda f: F.concat_ws("\x01", f["stat_type"], X.normalize_value(f["value"]))))
 
 
-def fact_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fact_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", convert_word_names: bool = False) -> DataFrame:
     """(id, sent_idx, sentence, score, keys): sentences with facts; equal
     sentences count as one, at the first one's place, with all their facts."""
-    rows = scoring.scored_documents(docs, id_col, text_col).select(id_col, F.inline("s")).where(F.col("sentence").rlike(r"(?U)\d"))
-    rows = rows.withColumn("facts", sentence_stats(F.col("sentence"))).where(F.size("facts") > 0)
+    rows = scoring.scored_documents(docs, id_col, text_col).select(id_col, F.inline("s")).where(F.col("sentence").rlike(f"{P.ANY_DIGIT}|{N.ANY}" if convert_word_names else P.ANY_DIGIT))
+    rows = rows.withColumn("facts", _facts_of(convert_word_names)(F.col("sentence"))).where(F.size("facts") > 0)
     first = F.min_by(F.struct("composite", "words"), "sent_idx")
     met = rows.groupBy(id_col, "sentence").agg(F.min("sent_idx").alias("sent_idx"), first.alias("f"), F.sum(F.size("facts")).alias("n"), F.first(_fact_keys(F.col("facts"))).alias("keys"))
     score = F.round(F.col("f.composite") + DENSITY * F.col("n") / F.greatest(F.col("f.words"), F.lit(1)), scoring.DECIMALS)
@@ -136,13 +188,13 @@ def _keep(order: Column, start: Column, quota: Column) -> Column:
     return F.aggregate(order, F.struct(F.lit(0).alias("n"), start["keys"].alias("keys"), start["chosen"].alias("chosen")).cast(_STATE), step)
 
 
-def key_facts(docs: DataFrame, max_facts: int = 10, *, hints: H.Hints = None, hint_focus: float = 0.7, hint_mode: str = "soft", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def key_facts(docs: DataFrame, max_facts: int = 10, *, convert_word_names: bool = False, hints: H.Hints = None, hint_focus: float = 0.7, hint_mode: str = "soft", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, key_facts): the best sentences with facts, no fact twice, in
     document order. With hints a share of the places goes to sentences that
     match."""
     prepared = H.prepare(hints)
     H.check(prepared, hint_focus, hint_mode)
-    rows = fact_candidates(docs, id_col, text_col)
+    rows = fact_candidates(docs, id_col, text_col, convert_word_names)
     extra = H.bonus(F.col("sentence"), prepared)
     row = F.struct((-F.col("score")).alias("by"), "sent_idx", "sentence", "keys", extra.alias("extra"))
     packed = rows.groupBy(id_col).agg(F.array_sort(F.collect_list(row)).alias("plain"))
@@ -266,11 +318,11 @@ def top_terms(docs: DataFrame, n: int = 10, kinds: Sequence[str] = ("words", "ph
 FACT = "array<struct<entity:string,number:string,polarity:string,sentence:string>>"
 
 
-def correlated_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def correlated_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", convert_word_names: bool = False) -> DataFrame:
     """(id, k, entity, number, polarity, sentence): each fact with what it is
     about: the first repeated phrase whose words are all in its sentence, else
     the sentence's most frequent repeated word. Entities with one fact drop out."""
-    facts = stats(docs, id_col, text_col).select(id_col, F.posexplode("stats").alias("k", "f")).select(id_col, "k", F.col("f.value").alias("number"), F.col("f.context_sentence").alias("sentence"))
+    facts = stats(docs, id_col, text_col, convert_word_names).select(id_col, F.posexplode("stats").alias("k", "f")).select(id_col, "k", F.col("f.value").alias("number"), F.col("f.context_sentence").alias("sentence"))
     few = docs.join(facts.select(F.col(id_col).alias("_of")).distinct(), F.col(id_col) == F.col("_of"), "left_semi")
     listed = phrases(few, id_col=id_col, text_col=text_col).withColumnRenamed(id_col, "_p")
     low = F.lower("sentence")
@@ -295,11 +347,11 @@ def _listed_facts(docs: DataFrame, rows: DataFrame, id_col: str) -> DataFrame:
     return docs.select(id_col).join(listed, F.col(id_col) == F.col("_of"), "left").select(id_col, F.coalesce("c", F.array().cast(FACT)).alias("correlated_facts"))
 
 
-def correlate_facts(docs: DataFrame, *, hints: H.Hints = None, hint_focus: float = 0.7, hint_mode: str = "soft", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def correlate_facts(docs: DataFrame, *, convert_word_names: bool = False, hints: H.Hints = None, hint_focus: float = 0.7, hint_mode: str = "soft", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, correlated_facts) in document order; with hints, matches first, or alone."""
     prepared = H.prepare(hints)
     H.check(prepared, hint_focus, hint_mode)
-    rows = correlated_rows(docs, id_col, text_col)
+    rows = correlated_rows(docs, id_col, text_col, convert_word_names)
     match = H.bonus(F.concat_ws(" ", "entity", "number"), prepared) > 0 if prepared else F.lit(False)
     if prepared and hint_mode == "hard":
         rows = rows.where(match)

@@ -150,3 +150,32 @@ def test_plans(spark, sf_dir):
     assert "Exchange" not in stats and "ReadSchema: struct<doc_id:bigint,text:string>" in stats
     scores = plan(scoring.tfidf_scores(d))
     assert scores.count("Exchange hashpartitioning") <= 2 and "Python" not in scores  # the same exchange, once for each side
+
+
+def test_spelled_out_numbers(spark):
+    from inkstone.functions import numbers as N
+
+    cases = {
+        "two weeks": ["2"], "Eight days": ["8"], "twenty-one users": ["21"], "two hundred and five items": ["205"], "five thousand documents": ["5000"],
+        "one million two hundred thousand and three": ["1200003"], "nineteen ninety": ["19", "90"], "one two three": ["1", "2", "3"], "a hundred": ["100"],
+        "twenty and five": ["20", "5"], "someone often stones": [], "zero units": ["0"], "three thousand million": ["3000", "1000000"], "ten, eleven": ["10", "11"],
+        "fifty five percent": ["55"], "two hundred and": ["200"], "nine hundred ninety nine thousand": ["999000"], "": [], "- and -": [],
+    }
+    rows = spark.createDataFrame(list(cases.items()), "t string, want array<string>").select("t", "want", N.spans(F.col("t")).alias("s")).collect()
+    for r in rows:
+        assert [x.digits for x in r.s] == r.want, r.t
+        assert all(0 <= x.start < x.end <= len(r.t) and r.t[x.start : x.end] == r.t[x.start : x.end].strip() for x in r.s)
+
+
+def test_facts_of_spelled_out_numbers(spark):
+    text = "The trip took eight days and cost five thousand dollars. It rose fifty-five percent to 1,200 users. We read two hundred and five documents in 2020."
+    docs = spark.createDataFrame([(1, text), (2, "no numbers here at all"), (3, None), (4, "It has 12 users.")], "doc_id long, text string")
+    got = {r.doc_id: [(s.stat_type, s.value, s.unit) for s in r.stats] for r in extract.stats(docs, convert_word_names=True).collect()}
+    assert got[1] == [("money", "five thousand dollars", "usd"), ("duration", "eight days", "day"), ("percent", "fifty-five", "percent"), ("count", "1,200", "users"), ("date", "2020", "date"), ("count", "two hundred and five", "documents")]
+    assert got[2] == [] and got[3] == [] and got[4] == [("count", "12", "users")]
+    phrases = [s.phrase for s in extract.stats(docs, convert_word_names=True).where("doc_id = 1").first().stats]
+    assert all(p in text for p in phrases) and phrases[1].startswith("The trip took eight days")
+    plain = [s.value for s in extract.stats(docs).where("doc_id = 1").first().stats]
+    assert plain == ["1,200", "2020"]
+    facts = extract.key_facts(docs, convert_word_names=True).where("doc_id = 1").first().key_facts
+    assert len(facts) == 3
