@@ -39,8 +39,11 @@ FAN_OUT, FRONTIER = 2, 1 << 16
 WIDTH, SIMILARITY = 5, 0.8
 #: Fingerprints of a set, each of 32 bits, bits in which two may differ to meet; buckets of the projections.
 TABLES, TABLE_FLIPS, BUCKETS = 32, 2, 4_096
+#: The tables are searched in turns (first, how many): what an early turn has joined
+#: is one tree in the next, so that a large group of near copies is not linked in every table.
+TURNS = ((0, 3), (3, 29))
 #: Links up to which all of a value's links are followed; beyond, those that span.
-SMALL = 32
+SMALL = 8
 #: Values of a table in a node, as planned and at most.
 TABLE_PLANNED, TABLE_MOST = 65_536, 262_144
 #: Bits apart, of all TABLES * 32, from which on a similarity of 0.8 is ruled out,
@@ -187,13 +190,20 @@ class Forest:
 def _node_links(most: int, small: int):
     """Links of a node that span its components. With ``small`` they are links
     that were found, so that they can be checked one by one, and all links of
-    values that have no more than so many; without, links to a component's root."""
+    values that have no more than so many; without, links to a component's root.
+    Values of one ``tree`` are joined already: only links between trees are given."""
 
     def of(rows: pd.DataFrame) -> pd.DataFrame:
         home = rows["home"].to_numpy()
         values = np.concatenate([rows["fp"].to_numpy()[home], rows["fp"].to_numpy()[~home]]).view(np.uint64)
         n = int(home.sum())
         forest, met = Forest(len(values)), np.zeros(len(values), np.int64)
+        trees = np.arange(len(values))
+        if small:
+            trees = np.concatenate([rows["tree"].to_numpy()[home], rows["tree"].to_numpy()[~home]])
+            by = np.argsort(trees, kind="stable")
+            same = trees[by[1:]] == trees[by[:-1]]
+            forest.link(by[1:][same], by[:-1][same])
         kept = [np.zeros((2, 0), np.int64)]
         if n:
             index = GrayIndex(values[:n])
@@ -202,7 +212,7 @@ def _node_links(most: int, small: int):
                 if small:
                     for end in batch:
                         np.add.at(met, end, 1)
-                    few = (met[batch[0]] <= small) | (met[batch[1]] <= small)
+                    few = ((met[batch[0]] <= small) | (met[batch[1]] <= small)) & (trees[batch[0]] != trees[batch[1]])
                     kept += [np.stack(made), np.stack([batch[0][few], batch[1][few]])]
         if small:
             u, v = np.concatenate(kept, axis=1)
@@ -224,11 +234,13 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = 2, planned: int = NOD
     """Edges (u, v) whose components are those of all pairs of the distinct
     values in ``distinct.fp`` that differ in at most ``max_bits`` bits. With
     ``tables`` the lowest byte of a value is the number of its table, each
-    table has a hierarchy of its own, and values of different tables never link."""
+    table has a hierarchy of its own, values of different tables never link, and
+    values of one ``distinct.tree`` are known to belong together."""
     count = distinct.count()
     depth = max(0, math.ceil(math.log2(max(1, count) / tables / planned)))
     table = F.col("fp").bitwiseAND(F.lit(0xFF if tables > 1 else 0).cast("long"))
-    rows = distinct.select("fp", table.alias("node"), F.lit(0).alias("spent"), F.lit(True).alias("home"))
+    tree = ["tree"] if tables > 1 else []
+    rows = distinct.select("fp", table.alias("node"), F.lit(0).alias("spent"), F.lit(True).alias("home"), *tree)
     at, parts, deepest = 0, [], 64 if tables == 1 else 56
     while True:
         step = depth - at
@@ -244,7 +256,7 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = 2, planned: int = NOD
                 .withColumn("to", F.shiftleft(F.col("node"), step).bitwiseOR(own.bitwiseAND(low).bitwiseXOR(F.col("flip.mask"))))
                 # among the children of its own node a value visits only later ones: the earlier visit it
                 .where(~F.col("home") | (F.col("to") >= own))
-                .select("fp", F.col("to").alias("node"), (F.col("spent") + F.col("flip.bits")).alias("spent"), (F.col("home") & (F.col("flip.bits") == 0)).alias("home"))
+                .select("fp", F.col("to").alias("node"), (F.col("spent") + F.col("flip.bits")).alias("spent"), (F.col("home") & (F.col("flip.bits") == 0)).alias("home"), *tree)
             )
         full = rows.groupBy("node").agg(F.count_if("home").alias("n"), F.count("*").alias("all")).where(f"n > {most} or all > {64 * most}").where(F.lit(depth < deepest))
         full = written(full.select(F.col("node").alias("full")))
@@ -360,13 +372,32 @@ def _similar(width: int, least: float):
     return of
 
 
-def _candidates(classes: DataFrame, least: float) -> DataFrame:
-    """(u, v, far): class numbers, u > v, that meet in a table, and the bits in
-    which their sketches differ. A forest for each table and fingerprint, never all pairs."""
-    pieces = classes.select("cid", F.explode("bits").alias("fp"))
-    firsts = written(pieces.groupBy("fp").agg(F.min("cid").alias("first")))
-    same = pieces.join(firsts, "fp").where("cid <> first").select("cid", "first")
-    links = fingerprint_links(firsts.select("fp"), TABLE_FLIPS, TABLE_PLANNED, TABLE_MOST, TABLES)
+def _with_groups(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """Edges (u, v) with the components of their ends, those inside one component left out."""
+    for end in "uv":
+        named = groups.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
+        edges = edges.drop(f"c_{end}").join(named, end, "left").withColumn(f"c_{end}", F.coalesce(f"c_{end}", end))
+    return edges.where("c_u <> c_v")
+
+
+def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``groups`` after links (a, b) between components; a component's number is
+    one of its nodes, and a node that ``groups`` does not name is its own component."""
+    joined = connected_components(links, "a", "b")
+    every = groups.select("node", F.col("component").alias("old")).union(joined.select("node", F.col("node").alias("old"))).distinct()
+    moved = every.join(joined.select(F.col("node").alias("old"), "component"), "old", "left").select("node", F.coalesce("component", "old").alias("component"))
+    return written(moved.groupBy("node").agg(F.min("component").alias("component")))
+
+
+def _candidates(classes: DataFrame, groups: DataFrame, least: float, first: int, count: int) -> DataFrame:
+    """(u, v, far): class numbers, u > v, of different components, that meet in
+    one of ``count`` tables from ``first`` on, and the bits in which their
+    sketches differ. A forest for each table, never all pairs."""
+    named = groups.select(F.col("node").alias("cid"), "component")
+    pieces = classes.join(named, "cid", "left").select("cid", F.coalesce("component", "cid").alias("tree"), F.explode(F.slice("bits", first + 1, count)).alias("fp"))
+    firsts = written(pieces.groupBy("fp").agg(F.min(F.struct("cid", "tree")).alias("x")).select("fp", F.col("x.cid").alias("first"), F.col("x.tree").alias("tree")))
+    same = pieces.join(firsts.select("fp", "first", F.col("tree").alias("other")), "fp").where("tree <> other").select("cid", "first")
+    links = fingerprint_links(firsts.select("fp", "tree"), TABLE_FLIPS, TABLE_PLANNED, TABLE_MOST, TABLES)
     near = links.join(firsts.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(firsts.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v")
     edges = same.select(F.col("cid").alias("a"), F.col("first").alias("b")).union(near.select("a", "b")).where("a <> b")
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -388,39 +419,35 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     with probability 0.98, nearer ones sooner. What meets with ``CERTAIN`` bits
     of all or fewer apart links at once; other links are counted on the texts,
     the nearest of each document first, as long as they would join two components.
+    Tables come in turns, and a turn links only what earlier ones left apart.
     """
     rows = written(_keyed(docs, id_col, text_col).mapInPandas(_sketched(width), "id long, th long, k1 long, k2 long, n long, bits array<long>"))
     folded = rows.groupBy("k1", "k2").agg(F.min("id").alias("least_id"), F.min("th").alias("th"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"))
     classes = written(folded.withColumn("cid", F.monotonically_increasing_id()))
-    open_ = edges = _candidates(classes, least)
-    certain = edges.where(F.col("far") <= CERTAIN).select("u", "v")
-    groups, tried = connected_components(certain), 1
     texts = docs.select(F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"))
-    while True:
-        for end in "uv":
-            named = groups.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
-            open_ = open_.drop(f"c_{end}").join(named, end, "left").withColumn(f"c_{end}", F.coalesce(f"c_{end}", end))
-        open_ = open_.where("c_u <> c_v").withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy("far", "v")))
-        open_ = written(open_)
-        if not open_.take(1):
-            break
-        now = open_.where(F.col("rank") <= tried)
-        ends = now.select(F.col("u").alias("cid")).union(now.select("v")).distinct()
-        needed = classes.select("cid", "th").join(ends, "cid", "left_semi")
-        known = texts.join(needed, "th").dropDuplicates(["cid"]).select("cid", "t")
-        both = now.join(known.select(F.col("cid").alias("u"), F.col("t").alias("t1")), "u").join(known.select(F.col("cid").alias("v"), F.col("t").alias("t2")), "v")
-        linked = both.select(F.col("c_u").alias("a"), F.col("c_v").alias("b"), "t1", "t2").mapInPandas(_similar(width, least), "a long, b long")
-        joined = connected_components(linked, "a", "b")
-        moved = groups.select("node", F.col("component").alias("old")).union(joined.select("node", F.col("node").alias("old"))).distinct()
-        # a component's number is one of its nodes; what had no component yet is its own
-        moved = moved.join(joined.select(F.col("node").alias("old"), "component"), "old", "left").select("node", F.coalesce("component", "old").alias("component"))
-        groups = written(moved.groupBy("node").agg(F.min("component").alias("component")))
-        open_, tried = open_.where(F.col("rank") > tried).drop("rank"), 4 * tried
+    groups = classes.sparkSession.createDataFrame([], "node long, component long")
+    for first, count in TURNS:
+        edges = _candidates(classes, groups, least, first, count)
+        groups = _merged(groups, edges.where(F.col("far") <= CERTAIN).select(F.col("u").alias("a"), F.col("v").alias("b")))
+        open_, tried = edges.where(F.col("far") > CERTAIN), 1
+        while True:
+            open_ = _with_groups(open_, groups).withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy("far", "v")))
+            open_ = written(open_)
+            if not open_.take(1):
+                break
+            now = open_.where(F.col("rank") <= tried)
+            ends = now.select(F.col("u").alias("cid")).union(now.select("v")).distinct()
+            needed = classes.select("cid", "th").join(ends, "cid", "left_semi")
+            known = texts.join(needed, "th").dropDuplicates(["cid"]).select("cid", "t")
+            both = now.join(known.select(F.col("cid").alias("u"), F.col("t").alias("t1")), "u").join(known.select(F.col("cid").alias("v"), F.col("t").alias("t2")), "v")
+            linked = both.select(F.col("c_u").alias("a"), F.col("c_v").alias("b"), "t1", "t2").mapInPandas(_similar(width, least), "a long, b long")
+            groups = _merged(groups, linked)
+            open_, tried = open_.where(F.col("rank") > tried).drop("rank"), 4 * tried
+        forget(edges)
     named = classes.join(groups, F.col("cid") == F.col("node"), "left").select("k1", "k2", "least_id", F.coalesce("component", "cid").alias("component"))
     smallest = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     chosen = written(named.join(smallest, "component").select("k1", "k2", "component_id"))
-    for done in (classes, edges):
-        forget(done)
+    forget(classes)
     return rows.join(chosen, ["k1", "k2"]).select("id", "th", "component_id")
 
 
