@@ -472,7 +472,23 @@ def key_facts(spark, sf_dir):
     return extract.key_facts(C.narratives(spark, sf_dir), 4).select("doc_id", lines("key_facts").alias("key_facts"))
 
 
-@query()
+def _walk_sql(state: str, items: str, quota: str) -> str:
+    """Walk a list of candidates; keep those that share no key with what was kept, ``quota`` of them."""
+    blank = "{'n': 0::bigint, 'met': []::varchar[], 'chosen': []::bigint[], 'i': -1::bigint, 'keys': []::varchar[]}"
+    start = f"{{'n': 0::bigint, 'met': {state}.met, 'chosen': {state}.chosen, 'i': -1::bigint, 'keys': []::varchar[]}}" if state else blank
+    return (
+        f"list_reduce(list_prepend({start}, coalesce({items}, [])), lambda st, x: case when st.n < {quota} and not list_has_any(st.met, x.keys) and not list_contains(st.chosen, x.i)"
+        " then {'n': st.n + 1, 'met': list_concat(st.met, x.keys), 'chosen': list_append(st.chosen, x.i), 'i': -1::bigint, 'keys': []::varchar[]} else st end)"
+    )
+
+
+_ITEM = "{'n': 0::bigint, 'met': []::varchar[], 'chosen': []::bigint[], 'i': sent_idx::bigint, 'keys': keys}"
+_HINTED = f"""{_CANDIDATES}, e as (select *, {_bonus_sql('sentence')} as extra from candidates),
+    l as (select doc_id, list({_ITEM} order by score desc, sent_idx) as plain, list({_ITEM} order by round(score + extra, 10) desc, sent_idx) filter (extra > 0) as hinted from e group by doc_id),
+    wa as (select *, {_walk_sql('', 'hinted', '3')} as a from l), wb as (select *, {_walk_sql('a', 'plain', '1')} as b from wa), wc as (select *, {_walk_sql('b', 'hinted', '3 - a.n')} as c from wb)"""
+
+
+@query(f"with {_HINTED} select base.doc_id, coalesce(array_to_string(list_transform(list_sort(c.chosen), lambda i: s[i + 1]), chr(10)), '') as key_facts from base left join wc on base.doc_id = wc.doc_id")
 def key_facts_hinted(spark, sf_dir):
     return extract.key_facts(C.narratives(spark, sf_dir), 4, hints=HINTS, hint_mode="hard").select("doc_id", lines("key_facts").alias("key_facts"))
 
@@ -758,3 +774,73 @@ def date_agreement(spark, sf_dir):
     gold = C.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
     rows = evals.set_agreement(found.withColumn("all", F.lit(1)), gold.withColumn("all", F.lit(1)), ["doc_id", "date"], ["all"])
     return rows.select("tp", "fp", "fn")
+
+
+# ---- the same operators over whole documents, and results beside results ------------------
+
+
+@query(f"with s as ({_sentence_sql(C.DOCUMENTS)}), f as ({_facts_sql('s')}) select doc_id, cast(row_number() over (partition by doc_id order by sent_idx, o, k) - 1 as integer) as i, stat_type, value, unit, phrase, context_sentence from f")
+def stats_documents(spark, sf_dir):
+    return extract.stats(C.documents(spark, sf_dir)).select("doc_id", F.posexplode("stats").alias("i", "s")).select("doc_id", "i", "s.*")
+
+
+@query(f"select doc_id, {_distinct_sql(P.WHOLE_DATE)} as dates, {_distinct_sql('(?i)' + P.AMOUNT)} as amounts, {_distinct_sql('(?i)' + P.URL)} as urls from documents")
+def metadata_documents(spark, sf_dir):
+    return extract.metadata(C.documents(spark, sf_dir)).select("doc_id", *(F.array_join(f"metadata.{n}", "|").alias(n) for n in ("dates", "amounts", "urls")))
+
+
+@query(f"with {_entities_sql(C.DOCUMENTS)}, u as (select doc_id, entity, min(pos) as pos from names group by all) select doc_id, string_agg(entity, '|' order by pos) as entities from u group by doc_id")
+def entities_documents(spark, sf_dir):
+    return enrich.entities(C.documents(spark, sf_dir)).where(F.size("entities") > 0).select("doc_id", F.array_join("entities", "|").alias("entities"))
+
+
+@query(ORACLE["stats"])
+def attached_stats(spark, sf_dir):
+    rows = summarize(C.narratives(spark, sf_dir), 400, attach=["stats"])
+    return rows.select("doc_id", F.posexplode("stats").alias("i", "s")).select("doc_id", "i", "s.*")
+
+
+@query(f"with z as ({_summary_sql(C.NARRATIVES, 'default', 400)}), s as ({_sentence_sql(C.NARRATIVES)}), f as ({_facts_sql('s')}), t as (select doc_id, string_agg('| ' || concat_ws(' | ', stat_type, value, unit, context_sentence) || ' |', chr(10) order by sent_idx, o, k) as rows from f group by doc_id)"
+    " select z.doc_id, '## Summary' || chr(10) || chr(10) || regexp_replace(summary, '\\s+$', '') || coalesce(chr(10) || chr(10) || '## Stats' || chr(10) || chr(10) || '| Type | Value | Unit | Context |' || chr(10) || '|---|---|---|---|' || chr(10) || rows, '') as markdown from z left join t using (doc_id)")
+def summary_markdown(spark, sf_dir):
+    return report.render_summary(summarize(C.narratives(spark, sf_dir), 400, attach=["stats"]))
+
+
+@query(f"with m as ({ORACLE['metadata']}), e as ({ORACLE['entities']}) select m.doc_id, dates, amounts, urls, coalesce(entities, '') as entities from m left join e using (doc_id)")
+def metadata_with_names(spark, sf_dir):
+    rows = extract.metadata(C.narratives(spark, sf_dir), entities=True)
+    return rows.select("doc_id", *(F.array_join(f"metadata.{n}", "|").alias(n) for n in ("dates", "amounts", "urls", "entities")))
+
+
+@query(f"with {_KEPT}, k as (select base.doc_id, list_transform(list_sort(chosen), lambda i: s[i + 1]) as k from base join w on base.doc_id = w.doc_id where len(chosen) > 0) select doc_id, array_to_string(k, chr(10)) as text, '## Key Facts' || chr(10) || chr(10) || array_to_string(list_transform(k, lambda x: '- ' || x), chr(10)) as markdown from k")
+def key_facts_rendered(spark, sf_dir):
+    rows = extract.key_facts(C.narratives(spark, sf_dir), 4).where(F.size("key_facts") > 0)
+    return rows.select("doc_id", report.render("key_facts", "key_facts").alias("text"), report.render("key_facts", "key_facts", "markdown").alias("markdown"))
+
+
+_VERBS = f"list_filter(list_transform(t, lambda w: case when {_class_sql('w')} = 'VERB' then lower(w) else '' end), lambda w: list_contains({O.words_in(P.GROWTH_VERBS + P.DECLINE_VERBS)}, w))"
+
+
+@query(f"with s as ({_sentence_sql(C.NARRATIVES)}), {_TAGGED} select doc_id, cast(sent_idx as integer) as sent_idx, case when list_contains({O.words_in(P.GROWTH_VERBS)}, {_VERBS}[1]) then 'growth' when len({_VERBS}) > 0 then 'decline' else 'absolute' end as polarity from tg")
+def verb_polarity(spark, sf_dir):
+    return scoring.sentences(C.narratives(spark, sf_dir)).select("doc_id", "sent_idx", enrich.verb_polarity("sentence").alias("polarity"))
+
+
+@query(f"with h as (select distinct unnest(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z]+')) as term from part), a as (select term, 1.0 as weight from h union all select {_lemma_sql('term')}, 0.5 from h) select term, cast(max(weight) as double) as weight from a group by term")
+def expanded_hints(spark, sf_dir):
+    words = C.table(spark, sf_dir, "part").select(F.explode(F.regexp_extract_all(F.lower(F.concat_ws(" ", "p_name", "p_type")), F.lit("[a-z]+"), F.lit(0))).alias("term")).distinct()
+    return enrich.expand_hints(words.withColumn("weight", F.lit(1.0)))
+
+
+def _overlap_sql(a: str, b: str) -> str:
+    return f"len(list_filter({a}, lambda x: len(list_filter({b}, lambda y: contains(lower(x), lower(y)) or contains(lower(y), lower(x)))) > 0))"
+
+
+@query(
+    f"with e as ({ORACLE['entities']}), g as (select doc_id, string_split(entities, '|') as f, ['Paris', 'Smith', 'Google of London', 'Nowhere'] as g from e)"
+    f" select doc_id, cast({_overlap_sql('f', 'g')} as bigint) as tp, cast(len(f) - {_overlap_sql('f', 'g')} as bigint) as fp, cast(4 - {_overlap_sql('g', 'f')} as bigint) as fn, round({_overlap_sql('f', 'g')} / len(f), 6) as precision, round({_overlap_sql('g', 'f')} / 4, 6) as recall from g"
+)
+def name_agreement(spark, sf_dir):
+    gold = F.array(*map(F.lit, ["Paris", "Smith", "Google of London", "Nowhere"]))
+    rows = enrich.entities(C.narratives(spark, sf_dir)).where(F.size("entities") > 0).select("doc_id", evals.overlap_agreement("entities", gold).alias("x"))
+    return rows.select("doc_id", "x.tp", "x.fp", "x.fn", F.round("x.precision", 6).alias("precision"), F.round("x.recall", 6).alias("recall"))
