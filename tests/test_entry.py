@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import subprocess
 import sys
 from pathlib import Path
@@ -73,8 +74,25 @@ def test_streams(spark, tmp_path, sf_dir):
     assert extract.stats(source).count() == 9
 
 
-@pytest.mark.parametrize("mode", ["default", "keyword", "clean", "brief", "report", "stats", "outline", "top_terms", "attributes"])
+@pytest.mark.parametrize("mode", ["default", "tfidf", "keyword", "textrank", "clean_text", "strip_think", "brief", "report", "facts", "stats", "outline", "toc", "metadata", "phrases", "top_terms", "correlate_facts", "attributes", "entities"])
 def test_command_line(spark, tmp_path, mode):
     (tmp_path / "a.txt").write_text("# T\n\nThe team met 5 times in 2020. The team won. Cost: 5 units\n")
     args = cli.parser().parse_args([mode, "--in", str(tmp_path / "a.txt"), "--keywords", "team", *(["--hint", "team=2"] if mode == "default" else [])])
     assert cli.run(spark, args).count() == 1
+
+
+def test_command_line_attaches_scores_and_splits_lists(spark, tmp_path, capsys):
+    (tmp_path / "a.txt").write_text("# T\n\nThe team met five times in 2020 for two weeks. The team won. The team paid $5 to 7 users.\n")
+    run = lambda *more: cli.run(spark, cli.parser().parse_args([more[0], "--in", str(tmp_path / "a.txt"), *more[1:]])).first()[1]
+    shown = run("summarize", "--attach", "stats,metadata", "--hint", "team=2,users")
+    assert "## Summary" in shown and "## Stats" in shown and "## Metadata" in shown
+    assert set(json.loads(run("default", "--attach", "all", "--format", "json"))) >= {"summary", "stats", "outline", "metadata", "phrases", "correlated_facts"}
+    assert "two weeks" in run("stats", "--convert-word-names") and "two weeks\t" not in run("stats")
+    assert run("top_terms", "--top", "2", "--kinds", "words", "--scores").count("\n") == 1
+    assert len(run("facts", "--max-facts", "1").splitlines()) == 1
+    assert cli.listed(["a, b", "c,,d "]) == ["a", "b", "c", "d"] and cli.hints(["a=2,b"]) == {"a": 2.0, "b": 1.0}
+    (tmp_path / "many").mkdir()
+    for i in range(25):
+        (tmp_path / "many" / f"{i}.txt").write_text(f"text number {i}")
+    out = cli.run(spark, cli.parser().parse_args(["clean", "--in", str(tmp_path / "many" / "*.txt")]))
+    assert sum(1 for _ in out.toLocalIterator()) == 25
