@@ -1,8 +1,9 @@
-"""DuckDB SQL for those of the ten queries that SQL can state."""
+"""DuckDB SQL for those of the queries that SQL can state."""
 
 from __future__ import annotations
 
 from . import decontam, linededup, pii, warc
+from . import prefix_trie as trie
 
 
 def _q(text: str) -> str:
@@ -119,3 +120,24 @@ def personal_data() -> str:
     one = "kind || ':' || s || ':' || e"
     return f"""with spans as ({' union all '.join(parts)}), a as (select doc_id, {counts}, string_agg({one}, ',' order by o, s) filter (o < 4) as base, string_agg({one}, ',' order by o, s) as spans, string_agg(cast(score as varchar), ',' order by o, s) as scores from spans group by doc_id)
     select documents.doc_id, {', '.join(f'coalesce(n_{k}, 0) as n_{k}' for k, _, _ in kinds)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(scores, '') as scores from documents left join a on documents.doc_id = a.doc_id"""
+
+
+def _crc32(text: str) -> str:
+    """The checksum bit by bit: a byte enters, and seven steps without one follow."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [cast(ascii(c) as bigint), 0, 0, 0, 0, 0, 0, 0]))"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {steps}), lambda x, e: xor(xor(x, e) >> 1, 3988292384::bigint * (xor(x, e) & 1))), 4294967295::bigint)"
+
+
+def prefix_trie() -> str:
+    """Prefixes as hashes of joined turns; a node's subtree by the prefixes of its smallest conversation."""
+    block, shared = trie.BLOCK, trie.SHARED_TURNS
+    role, text = "coalesce(role, '')", "coalesce(text, '')"
+    return f"""with t as (select conv_id, turn, length({role}) || ':' || {role} || ':' || {text} as e, len(regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+')) as n from conversations where conv_id is not null),
+    c as (select conv_id, list({{e: sha256(e), n: n}} order by turn nulls first, sha256(e)) as own, {_crc32('cast(conv_id as varchar)')} % {shared} as h from t group by conv_id),
+    r as (select c.conv_id, list_concat(coalesce(f.own, [])[1:c.h], c.own[c.h + 1:]) as l from c left join c f on f.conv_id = c.conv_id - c.conv_id % {block}),
+    m as (select conv_id, d, md5(array_to_string(list_transform(l[1:d], lambda x: x.e), ',')) as k, md5(array_to_string(list_transform(l[1:d - 1], lambda x: x.e), ',')) as pk, d = len(l) as ends, coalesce(l[d].n, 0) as n from (select *, unnest(range(0, len(l) + 1)) as d from r)),
+    v as (select d, k, min(pk) as pk, min(conv_id) as conv_id, count(*) as n_convs, min(n) as n, sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (ends), '')) as ends_sha256 from m group by d, k),
+    kids as (select d - 1 as d, pk as k, count(*) as n_children from v where d > 0 group by 1, 2),
+    below as (select m.d, m.k, sum(case when kids.k is null then 1 else 0 end) as n_leaves, sum((v.n_convs - 1) * v.n) as saved from v left join kids on kids.d = v.d and kids.k = v.k join m on m.conv_id = v.conv_id and m.d <= v.d group by 1, 2)
+    select v.conv_id, v.d as depth, p.conv_id as parent_conv_id, v.n_convs, coalesce(n_children, 0) as n_children, cast(n_leaves as bigint) as n_leaves, cast(saved as bigint) as saved_tokens, v.ends_sha256
+    from v left join v p on p.d = v.d - 1 and p.k = v.pk left join kids on kids.d = v.d and kids.k = v.k join below on below.d = v.d and below.k = v.k"""

@@ -119,35 +119,29 @@ def rolled_up(frame: pd.DataFrame) -> pd.DataFrame:
     above["depth"] -= 1
     parent = above.merge(keys, "left", KEY)["at"].fillna(-1).to_numpy(np.int64)
     depth, a, b = (frame[c].to_numpy() for c in KEY)
-    place, order = np.zeros(len(frame) + 1, np.int64), []
-    level_of = np.argsort(depth, kind="stable")
-    for level in np.split(level_of, np.flatnonzero(np.diff(depth[level_of])) + 1):
-        # brothers side by side: a parent's place, then the label; tops hang on the node above all, at place 0
+    depth = depth - frame.groupby(["sa", "sb"])["depth"].transform("min").to_numpy()
+    # the node above all has place 0, and so has the parent of every top
+    place, flat, up, begin = np.zeros(len(frame) + 1, np.int64), [], [], 1
+    by_depth = np.argsort(depth, kind="stable")
+    for level in np.split(by_depth, np.flatnonzero(np.diff(depth[by_depth])) + 1):
+        # brothers side by side: a parent's place, then the label
         level = level[np.lexsort((b[level], a[level], place[parent[level]]))]
-        order.append(level)
-        place[level] = 1 + sum(map(len, order[:-1])) + np.arange(len(level))
-        place[-1] = 0
-    flat = np.concatenate(order)
-    # level order over shards that begin at different depths: brothers lie in one level, so degrees follow the same order
-    up = place[parent[flat]]
-    by_parent = np.argsort(up, kind="stable")
-    flat, up = flat[by_parent], up[by_parent]
-    number = np.empty(len(flat) + 1, np.int64)
-    number[0] = 0
-    number[place[flat]] = 1 + np.arange(len(flat))
-    degrees = np.bincount(number[up], minlength=len(flat) + 1)
+        place[level] = begin + np.arange(len(level))
+        begin += len(level)
+        flat.append(level)
+        up.append(place[parent[level]])
+    flat, up = np.concatenate(flat), np.concatenate(up)
+    degrees = np.bincount(up, minlength=len(flat) + 1)
     parents = parents_of(bits_of(degrees))  # of the nodes from 1 on
     take = lambda c: np.concatenate([[0], frame[c].to_numpy()[flat]])
-    convs, labels = take("n_convs"), take("depth")
+    convs, level_of = take("n_convs"), depth[flat]
     met, kids = take("kid_convs"), take("kids") + degrees
     np.add.at(met, parents, convs[1:])
     alone = convs - take("n_ends") - met  # children that one conversation has
     kids, leaves = kids + alone, take("leaves") + alone
     saved = take("saved") + (convs - 1) * take("words")
     leaves[kids == 0] = 1
-    below = labels[1:]
-    for d in np.unique(below)[::-1]:  # from the last level to the first
-        here = np.flatnonzero(below == d)
+    for here in np.split(np.arange(len(flat)), np.flatnonzero(np.diff(level_of)) + 1)[::-1]:  # from the last level to the first
         np.add.at(leaves, parents[here], leaves[here + 1])
         np.add.at(saved, parents[here], saved[here + 1])
     out = frame.iloc[flat].copy()
@@ -263,7 +257,7 @@ def prefix_trie(conversations: DataFrame, shard_turns: int = SHARD_TURNS, **colu
     if not total["n"]:
         return spark.createDataFrame([], result)
     weight = nodes.where("depth = 1").agg(F.sum("weight")).first()[0] or 0
-    root = spark.createDataFrame([(0, 0, 0, total["n"], total["least"], 0, None, None, turnless.count(), weight)], ", ".join(f"{c} long" for c in nodes.columns))
+    root = spark.createDataFrame([(0, 0, 0, total["n"], total["least"], 0, 0, 0, turnless.count(), weight)], ", ".join(f"{c} long" for c in nodes.columns))
     shared = written(nodes.where("n_convs > 1").unionByName(root))
     tried = _by_shards(rows, shared, shard_turns)
     alone = nodes.where("n_convs = 1").select(*(c.split()[0] for c in NODE.split(", ")), (1 - F.col("n_ends")).alias("n_children"), F.lit(1).cast("long").alias("n_leaves"), F.lit(0).cast("long").alias("saved_tokens"))

@@ -1,4 +1,4 @@
-"""The queries of the ten operators over whole tables, and SQL where SQL can say it."""
+"""The queries of the operators over whole tables, and SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embed_hnsw, html_blocks, langid, linededup, oracle, packing, pii, secrets, simhash, warc
+from . import decontam, embed_hnsw, html_blocks, langid, linededup, oracle, packing, pii, prefix_trie, secrets, simhash, toxicity, warc
 from .shared import table, written
 
 
@@ -69,9 +69,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.personal_data(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic")
+    return toxicity.toxicity(docs, toxicity.learn(docs.where(~toxicity.held_out()), labels.where(~toxicity.held_out())))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash, op2_packing, op3_merkle_fixity, op4_html_extraction, op5_line_dedup, op6_embedding_dedup, op7_language_id, op8_decontamination, op9_secrets, op10_pii)
+    for f in (op1_simhash, op2_packing, op3_merkle_fixity, op4_html_extraction, op5_line_dedup, op6_embedding_dedup, op7_language_id, op8_decontamination, op9_secrets, op10_pii, op11_toxicity, op12_prefix_trie)
 }
 
 #: The others hash, tokenise, lex or learn beyond SQL; tests hold them to brute force.
@@ -81,4 +90,5 @@ ORACLE: dict[str, str] = {
     "op6_embedding_dedup": oracle.embedding_dedup(),
     "op8_decontamination": oracle.decontamination(),
     "op10_pii": oracle.personal_data(),
+    "op12_prefix_trie": oracle.prefix_trie(),
 }
