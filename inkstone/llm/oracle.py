@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import decontam, linededup, pii, warc
 from . import prefix_trie as trie
+from . import repair as r
 
 
 def _q(text: str) -> str:
@@ -141,3 +142,37 @@ def prefix_trie() -> str:
     below as (select m.d, m.k, sum(case when kids.k is null then 1 else 0 end) as n_leaves, sum((v.n_convs - 1) * v.n) as saved from v left join kids on kids.d = v.d and kids.k = v.k join m on m.conv_id = v.conv_id and m.d <= v.d group by 1, 2)
     select v.conv_id, v.d as depth, p.conv_id as parent_conv_id, v.n_convs, coalesce(n_children, 0) as n_children, cast(n_leaves as bigint) as n_leaves, cast(saved as bigint) as saved_tokens, v.ends_sha256
     from v left join v p on p.d = v.d - 1 and p.k = v.pk left join kids on kids.d = v.d and kids.k = v.k join below on below.d = v.d and below.k = v.k"""
+
+
+def conversation_repair() -> str:
+    """A fold over the rows of a conversation: for each role so far the cheapest
+    edits, least by letters among equals, with what they leave."""
+    role, text = "case when code = 4 then 'user' else role end", "case code when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end"
+    key = "coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ')"
+    least = lambda *ways: f"list_sort(list_filter([{', '.join(ways)}], lambda w: w.cost is not null))[1]"
+    step = lambda way, cost, letter, line="''": f"{{cost: {way}.cost + {cost}, audit: {way}.audit || '{letter}', out: {way}.out || {line}}}"
+    none = "{cost: null::bigint, audit: null::varchar, out: null::varchar}"
+    insert = lambda way, name: step(way, r.INSERT, "I", f"chr(10) || '{name}:'")
+    only = lambda rule, way: f"case when {rule} then {way} else {none} end"
+    b = [f"s.best[{i + 1}]" for i in range(4)]
+    charge = f"case when e.code in ('S', 'U', 'A', 'X') then {r.TRUNCATED} else 0 end"
+    stays = "e.code not in ('b', 'd')"
+    keep = lambda i, letter: only(f"lower(e.code) = '{letter}'", step(b[i], charge, "K", "chr(10) || e.role || ':' || e.text"))
+    rerole = lambda i, name: only(stays, step(b[i], f"{r.REROLE} + {charge}", "R", f"chr(10) || '{name}:' || e.text"))
+    gone = lambda i: step(b[i], r.DELETE, "D")
+    after = [gone(0), least(gone(1), keep(0, "s")), least(gone(2), *(f(i, x) for i in (0, 1, 3) for f, x in ((keep, "u"), (rerole, "user")))), least(gone(3), keep(2, "a"), rerole(2, "assistant"))]
+    more = lambda n: "[" + ", ".join([f"{n}[1]", f"{n}[2]", least(f"{n}[3]", *(insert(f"{n}[{i}]", "user") for i in (1, 2, 4))), least(f"{n}[4]", insert(f"{n}[3]", "assistant"), *(insert(insert(f"{n}[{i}]", "user"), "assistant") for i in (1, 2)))]) + "]"
+    # a list of one, so that a step's four ways have a name
+    closed = lambda ways: f"list_transform([[{', '.join(ways)}]], lambda n: {more('n')})[1]"
+    zero = "{cost: 0::bigint, audit: ''::varchar, out: ''::varchar}"
+    begin = f"{{code: '', role: '', text: '', best: {closed([zero, none, none, none])}}}"
+    return f"""with k as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {_crc32(key)} % 20 as code from conversations),
+    d as (select conv_id, turn, {role} as role, {text} as text from k, (select unnest([1, 2]) as copy) where code <> 0 and (copy = 1 or code = 3)),
+    o as (select *, row_number() over (partition by conv_id order by turn nulls first, sha256(length(role) || ':' || role || ':' || text)) as pos from d),
+    f as (select *, case when left(role, 1) in ('s', 'u', 'a') then left(role, 1) else 'x' end as initial, row_number() over (partition by conv_id, role, text order by pos) > 1 as again, lag(left(role, 1)) over (partition by conv_id order by pos) as before from o),
+    c as (select *, case when not regexp_matches(text, '[^\\x20\\x09-\\x0D]') then 'b' when again then 'd' when regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') then initial else upper(initial) end as code from f),
+    g as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (code = 'b') as blank, count(*) filter (code = 'd') as duplicate, count(*) filter (code in ('S', 'U', 'A', 'X')) as truncated,
+        count(*) filter (before || left(role, 1) not in ('su', 'ua', 'au')) as illegal, list_reduce(list_prepend({begin}, list({{code: code, role: role, text: text, best: null}} order by pos)), lambda s, e: {{code: '', role: '', text: '', best: {closed(after)}}}).best as best from c group by conv_id),
+    h as (select *, {least("best[1]", "best[4]")} as way from g), ids as (select distinct conv_id from conversations)
+    select ids.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(way.cost, 0) as cost, coalesce(way.audit, '') as audit, sha256(coalesce(substr(way.out, 2), '')) as repaired_sha256
+    from ids left join h on ids.conv_id is not distinct from h.conv_id"""

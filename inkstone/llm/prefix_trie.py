@@ -43,22 +43,22 @@ def shared_turns(conv_id: Column) -> Column:
     return (F.crc32(conv_id.cast("string")) % SHARED_TURNS).cast("int")
 
 
-def _dealt(rows: DataFrame, *order: Column | str) -> DataFrame:
+def dealt(rows: DataFrame, *order: Column | str) -> DataFrame:
     """``rows`` dealt by conversation and place, so that a conversation of any
     length lies in several parts, with the part's number."""
     return written(rows.repartitionByRange("conv_id", *order).withColumn("_part", F.spark_partition_id()))
 
 
-def _carried(dealt: DataFrame, *sums: Column) -> DataFrame:
-    """``dealt`` with what the earlier parts of its conversation hold of each
+def carried(parts: DataFrame, *sums: Column) -> DataFrame:
+    """``parts`` with what the earlier parts of its conversation hold of each
     aggregate. Only conversations in several parts need it: two for each part at
     most, so they are broadcast."""
     names = [f"_{i}" for i in range(len(sums))]
-    held = dealt.groupBy("conv_id", "_part").agg(*(s.alias(n) for s, n in zip(sums, names)))
+    held = parts.groupBy("conv_id", "_part").agg(*(s.alias(n) for s, n in zip(sums, names)))
     before = Window.partitionBy("conv_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     merge = [F.sum, F.bit_xor, F.bit_xor]
     held = held.select("conv_id", "_part", F.count("*").over(Window.partitionBy("conv_id")).alias("_parts"), *(F.coalesce(m(n).over(before), F.lit(0)).alias(n) for m, n in zip(merge, names)))
-    return dealt.join(F.broadcast(held.where("_parts > 1").drop("_parts")), ["conv_id", "_part"], "left").withColumns({n: F.coalesce(n, F.lit(0)) for n in names})
+    return parts.join(F.broadcast(held.where("_parts > 1").drop("_parts")), ["conv_id", "_part"], "left").withColumns({n: F.coalesce(n, F.lit(0)) for n in names})
 
 
 def rebuilt(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -71,25 +71,25 @@ def rebuilt(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str =
     turns = conversations.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), content(role, text).alias("digest"), F.regexp_count(text, F.lit(WORD)).alias("words")).where("conv_id is not null")
     turns = turns.select("conv_id", "turn", half(1).alias("k1"), half(16).alias("k2"), "words")
     order = [F.asc_nulls_first("turn"), F.asc("k1"), F.asc("k2")]
-    dealt = _dealt(turns, *order)
+    parts = dealt(turns, *order)
     inside = Window.partitionBy("conv_id", "_part").orderBy(*order)
-    placed = _carried(dealt, F.count("*")).select("conv_id", (F.row_number().over(inside) + F.col("_0")).alias("pos"), "k1", "k2", "words", shared_turns(F.col("conv_id")).alias("h"))
+    placed = carried(parts, F.count("*")).select("conv_id", (F.row_number().over(inside) + F.col("_0")).alias("pos"), "k1", "k2", "words", shared_turns(F.col("conv_id")).alias("h"))
     placed = written(placed)
-    forget(dealt)
+    forget(parts)
     convs = written(placed.groupBy("conv_id").agg(F.count("*").alias("n")))
     heads = placed.where(f"conv_id % {BLOCK} = 0 and pos < {SHARED_TURNS}").select(F.col("conv_id").alias("first"), "pos", "k1", "k2", "words")
     # a block has few conversations, and few turns of its first are shared
     taken = convs.withColumns({"h": shared_turns(F.col("conv_id")), "first": F.expr(f"conv_id - conv_id % {BLOCK}")}).join(heads, "first").where("pos <= h")
     both = taken.select("conv_id", F.lit(0).alias("side"), "pos", "k1", "k2", "words").unionByName(placed.where("pos > h").select("conv_id", F.lit(1).alias("side"), "pos", "k1", "k2", "words"))
-    dealt = _dealt(both, "side", "pos")
+    parts = dealt(both, "side", "pos")
     inside = Window.partitionBy("conv_id", "_part").orderBy("side", "pos")
-    deep = _carried(dealt, F.count("*")).withColumn("depth", (F.row_number().over(inside) + F.col("_0")).cast("long"))
+    deep = carried(parts, F.count("*")).withColumn("depth", (F.row_number().over(inside) + F.col("_0")).cast("long"))
     deep = written(deep.select("conv_id", "_part", "depth", "words", F.xxhash64("depth", "k1", "k2").alias("x"), F.xxhash64("k2", "k1", "depth").alias("y")))
     forget(placed)
-    forget(dealt)
+    forget(parts)
     inside = Window.partitionBy("conv_id", "_part").orderBy("depth")
     so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
-    keyed = _carried(deep, F.count("*"), F.bit_xor("x"), F.bit_xor("y"))
+    keyed = carried(deep, F.count("*"), F.bit_xor("x"), F.bit_xor("y"))
     keyed = keyed.withColumns({"a": F.bit_xor("x").over(so_far).bitwiseXOR(F.col("_1")), "b": F.bit_xor("y").over(so_far).bitwiseXOR(F.col("_2"))})
     sizes = deep.groupBy("conv_id").agg(F.max("depth").alias("n"))
     rows = keyed.join(sizes, "conv_id").select("conv_id", *KEY, F.col("a").bitwiseXOR(F.col("x")).alias("pa"), F.col("b").bitwiseXOR(F.col("y")).alias("pb"), "words", (F.col("n") - F.col("depth") + 1).alias("rest"), (F.col("n") == F.col("depth")).cast("long").alias("last"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embed_hnsw, html_blocks, langid, linededup, oracle, packing, pii, prefix_trie, secrets, simhash, toxicity, warc
+from . import decontam, embed_hnsw, html_blocks, langid, linededup, oracle, packing, pii, prefix_trie, repair, secrets, simhash, toxicity, warc
 from .shared import table, written
 
 
@@ -78,9 +78,13 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash, op2_packing, op3_merkle_fixity, op4_html_extraction, op5_line_dedup, op6_embedding_dedup, op7_language_id, op8_decontamination, op9_secrets, op10_pii, op11_toxicity, op12_prefix_trie)
+    for f in (op1_simhash, op2_packing, op3_merkle_fixity, op4_html_extraction, op5_line_dedup, op6_embedding_dedup, op7_language_id, op8_decontamination, op9_secrets, op10_pii, op11_toxicity, op12_prefix_trie, op13_conversation_repair)
 }
 
 #: The others hash, tokenise, lex or learn beyond SQL; tests hold them to brute force.
@@ -91,4 +95,5 @@ ORACLE: dict[str, str] = {
     "op8_decontamination": oracle.decontamination(),
     "op10_pii": oracle.personal_data(),
     "op12_prefix_trie": oracle.prefix_trie(),
+    "op13_conversation_repair": oracle.conversation_repair(),
 }
