@@ -9,7 +9,6 @@ weights, exceptions and the curve of the score are learned from labelled rows.
 
 from __future__ import annotations
 
-import functools
 import re
 import unicodedata
 from collections import Counter
@@ -52,39 +51,50 @@ LOOK_ALIKES = {
 #: be i or l becomes i, and so does every l.
 STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i", "l": "i"}
 
-_SIGHT, _SIGNS = str.maketrans(LOOK_ALIKES), str.maketrans(STAND_INS)
-_HIDDEN = re.compile("[­​-‏⁠﻿]")
+class _Bare(dict):
+    """Letters without their marks, one character for one."""
+
+    def __missing__(self, point: int) -> str:
+        self[point] = unicodedata.normalize("NFD", chr(point))[0]
+        return self[point]
+
+
+_SIGHT, _SIGNS, _BARE = str.maketrans(LOOK_ALIKES), str.maketrans(STAND_INS), _Bare()
+_SIGHTED = re.compile(f"[{''.join(LOOK_ALIKES)}]")
+_HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
+_DOTTED = re.compile(r"[.*_-]\w[.*_-]")
 _SPACED = re.compile(r"(?<![\w.*_-])(?:\w[.*_-]){2,}\w(?![\w.*_-])")
-_TOKEN = re.compile(r"[\w@$!|]+")
+_BREAK = re.compile(r"[^\w@$!|]+")
 
 
-@functools.lru_cache(1 << 16)
-def _bare(letter: str) -> str:
-    """The letter without its marks, one character for one."""
-    return unicodedata.normalize("NFD", letter)[0]
+def _respelled(token: str) -> str:
+    """A token with digits or signs: letters for them where it has letters, too."""
+    if any(map(str.isalpha, token)):
+        return token.strip("!|_").translate(_SIGNS).replace("_", " ")
+    return token.strip("@$!|_")
 
 
-def fold(text: str | None) -> tuple[str, str, int]:
-    """The folded text, every word between single spaces, the same without the
-    letters' marks, and the number of words. Null is empty."""
-    text = unicodedata.normalize("NFKC", text or "").lower()
+def fold(text: str | None) -> tuple[str, int]:
+    """The folded text, every word between single spaces, and the number of
+    words. Null is empty."""
+    text = text or ""
     if not text.isascii():
-        text = unicodedata.normalize("NFC", _HIDDEN.sub("", text).translate(_SIGHT))
-    if "." in text or "-" in text or "*" in text or "_" in text:
+        text = unicodedata.normalize("NFKC", text)
+    text = text.lower()
+    if not text.isascii():
+        text = _HIDDEN.sub("", text)
+        if _SIGHTED.search(text):
+            text = text.translate(_SIGHT)
+        text = unicodedata.normalize("NFC", text)
+    if _DOTTED.search(text):
         text = _SPACED.sub(lambda m: re.sub(r"[.*_-]", "", m.group()), text)
-    words = []
-    for token in _TOKEN.findall(text):
-        if not token.isalpha():
-            if not any(map(str.isalpha, token)):
-                words.append(token)
-                continue
-            token = token.strip("!|_")
-        words += token.translate(_SIGNS).replace("_", " ").split()
-    folded = f" {' '.join(words)} "
-    plain = folded
-    if not folded.isascii():
-        plain = folded.translate({ord(c): _bare(c) for c in set(folded) if not c.isascii()})
-    return folded, plain, len(words)
+    words = " ".join([t if t.isalpha() else _respelled(t) for t in _BREAK.split(text)]).split()
+    return f" {' '.join(words)} ".replace("l", "i"), len(words)
+
+
+def bare(folded: str) -> str:
+    """The folded text without its letters' marks, one character for one."""
+    return folded if folded.isascii() else folded.translate(_BARE)
 
 
 def beginnings(folded: str) -> dict[str, int]:
@@ -128,13 +138,19 @@ class Lexicon:
         return found
 
 
-def hits(automaton: ahocorasick.Automaton, folded: str, plain: str) -> list[tuple[int, int, float]]:
-    """Start, end and weight of every word of the lexicon that lies in no
-    exception phrase; a word counts once, by its heaviest term."""
+def hits(automaton: ahocorasick.Automaton, folded: str) -> list[tuple[int, int, float]]:
+    """Start, end and weight of every word of the lexicon, with or without its
+    letters' marks, that lies in no exception phrase; a word counts once, by its
+    heaviest term."""
     if not len(automaton):
         return []
-    found, spared = {}, []
-    for text in (folded,) if plain == folded else (folded, plain):
+    found, spared, texts = {}, [], [folded]
+    if not folded.isascii():
+        # words with marks are few; the whole text is looked at again only where one of them is in the lexicon
+        marked = f" {' '.join([w for w in folded.split(' ') if not w.isascii()])} ".translate(_BARE)
+        if next(automaton.iter(marked), None):
+            texts.append(bare(folded))
+    for text in texts:
         for last, (length, weight) in automaton.iter(text):
             if weight is None:
                 spared.append((last - length, last + 1))
@@ -312,10 +328,14 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     found = Lexicon({t: w for t in kept if (w := weigh(*counts[t][2:4])) >= LEAST_WEIGHT})
     sent = rows.sparkSession.sparkContext.broadcast(found)
 
+    automaton = None
+
     def phrases(text: str) -> dict[str, int]:
-        folded, plain, _ = fold(text)
+        nonlocal automaton
+        automaton = automaton or sent.value.automaton()
+        folded, _ = fold(text)
         out: Counter[str] = Counter()
-        for s, _, _ in hits(sent.value.automaton(), folded, plain):
+        for s, _, _ in hits(automaton, folded):
             end = folded.index(" ", s)
             before, behind = folded.rfind(" ", 0, s - 1) if s > 1 else 0, folded.find(" ", end + 1)
             if s > 1:
@@ -343,8 +363,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def measured(automaton: ahocorasick.Automaton, text: str | None) -> tuple[float, float, int, int]:
     """The weights of the text's hits and their weights for a thousand words,
     both on a logarithmic scale, the hits and the words."""
-    folded, plain, words = fold(text)
-    found = hits(automaton, folded, plain)
+    folded, words = fold(text)
+    found = hits(automaton, folded)
     mass = sum(w for _, _, w in found)
     return float(np.log1p(mass)), float(np.log1p(1000 * mass / max(1, words))), len(found), words
 

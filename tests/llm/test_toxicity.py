@@ -25,9 +25,9 @@ def test_fold():
     plain = words("loser")
     for spelled in ("l0ser", "1oser", "ⅼoser", "ｌｏｓｅｒ", "lоsеr", "lo​ser", "l.o.s.e.r", "LO$ER", "l*o*s*e*r"):
         assert words(spelled) == plain, spelled
-    assert toxicity.fold("ídiot")[1] == toxicity.fold("idiot")[0]
+    assert toxicity.bare(toxicity.fold("ídiot")[0]) == toxicity.fold("idiot")[0]
     assert words("call 555 1234") == ["caii", "555", "1234"]  # numbers stay numbers
-    assert toxicity.fold(None) == toxicity.fold("") and toxicity.fold("")[2] == 0
+    assert toxicity.fold(None) == toxicity.fold("") and toxicity.fold("") == ("  ", 0)
     assert words("a.b 3.14 x-ray well-known") == ["a", "b", "3", "14", "x", "ray", "weii", "known"]
 
 
@@ -56,7 +56,7 @@ def test_hits_match_brute_force():
     automaton = lexicon.automaton()
     for _ in range(500):
         text = f" {' '.join(rng.choice(['ab', 'abc', 'ba', 'bab', 'c', 'x', 'cab']) for _ in range(rng.randrange(0, 9)))} "
-        assert [(s, w) for s, _, w in toxicity.hits(automaton, text, text)] == slow_hits(lexicon, text), text
+        assert [(s, w) for s, _, w in toxicity.hits(automaton, text)] == slow_hits(lexicon, text), text
 
 
 def test_given_lexicon(spark):
@@ -70,6 +70,12 @@ def test_given_lexicon(spark):
     assert kept.columns == ["doc_id", "text", "score", "toxicity", "verdict"] and kept.count() == len(rows)
 
 
+def test_marks_of_letters_do_not_hide_words():
+    automaton = Lexicon.of({"idiot": 1.0}).automaton()
+    text = toxicity.fold("Ein ídiot, schöner idiot; étés")[0]
+    assert [text[s:e].strip() for s, e, _ in toxicity.hits(automaton, text)] == ["ídiot", "idiot"]
+
+
 def made(n, seed):
     """Clean and toxic texts with copies, and labels; the insults are made up and often spelled otherwise."""
     rng = random.Random(seed)
