@@ -18,10 +18,10 @@ def _any_of(word: Column, *lists: list[str]) -> Column:
     return F.lower(word).isin([w for of in lists for w in of])
 
 
-def name_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def name_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece: str = _PIECE) -> DataFrame:
     """(id, pos, word, starts): words and ``&``, and whether each begins a
-    sentence. A period after a title ends none."""
-    pieces = docs.select(id_col, F.posexplode(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(_PIECE), F.lit(0))).alias("pos", "word"))
+    sentence. A period after a title ends none. ``piece`` says what a piece is."""
+    pieces = docs.select(id_col, F.posexplode(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(piece), F.lit(0))).alias("pos", "word"))
     before = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     is_end = F.col("word").isin(".", "!", "?")
     last_word = F.last(F.when(~is_end, F.col("word")), ignorenulls=True).over(before)
@@ -32,10 +32,10 @@ def name_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.select(id_col, "pos", "word", (before_it.isNull() | (F.col("ends") > before_it)).alias("starts"))
 
 
-def name_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, pos, parts, starts): runs of capitalised words within a sentence,
-    a connector between two of them included. Islands by a running count."""
-    rows = name_tokens(docs, id_col, text_col)
+def name_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece: str = _PIECE) -> DataFrame:
+    """(id, pos, parts, places, starts): runs of capitalised words within a sentence,
+    a connector between two of them included, with the words' places. Islands by a running count."""
+    rows = name_tokens(docs, id_col, text_col, piece)
     order = Window.partitionBy(id_col).orderBy("pos")
     rows = rows.withColumn("cap", F.col("word").rlike(r"^\p{Lu}"))
     joins = F.col("cap") & ~F.col("starts")
@@ -45,24 +45,31 @@ def name_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     linked = F.col("bridge") | (joins & F.coalesce(F.lag("member").over(order), F.lit(False)))
     rows = rows.withColumn("new", F.col("member") & ~linked)
     rows = rows.withColumn("run", F.count_if("new").over(order)).where("member")
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"])
-    return rows.groupBy(id_col, "run").agg(F.min("pos").alias("pos"), parts.alias("parts"), F.min_by("starts", "pos").alias("starts")).drop("run")
+    parts = F.array_sort(F.collect_list(F.struct("pos", "word")))
+    runs = rows.groupBy(id_col, "run").agg(F.min("pos").alias("pos"), parts.alias("x"), F.min_by("starts", "pos").alias("starts"))
+    return runs.select(id_col, "pos", F.transform("x", lambda x: x["word"]).alias("parts"), F.transform("x", lambda x: x["pos"]).alias("places"), "starts")
 
 
 def entity_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, pos, entity): runs that are names. A leading title, possessive or
     sentence opener is taken off; single common words are none; a single word
     that begins a sentence needs a known name."""
-    rows = name_runs(docs, id_col, text_col).withColumn("first", F.get("parts", F.lit(0))).withColumn("many", F.size("parts") > 1)
+    return entity_spans(docs, id_col, text_col).select(id_col, "pos", "entity")
+
+
+def entity_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece: str = _PIECE) -> DataFrame:
+    """(id, pos, first, last, entity): the same with the places of a name's first
+    and last piece."""
+    rows = name_runs(docs, id_col, text_col, piece).withColumn("first", F.get("parts", F.lit(0))).withColumn("many", F.size("parts") > 1)
     title = F.col("many") & _any_of(F.col("first"), P.TITLES)
     owner = F.col("many") & _any_of(F.col("first"), P.POSSESSIVES)
     opener = F.col("many") & F.col("starts") & _any_of(F.col("first"), P.SENTENCE_STOPWORDS)
     strip = title | owner | opener
-    rows = rows.select(id_col, "pos", F.when(strip, F.slice("parts", F.lit(2), F.size("parts") - 1)).otherwise(F.col("parts")).alias("parts"), title.alias("titled"), (F.col("starts") & ~strip).alias("starts"))
+    rows = rows.select(id_col, "pos", F.when(strip, F.slice("parts", F.lit(2), F.size("parts") - 1)).otherwise(F.col("parts")).alias("parts"), F.get("places", F.when(strip, 1).otherwise(0)).alias("first"), F.element_at("places", -1).alias("last"), title.alias("titled"), (F.col("starts") & ~strip).alias("starts"))
     common = (F.size("parts") == 1) & _any_of(F.get("parts", F.lit(0)), P.SENTENCE_STOPWORDS, P.TITLES, P.CALENDAR, P.COMMON_NOUNS, P.CURRENCY_CODES, P.POSSESSIVES)
     known = F.exists("parts", lambda w: _any_of(w, P.ORG_SUFFIXES, P.ORGS, P.COUNTRIES, P.PLACES, P.FIRST_NAMES))
     kept = rows.where(~common & (F.col("titled") | known | (F.size("parts") > 1) | ~F.col("starts")))
-    return kept.select(id_col, "pos", F.array_join("parts", " ").alias("entity"))
+    return kept.select(id_col, "pos", "first", "last", F.array_join("parts", " ").alias("entity"))
 
 
 def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

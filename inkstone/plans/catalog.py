@@ -612,8 +612,8 @@ def _in(x: str, *lists: list[str]) -> str:
     return f"coalesce(list_contains({O.words_in([w for of in lists for w in of])}, lower({x})), false)"
 
 
-def _entities_sql(corpus: str) -> str:
-    piece = q(r"[\p{L}\p{N}']+|[&.!?]")
+def _entities_sql(corpus: str, piece: str = r"[\p{L}\p{N}']+|[&.!?]") -> str:
+    piece = q(piece)
     common = _in("parts[1]", P.SENTENCE_STOPWORDS, P.TITLES, P.CALENDAR, P.COMMON_NOUNS, P.CURRENCY_CODES, P.POSSESSIVES)
     known = f"len(list_filter(parts, lambda w: {_in('w', P.ORG_SUFFIXES, P.ORGS, P.COUNTRIES, P.PLACES, P.FIRST_NAMES)})) > 0"
     return f"""pc as (select doc_id, unnest(regexp_extract_all(text, {piece})) as word, generate_subscripts(regexp_extract_all(text, {piece}), 1) as pos from ({corpus})),
@@ -623,10 +623,10 @@ def _entities_sql(corpus: str) -> str:
     wd as (select doc_id, pos, word, ends > coalesce(lag(ends) over o, -1) as starts, regexp_matches(word, '^\\p{{Lu}}') as cap from ps where not mark window o as (partition by doc_id order by pos)),
     br as (select *, {_in('word', P.CONNECTORS)} and not cap and not starts and coalesce(lag(cap) over o, false) and coalesce(lead(cap and not starts) over o, false) as bridge from wd window o as (partition by doc_id order by pos)),
     mb as (select *, cap or bridge as member from br), lk as (select *, member and not (bridge or (cap and not starts and coalesce(lag(member) over o, false))) as new from mb window o as (partition by doc_id order by pos)),
-    rn as (select *, count(*) filter (new) over (partition by doc_id order by pos) as run from lk), runs as (select doc_id, min(pos) as pos, list(word order by pos) as parts, arg_min(starts, pos) as starts from rn where member group by doc_id, run),
+    rn as (select *, count(*) filter (new) over (partition by doc_id order by pos) as run from lk), runs as (select doc_id, min(pos) as pos, list(word order by pos) as parts, list(pos order by pos) as places, arg_min(starts, pos) as starts from rn where member group by doc_id, run),
     st as (select *, len(parts) > 1 and {_in('parts[1]', P.TITLES)} as titled, len(parts) > 1 and {_in('parts[1]', P.POSSESSIVES)} as owner, len(parts) > 1 and starts and {_in('parts[1]', P.SENTENCE_STOPWORDS)} as opener from runs),
-    cut as (select doc_id, pos, titled, starts and not (titled or owner or opener) as starts, case when titled or owner or opener then parts[2:] else parts end as parts from st),
-    names as (select doc_id, pos, array_to_string(parts, ' ') as entity from cut where not (len(parts) = 1 and {common}) and (titled or {known} or len(parts) > 1 or not starts))"""
+    cut as (select doc_id, pos, titled, starts and not (titled or owner or opener) as starts, case when titled or owner or opener then parts[2:] else parts end as parts, case when titled or owner or opener then places[2] else places[1] end as first, places[len(places)] as last from st),
+    names as (select doc_id, pos, first, last, array_to_string(parts, ' ') as entity from cut where not (len(parts) = 1 and {common}) and (titled or {known} or len(parts) > 1 or not starts))"""
 
 
 @query(f"with {_entities_sql(C.NARRATIVES)}, u as (select doc_id, entity, min(pos) as pos from names group by all) select doc_id, string_agg(entity, '|' order by pos) as entities from u group by doc_id")
@@ -695,27 +695,6 @@ def span_tokens(spark, sf_dir):
     return enrich.span_tokens(C.documents(spark, sf_dir))
 
 
-def _gold_spans(spark, sf_dir):
-    """Made-up spans: from the fifth to the twelfth and the twentieth to the sixtieth byte."""
-    two = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(t).alias("label")) for a, b, t in ((5, 12, "ORG"), (20, 60, "PERSON"))))
-    return C.documents(spark, sf_dir).select("doc_id", F.inline(two))
-
-
-_BIO = f"""{_SPAN_SQL}, gold as (select * from (values (5, 12, 'ORG'), (20, 60, 'PERSON')) v(a, b, label)),
-    bio as (select doc_id, tok, token, case when label is null then 'O' when tok = min(tok) over (partition by doc_id, a) then 'B-' || label else 'I-' || label end as bio from spans left join gold on "start" >= a and "end" <= b)"""
-
-
-@query(f"with {_BIO} select doc_id, tok, token, bio from bio")
-def project_bio(spark, sf_dir):
-    return enrich.project_bio(enrich.span_tokens(C.documents(spark, sf_dir)), _gold_spans(spark, sf_dir))
-
-
-@query(f"with {_BIO} select doc_id, bio[3:] as label, min(tok) as first_tok, max(tok) as last_tok, string_agg(token, ' ' order by tok) as text from bio where bio <> 'O' group by 1, 2")
-def merge_bio(spark, sf_dir):
-    tags = enrich.project_bio(enrich.span_tokens(C.documents(spark, sf_dir)), _gold_spans(spark, sf_dir))
-    return enrich.merge_bio(tags)
-
-
 @query()
 def sequence_features(spark, sf_dir):
     rows = enrich.sequence_features(enrich.span_tokens(C.documents(spark, sf_dir)))
@@ -779,9 +758,9 @@ def date_agreement(spark, sf_dir):
 # ---- the same operators over whole documents, and results beside results ------------------
 
 
-@query(f"with s as ({_sentence_sql(C.DOCUMENTS)}), f as ({_facts_sql('s')}) select doc_id, cast(row_number() over (partition by doc_id order by sent_idx, o, k) - 1 as integer) as i, stat_type, value, unit, phrase, context_sentence from f")
+@query(f"with s as ({_sentence_sql(C.LEDGERS)}), f as ({_facts_sql('s')}) select doc_id, cast(row_number() over (partition by doc_id order by sent_idx, o, k) - 1 as integer) as i, stat_type, value, unit, phrase, context_sentence from f")
 def stats_documents(spark, sf_dir):
-    return extract.stats(C.documents(spark, sf_dir)).select("doc_id", F.posexplode("stats").alias("i", "s")).select("doc_id", "i", "s.*")
+    return extract.stats(C.ledgers(spark, sf_dir)).select("doc_id", F.posexplode("stats").alias("i", "s")).select("doc_id", "i", "s.*")
 
 
 @query(f"select doc_id, {_distinct_sql(P.WHOLE_DATE)} as dates, {_distinct_sql('(?i)' + P.AMOUNT)} as amounts, {_distinct_sql('(?i)' + P.URL)} as urls from documents")
@@ -844,3 +823,6 @@ def name_agreement(spark, sf_dir):
     gold = F.array(*map(F.lit, ["Paris", "Smith", "Google of London", "Nowhere"]))
     rows = enrich.entities(C.narratives(spark, sf_dir)).where(F.size("entities") > 0).select("doc_id", evals.overlap_agreement("entities", gold).alias("x"))
     return rows.select("doc_id", "x.tp", "x.fp", "x.fn", F.round("x.precision", 6).alias("precision"), F.round("x.recall", 6).alias("recall"))
+
+
+from . import labels as _labels  # noqa: E402, F401  more queries register themselves

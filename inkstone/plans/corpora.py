@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,10 +52,8 @@ def narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("c_custkey").alias("doc_id"), F.concat(*_parts(lambda t: F.lit(t), fields)).alias("text"))
 
 
-def _parts(literal, fields):
-    import re
-
-    return [fields[p[1:-1]] if p[:1] == "{" else literal(p) for p in re.split(r"(\{\w+\})", _NARRATIVE) if p]
+def _parts(literal, fields, of=_NARRATIVE):
+    return [fields[p[1:-1]] if p[:1] == "{" else literal(p) for p in re.split(r"(\{\w+\})", of) if p]
 
 
 def quoted(text: str) -> str:
@@ -82,6 +82,23 @@ NARRATIVES = (
 )
 
 
+def ledgers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, each with statements on the orders of the customer of the same
+    number behind it: long texts in several languages with facts in them."""
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"), F.sum(cents).alias("cents"), F.min("o_orderdate").alias("d1"))
+    rows = documents(spark, sf_dir).join(orders, F.col("doc_id") == F.col("k"), "left")
+    fields = {"n": F.col("n").cast("string"), "days": (F.col("cents") % 60 + 1).cast("string"), "paid": F.concat(F.expr("cents div 100").cast("string"), F.lit("."), F.lpad((F.col("cents") % 100).cast("string"), 2, "0")), "date": F.date_format("d1", "yyyy-MM-dd")}
+    facts = F.concat(*_parts(lambda t: F.lit(t), fields, _LEDGER))
+    return rows.select("doc_id", F.concat("text", F.coalesce(facts, F.lit(""))).alias("text"))
+
+
+_LEDGER = (
+    "\n\n## Ledger\nGoogle ordered {n} items from Smith & Co for ${paid} on {date}. The new delivery plan of Mary Smith took {days} days. The order volume of Google rose by 3.5 percent in Paris."
+    " Smith & Co delivered {n} items within {days} days, and the delivery plan fell short by 2 units."
+)
+
+
 def dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as ``Role: text`` lines in the order of their turns."""
     turns = table(spark, sf_dir, "conversations")
@@ -102,6 +119,12 @@ def thoughts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", text.alias("text"))
 
 
+LEDGERS = (
+    "select doc_id, text || coalesce("
+    + " || ".join(_parts(quoted, {"n": "cast(n as varchar)", "days": "cast(cents % 60 + 1 as varchar)", "paid": "cast(cents // 100 as varchar) || '.' || lpad(cast(cents % 100 as varchar), 2, '0')", "date": "strftime(d1, '%Y-%m-%d')"}, _LEDGER))
+    + ", '') as text from documents left join (select o_custkey as k, count(*) as n, cast(sum(cast(round(o_totalprice * 100) as bigint)) as bigint) as cents, min(o_orderdate) as d1 from orders group by 1) on doc_id = k"
+)
+
 THOUGHTS = "select doc_id, '  <think>plan' || chr(10) || 'for ' || cast(doc_id as varchar) || '</think>' || chr(10) || chr(10) || text || chr(10) || '<think></think> ' as text from documents"
 
 
