@@ -487,6 +487,14 @@ def test_secrets_lexer_reads_assignments_of_every_form(form):
         assert [text[s:e] for k, s, e in secrets.scan(text) if k == "pair"] == [literal], text
 
 
+@pytest.mark.parametrize("unit", ["token= '\\ ", 'token="\\" ', "\\'", "token='\\\n", "x=<<EOF\ntoken=1\n", "token=<<EOF\n", "x=<<A ", "<secret>x" + " " * 50, "token=", "x=$(", "a: |\n "])
+def test_secrets_lexer_reads_a_megabyte(unit):
+    """Openings that are never closed are not looked for again."""
+    began = time.process_time()
+    secrets.scan(unit * (1_000_000 // len(unit)) + " " * 100_000 + "\nEOF\n")
+    assert time.process_time() - began < 15  # some two seconds on an idle machine
+
+
 def test_secrets_lexer_edges():
     found = lambda text: [text[s:e] for k, s, e in secrets.scan(text) if k == "pair"]
     assert found("if password == 'aB3dE6gH9kL2'") == [] and found("password = os.getenv('HOME_DIRECTORY_1')") == []
