@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql.window import Window
 from ..functions import hints as H
 from ..functions import numbers as N
 from ..functions import patterns as P
+from ..functions import runs as R
 from ..functions import text as X
 from . import scoring
 
@@ -139,19 +141,19 @@ def outline(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(id, outline): for each structural heading with a body, its depth, its
     name and the best sentence below it. Text before the first heading counts
     for none."""
-    rows = scoring.scored_documents(docs, id_col, text_col, separate=True).select(id_col, F.inline("s"))
-    rows = rows.withColumn("head", X.is_structural_heading("sentence"))
-    part = F.count_if("head").over(Window.partitionBy(id_col).orderBy("sent_idx"))
-    rows = rows.withColumn("part", part).where("part > 0")
-    best = F.min(F.when(~F.col("head"), F.struct((-F.col("composite")).alias("by"), F.col("sent_idx").alias("i"), F.col("sentence").alias("t"))))
-    top = F.max(F.when(F.col("head"), F.col("sentence")))
-    found = rows.groupBy(id_col, "part").agg(top.alias("head"), best.alias("best")).where("best is not null")
-    found = found.withColumn("name", X.heading_name("head")).where("name is not null")
-    item = F.struct("part", X.heading_depth("head").alias("depth"), "name", F.col("best.t").alias("representative_sentence"))
-    listed = found.groupBy(id_col).agg(F.array_sort(F.collect_list(item)).alias("o"))
-    listed = listed.select(F.col(id_col).alias("_of"), F.transform("o", lambda o: F.struct(o["depth"].alias("depth"), o["name"].alias("name"), o["representative_sentence"].alias("representative_sentence"))).alias("o"))
-    empty = F.array().cast(listed.schema["o"].dataType)
-    return docs.select(id_col).join(listed, F.col(id_col) == F.col("_of"), "left").select(id_col, F.coalesce("o", empty).alias("outline"))
+    scored = scoring.scored_documents(docs, id_col, text_col, separate=True)
+    heads = F.filter(F.transform("s", lambda x, i: i), lambda i: X.is_structural_heading(F.get(F.col("s"), i)["sentence"]))
+
+    def parts(at: Column) -> Column:
+        def part(i: Column, j: Column) -> Column:
+            body = F.slice("s", i + 2, F.greatest(F.coalesce(F.get(at, j + 1), F.size("s")) - i - 1, F.lit(0)))
+            best = F.array_min(F.transform(body, lambda x: F.struct((-x["composite"]).alias("by"), x["sent_idx"].alias("i"), x["sentence"].alias("t"))))
+            head = F.get(F.col("s"), i)["sentence"]
+            return F.struct(X.heading_depth(head).alias("depth"), X.heading_name(head).alias("name"), best["t"].alias("representative_sentence"))
+
+        return F.filter(F.transform(at, part), lambda p: p["name"].isNotNull() & p["representative_sentence"].isNotNull())
+
+    return scored.select(id_col, X.let(heads, parts).alias("outline"))
 
 
 def toc(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,15 +165,31 @@ def _fact_keys(facts: Column) -> Column:
     return F.array_distinct(F.transform(facts, lambda f: F.concat_ws("\x01", f["stat_type"], X.normalize_value(f["value"]))))
 
 
+def _candidates(word_names: bool) -> Column:
+    """(sent_idx, sentence, score, keys) of a scored document's sentences with
+    facts; equal sentences count as one, at the first one's place, with all their facts."""
+    some = F.filter("s", lambda x: x["sentence"].rlike(f"{P.ANY_DIGIT}|{N.ANY}" if word_names else P.ANY_DIGIT))
+    found = F.transform(some, lambda x: F.struct(x["sentence"].alias("sentence"), x["sent_idx"].alias("sent_idx"), x["composite"].alias("composite"), x["words"].alias("words"), _facts_of(word_names)(x["sentence"]).alias("facts")))
+    ordered = F.sort_array(F.filter(found, lambda x: F.size(x["facts"]) > 0))
+
+    def of(a: Column) -> Column:
+        def one(starts: Column):
+            def row(i: Column, j: Column) -> Column:
+                x, times = F.get(a, i), F.coalesce(F.get(starts, j + 1), F.size(a)) - i
+                score = F.round(x["composite"] + DENSITY * (F.size(x["facts"]) * times) / F.greatest(x["words"], F.lit(1)), scoring.DECIMALS)
+                return F.struct(x["sent_idx"].alias("sent_idx"), x["sentence"].alias("sentence"), score.alias("score"), _fact_keys(x["facts"]).alias("keys"))
+
+            return F.transform(starts, row)
+
+        return X.let(R.starts(a, lambda x: x["sentence"]), one)
+
+    return X.let(ordered, of)
+
+
 def fact_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", convert_word_names: bool = False) -> DataFrame:
     """(id, sent_idx, sentence, score, keys): sentences with facts; equal
     sentences count as one, at the first one's place, with all their facts."""
-    rows = scoring.scored_documents(docs, id_col, text_col).select(id_col, F.inline("s")).where(F.col("sentence").rlike(f"{P.ANY_DIGIT}|{N.ANY}" if convert_word_names else P.ANY_DIGIT))
-    rows = rows.withColumn("facts", _facts_of(convert_word_names)(F.col("sentence"))).where(F.size("facts") > 0)
-    first = F.min_by(F.struct("composite", "words"), "sent_idx")
-    met = rows.groupBy(id_col, "sentence").agg(F.min("sent_idx").alias("sent_idx"), first.alias("f"), F.sum(F.size("facts")).alias("n"), F.first(_fact_keys(F.col("facts"))).alias("keys"))
-    score = F.round(F.col("f.composite") + DENSITY * F.col("n") / F.greatest(F.col("f.words"), F.lit(1)), scoring.DECIMALS)
-    return met.select(id_col, "sent_idx", "sentence", score.alias("score"), "keys")
+    return scoring.scored_documents(docs, id_col, text_col).select(id_col, F.inline(_candidates(convert_word_names)))
 
 
 _STATE = "struct<n:int,keys:array<string>,chosen:array<int>>"
@@ -194,10 +212,9 @@ def key_facts(docs: DataFrame, max_facts: int = 10, *, convert_word_names: bool
     match."""
     prepared = H.prepare(hints)
     H.check(prepared, hint_focus, hint_mode)
-    rows = fact_candidates(docs, id_col, text_col, convert_word_names)
-    extra = H.bonus(F.col("sentence"), prepared)
-    row = F.struct((-F.col("score")).alias("by"), "sent_idx", "sentence", "keys", extra.alias("extra"))
-    packed = rows.groupBy(id_col).agg(F.array_sort(F.collect_list(row)).alias("plain"))
+    rows = scoring.scored_documents(docs, id_col, text_col).select(id_col, _candidates(convert_word_names).alias("c"))
+    row = lambda x: F.struct((-x["score"]).alias("by"), x["sent_idx"].alias("sent_idx"), x["sentence"].alias("sentence"), x["keys"].alias("keys"), H.bonus(x["sentence"], prepared).alias("extra"))
+    packed = rows.select(id_col, F.array_sort(F.transform("c", row)).alias("plain"))
     none = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("keys"), F.array().cast("array<int>").alias("chosen")).cast(_STATE)
     if prepared:
         hard = hint_mode == "hard"
@@ -218,14 +235,13 @@ def key_facts(docs: DataFrame, max_facts: int = 10, *, convert_word_names: bool
         # without hints the first candidate stays even where the quota is zero
         chosen = _keep(F.col("plain"), none, F.lit(max(1, max_facts)))["chosen"]
     text_of = lambda i: F.get(F.filter("plain", lambda x: x["sent_idx"] == i), F.lit(0))["sentence"]
-    kept = packed.select(F.col(id_col).alias("_of"), F.transform(F.array_sort(chosen), text_of).alias("k"))
-    return docs.select(id_col).join(kept, F.col(id_col) == F.col("_of"), "left").select(id_col, F.coalesce("k", F.array().cast("array<string>")).alias("key_facts"))
+    return packed.select(id_col, F.transform(F.array_sort(chosen), text_of).alias("key_facts"))
 
 
-def ngrams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ord, phrase): word groups of two to five in runs without stopwords,
-    over the whole text, a run's shorter groups first."""
-    marked = F.array_join(F.transform(X.letter_words(text_col), lambda w: F.when(w.isin(P.PHRASE_STOPWORDS), F.lit("|")).otherwise(w)), " ")
+def _groups(text: Column) -> Column:
+    """Word groups of two to five in runs without stopwords, over the whole
+    text, a run's shorter groups first."""
+    marked = F.array_join(F.transform(X.letter_words(text), lambda w: F.when(w.isin(P.PHRASE_STOPWORDS), F.lit("|")).otherwise(w)), " ")
     runs = F.transform(F.filter(F.split(marked, r"\|"), lambda r: F.trim(r).contains(" ")), lambda r: F.split(F.trim(r), " "))
 
     def groups(run: Column) -> Column:
@@ -233,43 +249,60 @@ def ngrams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         sizes = F.sequence(F.lit(2), F.least(F.lit(5), n))
         return F.flatten(F.transform(sizes, lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(run, i, k), " "))))
 
-    return docs.select(id_col, F.col(text_col)).repartition(id_col).select(id_col, F.posexplode(F.flatten(F.transform(runs, groups))).alias("ord", "phrase"))
+    return F.flatten(F.transform(runs, groups))
+
+
+def _spread(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """Documents dealt out by their whole content, so that neither equal ids nor large files stay together."""
+    names = dict.fromkeys([id_col, text_col, *more])
+    return docs.select(*names).repartition(F.xxhash64(F.col(id_col), F.col(text_col)))
 
 
 def phrase_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2) -> DataFrame:
     """(id, phrase, n, ord, size): word groups met at least ``least`` times."""
-    counted = ngrams(docs, id_col, text_col).groupBy(id_col, "phrase").agg(F.count("*").alias("n"), F.min("ord").alias("ord"))
-    return counted.where(F.col("n") >= least).withColumn("size", F.size(F.split("phrase", " ")))
+    rows = _spread(docs, id_col, text_col).select(id_col, F.inline(F.filter(R.counted(_groups(F.col(text_col))), lambda x: x["n"] >= least)))
+    return rows.select(id_col, F.col("v").alias("phrase"), F.col("n").cast("long").alias("n"), F.col("at").alias("ord"), F.size(F.split("v", " ")).alias("size"))
+
+
+def _words_in(phrase: Column) -> Column:
+    return F.length(phrase) - F.length(F.translate(phrase, " ", "")) + 1
+
+
+def _kept(groups: Column) -> Column:
+    """(v, n) of repeated word groups by first appearance, without those that
+    only occur inside a longer one. Where a longer one with the same count exists,
+    one that is longer by one word does too: its parts less the first or the
+    last word, with that count, are taken out."""
+    key = lambda v, n: F.concat(v, F.lit("\x01"), n.cast("string"))
 
+    def of(many: Column) -> Column:
+        longer = F.filter(many, lambda x: _words_in(x["v"]) > 2)
+        inner = F.flatten(F.transform(longer, lambda x: F.array(key(F.substr(x["v"], F.instr(x["v"], " ") + 1), x["n"]), key(F.left(x["v"], F.length(x["v"]) - F.instr(F.reverse(x["v"]), " ")), x["n"]))))
+        in_order = F.transform(F.sort_array(F.transform(many, lambda x: F.struct(x["at"].alias("at"), x["v"].alias("v"), x["n"].alias("n")))), lambda x: key(x["v"], x["n"]))
+        return F.transform(F.array_except(in_order, inner), lambda k: F.struct(F.substring_index(k, "\x01", 1).alias("v"), F.substring_index(k, "\x01", -1).cast("int").alias("n")))
 
-def drop_subsumed(counted: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Without phrases that only occur inside a longer one. Where a longer phrase
-    with the same count exists, one that is longer by one word does too, so an
-    equi-join with each phrase less its first or last word finds them all."""
-    inner = F.array(F.regexp_replace("phrase", r"^\S+ ", ""), F.regexp_replace("phrase", r" \S+$", ""))
-    inside = counted.where("size > 2").select(F.col(id_col).alias("_i"), F.col("n").alias("_n"), F.explode(inner).alias("_p"))
-    return counted.join(inside, (F.col(id_col) == F.col("_i")) & (F.col("phrase") == F.col("_p")) & (F.col("n") == F.col("_n")), "left_anti")
+    return X.let(F.filter(groups, lambda x: x["n"] >= 2), of)
 
 
 def phrases(docs: DataFrame, keywords: str | None = None, *, hints: H.Hints = None, hint_mode: str = "soft", hint_focus: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, phrases): repeated word groups by first appearance; groups met once
-    follow when they hold a keyword. With hints, matches come first, or alone."""
+    follow when they hold a keyword. With hints, matches come first, or alone.
+    All of a document's phrases come out of one row, counted in a sorted array."""
     prepared = H.prepare(hints)
     H.check(prepared, hint_focus, hint_mode)
-    counted = phrase_counts(docs, id_col, text_col, 1 if keywords else 2)
-    kept = drop_subsumed(counted.where("n >= 2"), id_col).withColumn("late", F.lit(0))
+    names = lambda a: F.transform(a, lambda x: x["v"])
+    rows = _spread(docs, id_col, text_col)
     if keywords:
-        import re
-
         wanted = F.array(*map(F.lit, sorted(set(re.findall("[a-z]{3,}", keywords.lower()))))).cast("array<string>")
-        once = counted.where("n = 1").where(F.arrays_overlap(F.split("phrase", " "), wanted))
-        kept = kept.unionByName(once.withColumn("late", F.lit(1)))
-    match = H.bonus(F.col("phrase"), prepared) > 0 if prepared else F.lit(False)
-    if prepared and hint_mode == "hard":
-        kept = kept.where(match)
-    row = F.struct((~match).alias("later"), "late", "ord", "phrase")
-    listed = kept.groupBy(id_col).agg(F.array_sort(F.collect_list(row)).alias("p")).select(F.col(id_col).alias("_of"), F.transform("p", lambda x: x["phrase"]).alias("p"))
-    return docs.select(id_col).join(listed, F.col(id_col) == F.col("_of"), "left").select(id_col, F.coalesce("p", F.array().cast("array<string>")).alias("phrases"))
+        once = lambda c: names(F.sort_array(F.transform(F.filter(c, lambda x: (x["n"] == 1) & F.arrays_overlap(F.split(x["v"], " "), wanted)), lambda x: F.struct(x["at"].alias("at"), x["v"].alias("v")))))
+        found = X.let(R.counted(_groups(F.col(text_col))), lambda c: F.concat(names(_kept(c)), once(c)))
+    else:
+        found = names(_kept(R.counted(_groups(F.col(text_col)))))
+    if prepared:
+        match = lambda p: H.bonus(p, prepared) > 0
+        first = lambda a: F.filter(a, match)
+        found = X.let(found, lambda a: first(a) if hint_mode == "hard" else F.concat(first(a), F.filter(a, lambda p: ~match(p))))
+    return rows.select(id_col, found.alias("phrases"))
 
 
 def word_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -285,8 +318,10 @@ def word_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def phrase_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, term, score): repeated phrases by count times words, the largest 1."""
-    kept = drop_subsumed(phrase_counts(docs, id_col, text_col), id_col).withColumn("raw", (F.col("n") * F.col("size")).cast("double"))
-    return kept.select(id_col, F.col("phrase").alias("term"), (F.col("raw") / F.max("raw").over(Window.partitionBy(id_col))).alias("score"))
+    raw = lambda x: x["n"] * _words_in(x["v"])
+    rows = _spread(docs, id_col, text_col).select(id_col, _kept(R.counted(_groups(F.col(text_col)))).alias("k"))
+    rows = rows.select(id_col, F.array_max(F.transform("k", raw)).alias("most"), F.inline("k"))
+    return rows.select(id_col, F.col("v").alias("term"), (raw({"n": F.col("n"), "v": F.col("v")}) / F.col("most")).alias("score"))
 
 
 def term_scores(docs: DataFrame, n: int = 10, kinds: Sequence[str] = ("words", "phrases"), *, hints: H.Hints = None, hint_focus: float = 0.7, hint_mode: str = "soft", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -315,47 +350,62 @@ def top_terms(docs: DataFrame, n: int = 10, kinds: Sequence[str] = ("words", "ph
     return docs.select(id_col).join(listed, F.col(id_col) == F.col("_of"), "left").select(id_col, F.coalesce("t", F.array().cast("array<string>")).alias("terms"))
 
 
-FACT = "array<struct<entity:string,number:string,polarity:string,sentence:string>>"
+CORRELATED = "array<struct<k:int,entity:string,number:string,polarity:string,sentence:string>>"
+
+
+def _correlated(docs: DataFrame, id_col: str, text_col: str, word_names: bool) -> DataFrame:
+    """(id, c): for each document its facts (k, entity, number, polarity, sentence),
+    each with what it is about. One row's work: facts, phrases and repeated words
+    are arrays of the same row."""
+    # what several facts look up is bound by ``let``: a column of a projection below could be worked out again for each of them
+    rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    text = F.col("_text")
+    often = F.filter(R.counted(F.filter(X.letter_words(text), lambda w: ~w.isin(P.PHRASE_STOPWORDS))), lambda x: x["n"] >= 2)
+    many = F.struct(F.transform(_kept(R.counted(_groups(text))), lambda x: x["v"]).alias("phrases"), F.transform(often, lambda x: x["v"]).alias("v"), F.transform(often, lambda x: x["n"]).alias("n"))
+
+    def word(sentence: Column, m: Column) -> Column:
+        ranked = F.transform(X.letter_words(sentence), lambda w, i: X.let(F.array_position(m["v"], w).cast("int"), lambda p: F.when(p > 0, F.struct((-F.get(m["n"], p - 1)).alias("by"), i.alias("at"), w.alias("w")))))
+        return F.array_min(F.array_compact(ranked))["w"]
+
+    def phrase(sentence: Column, m: Column) -> Column:
+        return X.let(F.lower(sentence), lambda low: F.get(F.filter(m["phrases"], lambda p: F.forall(F.split(p, " "), lambda w: low.contains(w))), F.lit(0)))
+
+    def fact(f: Column, k: Column, m: Column) -> Column:
+        return F.struct(k.alias("k"), F.coalesce(phrase(f["context_sentence"], m), word(f["context_sentence"], m)).alias("entity"), f["value"].alias("number"), f["context_sentence"].alias("sentence"))
+
+    def met(named: Column) -> Column:
+        twice = F.transform(F.filter(R.counted(F.transform(named, lambda x: x["entity"])), lambda x: x["n"] >= 2), lambda x: x["v"])
+        full = lambda x: F.struct(x["k"].alias("k"), x["entity"].alias("entity"), x["number"].alias("number"), X.polarity(x["sentence"]).alias("polarity"), x["sentence"].alias("sentence"))
+        return X.let(twice, lambda t: F.transform(F.filter(named, lambda x: F.array_contains(t, x["entity"])), full))
+
+    def of(facts: Column) -> Column:
+        named = lambda m: F.filter(F.transform(facts, lambda f, k: fact(f, k, m)), lambda x: x["entity"].isNotNull())
+        # two facts at least name an entity twice; phrases of other texts are not looked for
+        return F.when(F.size(facts) >= 2, X.let(many, lambda m: X.let(named(m), met))).otherwise(F.array().cast(CORRELATED))
+
+    facts = F.flatten(F.transform(X.split_sentences("_text"), _facts_of(word_names)))
+    return rows.select(id_col, X.let(facts, of).alias("c"))
 
 
 def correlated_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", convert_word_names: bool = False) -> DataFrame:
     """(id, k, entity, number, polarity, sentence): each fact with what it is
     about: the first repeated phrase whose words are all in its sentence, else
     the sentence's most frequent repeated word. Entities with one fact drop out."""
-    facts = stats(docs, id_col, text_col, convert_word_names).select(id_col, F.posexplode("stats").alias("k", "f")).select(id_col, "k", F.col("f.value").alias("number"), F.col("f.context_sentence").alias("sentence"))
-    few = docs.join(facts.select(F.col(id_col).alias("_of")).distinct(), F.col(id_col) == F.col("_of"), "left_semi")
-    listed = phrases(few, id_col=id_col, text_col=text_col).withColumnRenamed(id_col, "_p")
-    low = F.lower("sentence")
-    facts = facts.join(listed, F.col(id_col) == F.col("_p")).drop("_p")
-    inside = F.filter("phrases", lambda p: F.forall(F.split(p, " "), lambda w: low.contains(w)))
-    facts = facts.select(id_col, "k", "number", "sentence", F.get(inside, F.lit(0)).alias("phrase"))
-    words = few.select(id_col, F.explode(X.letter_words(text_col)).alias("w")).where(~F.col("w").isin(P.PHRASE_STOPWORDS))
-    often = words.groupBy(id_col, "w").agg(F.count("*").alias("n")).where("n >= 2").withColumnRenamed(id_col, "_w")
-    bare = facts.where("phrase is null").select(id_col, "k", F.posexplode(X.letter_words("sentence")).alias("at", "word"))
-    best = bare.join(often, (F.col(id_col) == F.col("_w")) & (F.col("word") == F.col("w"))).groupBy(F.col(id_col).alias("_b"), F.col("k").alias("_k"))
-    best = best.agg(F.min(F.struct((-F.col("n")).alias("by"), "at", "word"))["word"].alias("word"))
-    named = facts.join(best, (F.col(id_col) == F.col("_b")) & (F.col("k") == F.col("_k")), "left").withColumn("entity", F.coalesce("phrase", "word")).where("entity is not null")
-    met = F.count("*").over(Window.partitionBy(id_col, "entity"))
-    return named.withColumn("met", met).where("met >= 2").select(id_col, "k", "entity", "number", X.polarity("sentence").alias("polarity"), "sentence")
-
-
-def _listed_facts(docs: DataFrame, rows: DataFrame, id_col: str) -> DataFrame:
-    row = F.struct("later", "k", "entity", "number", "polarity", "sentence")
-    listed = rows.groupBy(id_col).agg(F.array_sort(F.collect_list(row)).alias("c"))
-    item = lambda x: F.struct(*(x[n].alias(n) for n in ("entity", "number", "polarity", "sentence")))
-    listed = listed.select(F.col(id_col).alias("_of"), F.transform("c", item).alias("c"))
-    return docs.select(id_col).join(listed, F.col(id_col) == F.col("_of"), "left").select(id_col, F.coalesce("c", F.array().cast(FACT)).alias("correlated_facts"))
+    return _correlated(docs, id_col, text_col, convert_word_names).select(id_col, F.inline("c"))
 
 
 def correlate_facts(docs: DataFrame, *, convert_word_names: bool = False, hints: H.Hints = None, hint_focus: float = 0.7, hint_mode: str = "soft", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, correlated_facts) in document order; with hints, matches first, or alone."""
     prepared = H.prepare(hints)
     H.check(prepared, hint_focus, hint_mode)
-    rows = correlated_rows(docs, id_col, text_col, convert_word_names)
-    match = H.bonus(F.concat_ws(" ", "entity", "number"), prepared) > 0 if prepared else F.lit(False)
-    if prepared and hint_mode == "hard":
-        rows = rows.where(match)
-    return _listed_facts(docs, rows.withColumn("later", ~match), id_col)
+    rows = _correlated(docs, id_col, text_col, convert_word_names)
+    found = F.col("c")
+    if prepared:
+        match = lambda x: H.bonus(F.concat_ws(" ", x["entity"], x["number"]), prepared) > 0
+        first = F.filter("c", match)
+        found = first if hint_mode == "hard" else F.concat(first, F.filter("c", lambda x: ~match(x)))
+    item = lambda x: F.struct(*(x[n].alias(n) for n in ("entity", "number", "polarity", "sentence")))
+    return rows.select(id_col, F.transform(found, item).alias("correlated_facts"))
 
 
 ATTRIBUTE = "array<struct<key:string,label:string,value:string,value_type:string,source:string,evidence:string,confidence:double>>"
