@@ -122,13 +122,16 @@ def stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", conve
     return sents.select(id_col, F.flatten(F.transform("sents", _facts_of(convert_word_names))).alias("stats"))
 
 
+def _metadata(text_col: str) -> Column:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    every = lambda p: F.array_distinct(F.regexp_extract_all(text, F.lit(p), F.lit(0)))
+    return F.struct(every(f"(?Ud){P.WHOLE_DATE}").alias("dates"), every(f"(?iUd){P.AMOUNT}").alias("amounts"), every(f"(?iUd){P.URL}").alias("urls"), F.array().cast("array<string>").alias("entities"))
+
+
 def metadata(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", entities: bool = False) -> DataFrame:
     """(id, metadata): dates, amounts and urls of the whole text, each once, by
     first appearance; entities only where asked (``enrich.entities``)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    every = lambda p: F.array_distinct(F.regexp_extract_all(text, F.lit(p), F.lit(0)))
-    found = F.struct(every(f"(?Ud){P.WHOLE_DATE}").alias("dates"), every(f"(?iUd){P.AMOUNT}").alias("amounts"), every(f"(?iUd){P.URL}").alias("urls"), F.array().cast("array<string>").alias("entities"))
-    out = docs.select(id_col, found.alias("metadata"))
+    out = docs.select(id_col, _metadata(text_col).alias("metadata"))
     if entities:
         from .enrich import entities as names
 
@@ -141,19 +144,19 @@ def outline(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(id, outline): for each structural heading with a body, its depth, its
     name and the best sentence below it. Text before the first heading counts
     for none."""
-    scored = scoring.scored_documents(docs, id_col, text_col, separate=True)
-    heads = F.filter(F.transform("s", lambda x, i: i), lambda i: X.is_structural_heading(F.get(F.col("s"), i)["sentence"]))
-
-    def parts(at: Column) -> Column:
-        def part(i: Column, j: Column) -> Column:
-            body = F.slice("s", i + 2, F.greatest(F.coalesce(F.get(at, j + 1), F.size("s")) - i - 1, F.lit(0)))
-            best = F.array_min(F.transform(body, lambda x: F.struct((-x["composite"]).alias("by"), x["sent_idx"].alias("i"), x["sentence"].alias("t"))))
-            head = F.get(F.col("s"), i)["sentence"]
-            return F.struct(X.heading_depth(head).alias("depth"), X.heading_name(head).alias("name"), best["t"].alias("representative_sentence"))
-
-        return F.filter(F.transform(at, part), lambda p: p["name"].isNotNull() & p["representative_sentence"].isNotNull())
-
-    return scored.select(id_col, X.let(heads, parts).alias("outline"))
+    rows = scoring.scored_documents(docs, id_col, text_col, separate=True).select(id_col, F.inline("s"))
+    rows = rows.withColumn("head", X.is_structural_heading("sentence"))
+    part = F.count_if("head").over(Window.partitionBy(id_col).orderBy("sent_idx"))
+    rows = rows.withColumn("part", part).where("part > 0")
+    best = F.min(F.when(~F.col("head"), F.struct((-F.col("composite")).alias("by"), F.col("sent_idx").alias("i"), F.col("sentence").alias("t"))))
+    top = F.max(F.when(F.col("head"), F.col("sentence")))
+    found = rows.groupBy(id_col, "part").agg(top.alias("head"), best.alias("best")).where("best is not null")
+    found = found.withColumn("name", X.heading_name("head")).where("name is not null")
+    item = F.struct("part", X.heading_depth("head").alias("depth"), "name", F.col("best.t").alias("representative_sentence"))
+    listed = found.groupBy(id_col).agg(F.array_sort(F.collect_list(item)).alias("o"))
+    listed = listed.select(F.col(id_col).alias("_of"), F.transform("o", lambda o: F.struct(o["depth"].alias("depth"), o["name"].alias("name"), o["representative_sentence"].alias("representative_sentence"))).alias("o"))
+    empty = F.array().cast(listed.schema["o"].dataType)
+    return docs.select(id_col).join(listed, F.col(id_col) == F.col("_of"), "left").select(id_col, F.coalesce("o", empty).alias("outline"))
 
 
 def toc(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -414,6 +417,10 @@ ATTRIBUTE = "array<struct<key:string,label:string,value:string,value_type:string
 def attributes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, attributes): ``**Label:** value`` pairs, then ``Label: value``
     lines without bold marks; a key and value once, at its first place."""
+    return _attributed(docs, id_col, text_col, ()).select(id_col, "attributes")
+
+
+def _attributed(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     bold = f"(?sUd){P.BOLD_ATTRIBUTE}"
     bolds = F.arrays_zip(*(F.regexp_extract_all(text, F.lit(bold), F.lit(g)).alias(f"_{g}") for g in range(3)))
@@ -432,28 +439,39 @@ def attributes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ).cast(ATTRIBUTE)
     found = F.filter(found, lambda a: (a["label"] != "") & (a["value"] != "") & (a["key"] != "") & (F.length(a["key"]) <= 80))
     # equal keys and values side by side, the first of each ahead; then back in order
-    rows = docs.select(id_col, F.array_sort(F.transform(found, lambda a, i: F.struct(a["key"].alias("key"), a["value"].alias("value"), i.alias("i"), a.alias("a")))).alias("a"))
+    rows = docs.select(id_col, *carry, F.array_sort(F.transform(found, lambda a, i: F.struct(a["key"].alias("key"), a["value"].alias("value"), i.alias("i"), a.alias("a")))).alias("a"))
     new = lambda x, i: F.coalesce((F.get(F.col("a"), i - 1)["key"] != x["key"]) | (F.get(F.col("a"), i - 1)["value"] != x["value"]), F.lit(True))
     first = F.array_sort(F.transform(F.filter("a", new), lambda x: F.struct(x["i"].alias("i"), x["a"].alias("a"))))
-    return rows.select(id_col, F.transform(first, lambda x: x["a"]).alias("attributes"))
+    return rows.select(id_col, *carry, F.transform(first, lambda x: x["a"]).alias("attributes"))
 
 
-def fact_records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fact_records): attributes and numbers as subject, predicate, object."""
-    both = attributes(docs, id_col, text_col).join(stats(docs, id_col, text_col), id_col)
+def _records(attributes: Column, stats: Column) -> Column:
     record = lambda p, o, t, e, c: F.struct(F.lit("document").alias("subject"), p.alias("predicate"), o.alias("object"), F.lit(t).alias("fact_type"), e.alias("evidence"), c.alias("confidence"))
-    out = F.concat(
-        F.transform("attributes", lambda a: record(a["key"], a["value"], "attribute", a["evidence"], a["confidence"])),
-        F.transform("stats", lambda s: record(s["stat_type"], s["value"], "numeric", X.compact(s["context_sentence"]), F.lit(0.8))),
+    return F.concat(
+        F.transform(attributes, lambda a: record(a["key"], a["value"], "attribute", a["evidence"], a["confidence"])),
+        F.transform(stats, lambda s: record(s["stat_type"], s["value"], "numeric", X.compact(s["context_sentence"]), F.lit(0.8))),
     )
-    return both.select(id_col, out.alias("fact_records"))
 
 
-def promotion_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: str = "report") -> DataFrame:
-    """(id, promotions): for each attribute the JSON path under which a report has it."""
+def _promotions(attributes: Column, prefix: str) -> Column:
     path = lambda a: F.concat(F.lit(f"{prefix}.attributes."), a["key"], F.lit(".value"))
-    item = lambda a: F.struct(path(a).alias("path"), a["key"].alias("key"), a["value_type"].alias("value_type"), F.lit(True).alias("promote"), a["confidence"].alias("confidence"))
-    return attributes(docs, id_col, text_col).select(id_col, F.transform("attributes", item).alias("promotions"))
+    return F.transform(attributes, lambda a: F.struct(path(a).alias("path"), a["key"].alias("key"), a["value_type"].alias("value_type"), F.lit(True).alias("promote"), a["confidence"].alias("confidence")))
 
 
+def details(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: str = "report") -> DataFrame:
+    """(id, stats, metadata, attributes, fact_records, promotions): everything
+    that a row says by itself, each worked out once; no shuffle."""
+    split = docs.select(id_col, text_col, F.flatten(F.transform(X.split_sentences(text_col), sentence_stats)).alias("stats"), _metadata(text_col).alias("metadata"))
+    rows = _attributed(split, id_col, text_col, ("stats", "metadata"))
+    return rows.select(id_col, "stats", "metadata", "attributes", _records(F.col("attributes"), F.col("stats")).alias("fact_records"), _promotions(F.col("attributes"), prefix).alias("promotions"))
+
+
+def fact_records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fact_records): attributes and numbers as subject, predicate, object."""
+    return details(docs, id_col, text_col).select(id_col, "fact_records")
+
+
+def promotion_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: str = "report") -> DataFrame:
+    """(id, promotions): for each attribute the JSON path under which a report has it."""
+    return attributes(docs, id_col, text_col).select(id_col, _promotions(F.col("attributes"), prefix).alias("promotions"))
 ATTACHED = {"stats": stats, "outline": outline, "metadata": metadata, "phrases": lambda d, i, t: phrases(d, id_col=i, text_col=t), "correlated_facts": lambda d, i, t: correlate_facts(d, id_col=i, text_col=t)}

@@ -152,8 +152,7 @@ def report(
     how = {"hints": hints, "hint_focus": hint_focus, "hint_mode": hint_mode, "id_col": id_col, "text_col": text_col}
     df = summarize(docs, max_length, mode=mode, include_toc=include_toc, keep_headings=keep_headings, headings=headings, pin=pin, **how)
     df = _with(df, extract.key_facts(docs, max_facts, **how), id_col)
-    for part in (extract.stats, extract.metadata, extract.attributes, extract.fact_records, extract.promotion_candidates):
-        df = _with(df, part(docs, id_col, text_col), id_col)
+    df = _with(df, extract.details(docs, id_col, text_col), id_col)
     pairs = F.transform("attributes", lambda a: F.concat(a["label"], F.lit(": "), a["value"]))
     found = F.concat(F.array("summary"), F.col("key_facts"), pairs, F.col("metadata.dates"), F.col("metadata.amounts"), F.col("metadata.urls"))
     return df.withColumn("search_text", F.array_join(F.filter(found, lambda x: x != ""), "\n"))
