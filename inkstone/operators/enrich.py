@@ -153,15 +153,24 @@ def lemma(c: Column | str) -> Column:
     )
 
 
-def expand_hints(hints: DataFrame, synonyms: DataFrame | None = None, weight: float = 0.5) -> DataFrame:
+def expand_hints(hints: DataFrame, synonyms: DataFrame | None = None, weight: float = 0.5, mode: str = "forms", docs: DataFrame | None = None, top: int = 5, **columns: str) -> DataFrame:
     """(term, weight): hints as given, and their base forms and the synonyms of a
-    (term, synonym) table at ``weight`` times theirs; the largest weight stays."""
+    (term, synonym) table at ``weight`` times theirs; the largest weight stays.
+    ``mode="similar"`` adds the ``top`` terms of the corpus ``docs`` that keep the
+    most alike company, at ``weight`` times their cosine."""
+    if mode not in ("forms", "similar") or (mode == "similar") != (docs is not None):
+        raise ValueError("mode is 'forms', or 'similar' with documents")
     own = hints.select(F.lower("term").alias("term"), F.col("weight").cast("double").alias("weight"))
     more = own.select(lemma("term").alias("term"), (F.col("weight") * weight).alias("weight"))
     out = own.unionByName(more)
     if synonyms is not None:
         other = synonyms.select(F.lower("term").alias("term"), F.lower("synonym").alias("synonym"))
         out = out.unionByName(own.join(other, "term").select(F.col("synonym").alias("term"), (F.col("weight") * weight).alias("weight")))
+    if docs is not None:
+        from .graph import similar_terms
+
+        near = similar_terms(docs, own, top, **columns)
+        out = out.unionByName(own.join(near, "term").select(F.col("similar").alias("term"), (F.col("weight") * weight * F.col("cosine")).alias("weight")))
     return out.groupBy("term").agg(F.max("weight").alias("weight"))
 
 

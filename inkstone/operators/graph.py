@@ -1,13 +1,12 @@
-"""Rank by graph: sentences by similarity, terms by company.
+"""Rank by graph: sentences by similarity, terms by company; and terms that keep like company.
 
-Spark builds the graphs: edges are equi-joins inside a document. Only the
-power iteration over one document's edge list, which no relational plan
-expresses well, runs in an Arrow batch.
+Spark builds the graphs: edges are equi-joins inside a document. The power
+iteration over one document's edge list runs in an Arrow batch; ``rank_nodes``
+is the same for documents whose edges do not fit one, as joins of tables.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..stored import Stored, kept
 from . import scoring
 
 WINDOW, DAMPING, STEPS, CLOSE = 4, 0.85, 50, 1e-6
@@ -35,8 +35,41 @@ def page_rank(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray
     return score
 
 
-def _ranked(edges: DataFrame, sizes: DataFrame, id_col: str) -> DataFrame:
+def rank_nodes(edges: DataFrame, sizes: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, node, score) from edges (id, a, b, w), each given once, and (id, n).
+    Each step is a join of shares and scores and a sum by target; it is stored,
+    so that the loss of an executor costs one step. A document whose scores have
+    settled is set aside and not worked on again."""
+    spark = edges.sparkSession
+    key = F.col(id_col)
+    with Stored(spark) as stored:
+        both = edges.select(id_col, F.col("a").alias("source"), F.col("b").alias("target"), "w").unionByName(edges.select(id_col, F.col("b").alias("source"), F.col("a").alias("target"), "w"))
+        degrees = both.groupBy(key.alias("_of"), F.col("source").alias("_s")).agg(F.sum("w").alias("degree"))
+        shares = stored(both.join(degrees, (key == F.col("_of")) & (F.col("source") == F.col("_s"))).select(id_col, "source", "target", (F.col("w") / F.col("degree")).alias("share")))
+        now = stored(sizes.where("n > 0").select(id_col, "n", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("node")).withColumn("score", 1 / F.col("n")))
+        settled = []
+        for step in range(STEPS):
+            sent = shares.join(now.select(key.alias("_of"), F.col("node").alias("_s"), "score"), (key == F.col("_of")) & (F.col("source") == F.col("_s")))
+            met = sent.groupBy(key.alias("_of"), F.col("target").alias("_t")).agg(F.sum(F.col("share") * F.col("score")).alias("met"))
+            new = (1 - DAMPING) / F.col("n") + DAMPING * F.coalesce("met", F.lit(0.0))
+            following = now.join(met, (key == F.col("_of")) & (F.col("node") == F.col("_t")), "left").select(id_col, "n", "node", new.alias("score"), F.abs(new - F.col("score")).alias("moved"))
+            away = F.sum("moved").over(Window.partitionBy(id_col))
+            following = stored(following.withColumn("done", (away < CLOSE) | F.lit(step == STEPS - 1)).drop("moved"))
+            settled.append(following.where("done").select(id_col, "node", "score"))
+            now = following.where("not done").drop("done")
+            if now.isEmpty():
+                break
+        out = settled[0]
+        for more in settled[1:]:
+            out = out.unionByName(more)
+        return kept(out)
+
+
+def _ranked(edges: DataFrame, sizes: DataFrame, id_col: str, distributed: bool = False) -> DataFrame:
     """(id, scores) from edges (id, a, b, w) and (id, n)."""
+    if distributed:
+        rows = rank_nodes(edges, sizes, id_col)
+        return rows.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "score"))), lambda x: x["score"]).alias("scores"))
     packed = edges.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("a", "b", "w"))).alias("e"))
     packed = sizes.join(packed, id_col, "left").select(id_col, "n", F.coalesce("e", F.array().cast(packed.schema["e"].dataType)).alias("e"))
 
@@ -59,12 +92,13 @@ def similarities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return pairs.agg((F.sum(F.col("a.tf") * F.col("b.tf")) / F.first(F.col("a.norm") * F.col("b.norm"))).alias("w"))
 
 
-def summarize_textrank(docs: DataFrame, num_sentences: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def summarize_textrank(docs: DataFrame, num_sentences: int = 5, id_col: str = "doc_id", text_col: str = "text", distributed: bool = False) -> DataFrame:
     """(id, summary): the best-ranked sentences in document order; texts with no
-    more sentences than asked for are returned whole."""
+    more sentences than asked for are returned whole. ``distributed`` ranks by
+    ``rank_nodes``, for documents of very many sentences."""
     sents = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("t"), X.split_sentences(text_col).alias("s"))
     sizes = sents.select(id_col, F.size("s").alias("n")).where(F.col("n") > num_sentences)
-    scores = _ranked(similarities(docs, id_col, text_col), sizes, id_col)
+    scores = _ranked(similarities(docs, id_col, text_col), sizes, id_col, distributed)
     rows = sents.join(scores, id_col, "left")
     order = F.array_sort(F.transform("scores", lambda v, i: F.struct((-F.round(v, scoring.DECIMALS)).alias("by"), i.alias("i"))))
     chosen = F.array_sort(F.transform(F.slice(order, 1, num_sentences), lambda x: x["i"]))
@@ -82,6 +116,33 @@ def companions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return pairs.groupBy(id_col, F.col("a").alias("term_a"), F.col("b").alias("term_b")).agg(F.count("*").alias("w"))
 
 
+def term_contexts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_pairs: int = 2) -> DataFrame:
+    """(term, context, x): over all documents, the positive pointwise mutual
+    information of terms that stand near one another ``least_pairs`` times."""
+    pairs = companions(docs, id_col, text_col).groupBy("term_a", "term_b").agg(F.sum("w").alias("w"))
+    both = pairs.select(F.col("term_a").alias("term"), F.col("term_b").alias("context"), "w").unionByName(pairs.select(F.col("term_b").alias("term"), F.col("term_a").alias("context"), "w"))
+    sums = both.groupBy("term").agg(F.sum("w").alias("d"))
+    total = sums.agg(F.sum("d").alias("total"))  # one row
+    of = lambda c: sums.select(F.col("term").alias(c), F.col("d").alias(f"d_{c}"))
+    rows = both.where(F.col("w") >= least_pairs).join(of("term"), "term").join(of("context"), "context").crossJoin(F.broadcast(total))
+    x = F.ln(F.col("w") * F.col("total") / (F.col("d_term") * F.col("d_context")))
+    return rows.select("term", "context", x.alias("x")).where("x > 0")
+
+
+def similar_terms(docs: DataFrame, terms: DataFrame, top: int = 5, least: float = 0.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(term, similar, cosine): for each term of the table ``terms`` the ``top``
+    terms of the corpus with the most alike contexts, ties by name. Exact: terms
+    meet only where they share a context, and others have cosine zero."""
+    rows = kept(term_contexts(docs, id_col, text_col))
+    norms = rows.groupBy("term").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    asked = rows.join(terms.select(F.lower("term").alias("term")).distinct(), "term").select(F.col("term").alias("asked"), "context", F.col("x").alias("y"))
+    dots = asked.join(rows, "context").where("asked <> term").groupBy("asked", "term").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    both = dots.join(norms, "term").join(norms.select(F.col("term").alias("asked"), F.col("norm").alias("other")), "asked")
+    found = both.select("asked", "term", F.round(F.col("dot") / (F.col("norm") * F.col("other")), scoring.DECIMALS - 2).alias("cosine")).where(F.col("cosine") >= least)
+    ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("cosine"), "term"))).where(F.col("r") <= top)
+    return ranked.select(F.col("asked").alias("term"), F.col("term").alias("similar"), "cosine")
+
+
 def textrank_terms(docs: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, rank, term): terms by weighted rank in their company, ties by term."""
     known = docs.select(id_col, F.array_sort(F.array_distinct(X.tokens(F.coalesce(F.col(text_col), F.lit(""))))).alias("terms")).where(F.size("terms") > 0)

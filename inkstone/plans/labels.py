@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..operators import chain, enrich, keyphrases, nearest, scoring
+from ..operators import chain, enrich, graph, keyphrases, nearest, scoring
 from . import catalog as K
 from . import corpora as C
 from . import oracle as O
@@ -205,3 +205,31 @@ def keyphrases_documents(spark, sf_dir):
 @query(f"{_keyphrase_sql(C.DOCUMENTS)} select doc_id, phrase, size, n, score from scored")
 def phrase_weights(spark, sf_dir):
     return keyphrases.phrase_weights(C.documents(spark, sf_dir)).select("doc_id", "phrase", "size", "n", "score")
+
+
+# ---- terms that keep like company ----------------------------------------------------
+
+_ASKED = ["apache", "license", "software", "there", "then"]
+
+
+def _similar_sql(corpus: str, top: int = 5, least: float = 0.2) -> str:
+    near = f"flatten(list_transform(range(1, len(t) + 1), lambda i: list_transform(t[i + 1:i + {graph.WINDOW - 1}], lambda b: {{'a': least(t[i], b), 'b': greatest(t[i], b)}})))"
+    return f"""with t as (select doc_id, {O.tokens('text')} as t from ({corpus})), p as (select unnest({near}) as p from t), w as (select p.a as a, p.b as b, count(*) as w from p where p.a <> p.b group by all),
+    bo as (select a as term, b as context, w from w union all select b, a, w from w), d as (select term, sum(w) as d from bo group by term), tot as (select sum(d) as n from d),
+    v as (select bo.term, bo.context, ln(w * n / (x.d * y.d)) as x from bo join d x on x.term = bo.term join d y on y.term = bo.context, tot where w >= 2 and ln(w * n / (x.d * y.d)) > 0), nm as (select term, sqrt(sum(x * x)) as norm from v group by term),
+    ds as (select q.term as asked, v.term, sum(q.x * v.x) as dot from v q join v using (context) where q.term <> v.term and q.term in ({', '.join(map(q, _ASKED))}) group by all),
+    c as (select asked, ds.term, round(dot / (m.norm * n.norm), 8) as cosine from ds join nm m on m.term = ds.term join nm n on n.term = asked)
+    select asked as term, term as similar, cosine from c where cosine >= {least} qualify row_number() over (partition by asked order by cosine desc, term) <= {top}"""
+
+
+@query(_similar_sql(C.DOCUMENTS))
+def similar_terms(spark, sf_dir):
+    return graph.similar_terms(C.documents(spark, sf_dir), spark.createDataFrame([(t,) for t in _ASKED], "term string"))
+
+
+@query()
+def ranked_nodes(spark, sf_dir):
+    """The rank of every sentence, by joins of tables."""
+    docs = C.documents(spark, sf_dir)
+    sizes = scoring.sentences(docs).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return graph.rank_nodes(graph.similarities(docs), sizes).withColumn("score", F.round("score", 6))

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkstone.functions import patterns as P
-from inkstone.operators import chain, enrich, keyphrases, nearest, scoring
+from inkstone.operators import chain, enrich, graph, keyphrases, nearest, scoring
 from inkstone.plans import corpora as C
 from inkstone.plans import labels as queries
 from inkstone.stored import Stored
@@ -258,3 +258,34 @@ def test_stored_relations_go_with_their_owner(spark):
         assert df.count() == 5
     with pytest.raises(Exception):  # noqa: B017
         spark.read.schema(df.schema).parquet(*df.inputFiles()).count()
+
+
+# ---- graphs --------------------------------------------------------------------------
+
+
+def test_rank_by_tables_is_rank_by_rows(spark, sf_dir):
+    corpus = C.documents(spark, sf_dir).where("doc_id % 10 = 3")
+    edges = graph.similarities(corpus)
+    sizes = scoring.sentences(corpus).groupBy("doc_id").agg(F.count("*").alias("n"))
+    got = {(r.doc_id, r.node): r.score for r in graph.rank_nodes(edges, sizes).collect()}
+    of = {}
+    for r in edges.collect():
+        of.setdefault(r.doc_id, []).append((r.a, r.b, r.w))
+    for r in sizes.collect():
+        e = sorted(of.get(r.doc_id, []))
+        a, b, w = (np.array([x[i] for x in e], dtype) for i, dtype in ((0, int), (1, int), (2, float)))
+        want = graph.page_rank(r.n, a, b, w)
+        assert all(abs(got[r.doc_id, i] - x) < 1e-5 for i, x in enumerate(want))
+    assert len(got) == sum(r.n for r in sizes.collect())
+
+
+def test_similar_terms(spark):
+    texts = [f"the {a} runs quickly home today while the {b} sleeps soundly tonight" for a, b in (("horse", "doctor"), ("mare", "nurse"))] * 4
+    corpus = docs(spark, *texts)
+    found = {(r.term, r.similar) for r in graph.similar_terms(corpus, spark.createDataFrame([("horse",), ("doctor",), ("absent",)], "term string"), top=2).collect()}
+    assert ("horse", "mare") in found and ("doctor", "nurse") in found and not any(t == "absent" for t, _ in found)
+    hints = spark.createDataFrame([("horse", 2.0)], "term string, weight double")
+    more = {r.term: r.weight for r in enrich.expand_hints(hints, mode="similar", docs=corpus).collect()}
+    assert more["horse"] == 2.0 and 0 < more["mare"] <= 1.0
+    with pytest.raises(ValueError):
+        enrich.expand_hints(hints, mode="similar")
