@@ -255,10 +255,10 @@ def _groups(text: Column) -> Column:
     return F.flatten(F.transform(runs, groups))
 
 
-def _spread(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
-    """Documents dealt out by their whole content, so that neither equal ids nor large files stay together."""
-    names = dict.fromkeys([id_col, text_col, *more])
-    return docs.select(*names).repartition(F.xxhash64(F.col(id_col), F.col(text_col)))
+def _spread(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Documents, null texts empty, dealt out by their whole content, so that
+    neither equal ids nor large files stay together."""
+    return docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias(text_col)).repartition(F.xxhash64(F.col(id_col), F.col(text_col)))
 
 
 def phrase_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2) -> DataFrame:
