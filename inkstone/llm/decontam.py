@@ -24,7 +24,8 @@ from .shared import sha_of, union_all, written
 #: Words of a window, and the share of hit words (one in so many) that contaminates.
 WINDOW, ONE_IN = 13, 20
 #: Bytes of benchmark text that one part sent to the tasks holds at most, and words of a piece of it.
-CHUNK_BYTES, PIECE_WORDS = 32 << 20, 100_000
+#: What a task builds of a part is up to some ninety times as large: 360 MB.
+CHUNK_BYTES, PIECE_WORDS = 4 << 20, 100_000
 
 #: Bytes to word bytes: ASCII letters in lower case, digits and all non-ASCII
 #: bytes stand; every other byte is a space.
@@ -38,7 +39,7 @@ def words(text: str | None) -> list[bytes]:
 class WuManber:
     """All windows of one length."""
 
-    def __init__(self, windows: dict[tuple[bytes, ...], set]):
+    def __init__(self, windows: dict[tuple[bytes, ...], frozenset]):
         self.length = len(next(iter(windows)))
         self.block = min(2, self.length)
         self.default = self.length - self.block + 1
@@ -71,11 +72,15 @@ class WuManber:
 def searchers(items: list[tuple[str | None, bytes]], window: int = WINDOW) -> list[WuManber]:
     """One search per window length, over pairs of an item's id and its words."""
     by_length: dict[int, dict] = {}
+    same: dict[bytes, bytes] = {}  # a word is held once, however many windows have it
     for item_id, text in items:
-        found = text.split(b" ")
+        found, alone = [same.setdefault(w, w) for w in text.split(b" ")], frozenset([item_id])
         width = min(window, len(found))
+        known = by_length.setdefault(width, {}) if width else {}
         for i in range(len(found) - width + 1 if width else 0):
-            by_length.setdefault(width, {}).setdefault(tuple(found[i : i + width]), set()).add(item_id)
+            key = tuple(found[i : i + width])
+            others = known.get(key)
+            known[key] = alone if others is None or others == alone else others | alone
     return [WuManber(w) for w in by_length.values()]
 
 
