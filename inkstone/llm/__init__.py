@@ -1,4 +1,4 @@
-"""Training-data operators: ten numbered operators and what they share.
+"""Training-data operators: thirteen numbered operators and what they share.
 
 Nothing else in the library imports this subpackage; it may be deleted.
 """
