@@ -28,6 +28,8 @@ from .simhash import Forest
 
 #: Classes of a shard, queries that stream past one sending of a graph, and queries answered at once.
 SHARD, LANE, BLOCK = 32_768, 262_144, 4_096
+#: Bytes of a shard's vectors at most, and components gathered at once: vectors of many components make small shards and steps.
+SHARD_BYTES, GATHERED = 128 << 20, 1 << 25
 #: Links of a node (twice as many in the lowest layer), beam when building and at first when asking.
 LINKS, BUILD_BEAM, ASK_BEAM = 12, 48, 32
 #: Recall of the probes at which a beam is wide enough, probes, nodes opened in one step.
@@ -106,8 +108,9 @@ class Graph:
         """Of each node's candidates those nearer to it than to any chosen
         before, then the nearest of the rest."""
         out = np.full((len(nodes), most), -1, np.int64)
-        for i in range(0, len(nodes), 1_024):
-            own, c = nodes[i : i + 1_024], candidates[i : i + 1_024]
+        step = max(1, min(1_024, GATHERED // (max(1, candidates.shape[1]) * self.vectors.shape[1])))
+        for i in range(0, len(nodes), step):
+            own, c = nodes[i : i + step], candidates[i : i + step]
             sims = np.einsum("nd,nkd->nk", self.vectors[own], self.vectors[c])
             sims[(c < 0) | (c == own[:, None])] = -3
             by = np.argsort(-sims, axis=1, kind="stable")
@@ -126,7 +129,7 @@ class Graph:
             rank = np.where(picked, 0, 1) * 2 + (sims < -2.5) * 4
             first = np.argsort(rank, axis=1, kind="stable")[:, :most]
             got = np.take_along_axis(np.where(sims < -2.5, -1, c), first, 1)
-            out[i : i + 1_024, : got.shape[1]] = got
+            out[i : i + step, : got.shape[1]] = got
         return out
 
     def search(self, queries: np.ndarray, beam: int, level: int = 0, there: int | None = None, threshold: float | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -135,9 +138,10 @@ class Graph:
         size = len(self.layers[level]) if there is None else there
         ids, sims = self._descend(queries, level, size)
         asking, out, again = np.arange(len(queries)), {}, False
+        most = max(1, GATHERED // (4 * 2 * LINKS * self.vectors.shape[1]))
         while len(asking):
             wider = []
-            chunk = max(16, 512 * BUILD_BEAM // max(beam, BUILD_BEAM))
+            chunk = min(most, max(16, 512 * BUILD_BEAM // max(beam, BUILD_BEAM)))
             for i in range(0, len(asking), chunk):
                 rows = asking[i : i + chunk]
                 start = tuple(np.stack([out[r][k] for r in rows.tolist()]) for k in (0, 1)) if again else (ids[rows], sims[rows])
@@ -156,11 +160,12 @@ class Graph:
         """The best nodes of the layers above as entries, and a few first nodes."""
         ids = np.tile(np.arange(min(size, 4)), (len(queries), 1))
         sims = np.einsum("nd,nkd->nk", queries, self.vectors[ids])
+        step = max(1, min(512, GATHERED // (4 * LINKS * self.vectors.shape[1])))
         for upper in range(len(self.layers) - 1, level, -1):
-            for i in range(0, len(queries), 512):
+            for i in range(0, len(queries), step):
                 n = min(size, len(self.layers[upper]))
-                a, b = self._beam(queries[i : i + 512], ids[i : i + 512], sims[i : i + 512], 4, upper, n)
-                ids[i : i + 512, : a.shape[1]], sims[i : i + 512, : b.shape[1]] = a[:, : ids.shape[1]], b[:, : ids.shape[1]]
+                a, b = self._beam(queries[i : i + step], ids[i : i + step], sims[i : i + step], 4, upper, n)
+                ids[i : i + step, : a.shape[1]], sims[i : i + step, : b.shape[1]] = a[:, : ids.shape[1]], b[:, : ids.shape[1]]
         return ids, sims
 
     def _beam(self, queries, ids, sims, beam, level, size):
@@ -305,8 +310,9 @@ class _Asking:
         for i in range(0, len(own), 512):
             part = asked[i : i + 512]
             for q, node in _near(self.graph, part.astype(np.float32), self.beam, self.threshold - 1e-4):
-                for j in range(0, len(q), 100_000):
-                    a, b = q[j : j + 100_000], node[j : j + 100_000]
+                step = max(1, min(100_000, GATHERED // asked.shape[1]))
+                for j in range(0, len(q), step):
+                    a, b = q[j : j + step], node[j : j + step]
                     linked = ((part[a] * self.members[b]).sum(1) >= self.threshold) & (own[i + a] != self.cids[b])
                     a, b = a[linked], b[linked]
                     np.add.at(total, i + a, self.copies[b])
@@ -337,10 +343,13 @@ def _ask(threshold: float, wide: type):
 
 
 def near_vectors(
-    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, shard: int = SHARD, lane: int = LANE, audits: Callable[[list], None] | None = None
+    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, shard: int = SHARD, lane: int = LANE, audits: Callable[[list], None] | None = None, shard_bytes: int = SHARD_BYTES
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of ``vectors``.
 
+    A shard has ``shard`` classes on average, fewer where their vectors take
+    more than ``shard_bytes``.
+
     ``n_links`` counts other rows linked directly (cosine at least
     ``threshold``, in double precision over the components as they are stored);
     ``component_id`` is the smallest id reachable. Vectors that are null, empty,
@@ -362,7 +371,7 @@ def near_vectors(
     classes = written(classes.withColumn("dim", F.size("v")).withColumn("cid", F.monotonically_increasing_id()))
     count = F.col("count")
     cores = vectors.sparkSession.sparkContext.defaultParallelism
-    sizes = classes.groupBy("dim").count().select(F.col("dim").alias("d"), F.greatest(F.lit(2), F.ceil(count / shard)).cast("int").alias("shards"), count)
+    sizes = classes.groupBy("dim").count().select(F.col("dim").alias("d"), F.greatest(F.lit(2), F.ceil(count / shard), F.ceil(count * F.col("dim") * np.dtype(wide).itemsize / shard_bytes)).cast("int").alias("shards"), count)
     # a graph is sent once for each lane of queries: lanes are long, but for small tables as many as cores
     sizes = sizes.withColumn("lanes", F.greatest(F.ceil(count / lane), F.least(F.ceil(count / BLOCK), F.ceil(cores / F.col("shards")))).cast("int")).drop("count")
     dealt = classes.join(sizes, F.col("dim") == F.col("d")).withColumn("home", F.pmod("h1", "shards"))

@@ -268,6 +268,17 @@ def test_vectors_keep_doubles_and_tell_rows_of_one_id_apart(spark):
     assert got.columns == ["vec_id", "n_links", "component_id", "kept"]
 
 
+def test_vectors_of_many_components_make_small_shards(spark):
+    rng, seen = np.random.default_rng(4), []
+    base = rng.standard_normal((60, 3_000))
+    x = np.concatenate([base, base[:30] + 0.2 * rng.standard_normal((30, 3_000)), base[:10] + 0.4 * rng.standard_normal((10, 3_000))])
+    rows = [(i, list(map(float, v))) for i, v in enumerate(x)]
+    given = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = embed_hnsw.near_vectors(given, shard_bytes=500_000, audits=seen.extend)
+    assert sorted(str((r.vec_id, r.n_links, r.component_id)) for r in got.collect()) == slow_vectors(rows)
+    assert len(seen) > 3
+
+
 def test_vectors_compare_with_all_where_the_audit_fails(spark, monkeypatch):
     """Graphs that find nothing: every shard falls back to comparing with all its members."""
     rng = np.random.default_rng(3)
