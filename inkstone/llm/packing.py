@@ -28,6 +28,21 @@ FAN_IN = 32
 #: Words whose ids a Python worker remembers.
 REMEMBERED = 300_000
 
+# What a tokenizer file must say so that its words can be encoded one by one.
+_BY_WORDS = {
+    "truncation": None,
+    "padding": None,
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ROWS = f"{_PIECE}, part long, ids binary, pieces array<struct<doc_id: long, start: long, length: long, doc_tokens: long>>"
 
@@ -42,10 +57,12 @@ def encoder(path: str) -> Callable[[str], bytes]:
     """Text to its ids (little-endian unsigned 32-bit), as the tokenizer at
     ``path`` gives them for the whole text.
 
-    The tokenizer drops white space and never joins across it, so ids of words
-    between white space are remembered and put together. Texts with characters
-    that make this unsafe are encoded whole.
+    A tokenizer with the rules of ``_BY_WORDS`` drops white space and never
+    joins across it, so ids of words between white space are remembered and put
+    together. Texts with characters that make this unsafe, and all texts of a
+    tokenizer with other rules, are encoded whole.
     """
+    import json
     import os
     from unicodedata import is_normalized
 
@@ -79,6 +96,10 @@ def encoder(path: str) -> Callable[[str], bytes]:
             self[word] = ids
             return ids
 
+    with open(path, encoding="utf-8") as file:
+        rules = json.load(file)
+    if any(rules.get(key) != value for key, value in _BY_WORDS.items()) or rules["model"]["type"] != "BPE" or not all(t["content"].startswith("<|") for t in rules["added_tokens"]):
+        return lambda text: whole(text)
     known = Known()
 
     def encode(text: str) -> bytes:

@@ -67,6 +67,16 @@ def test_packing_edges(spark):
     assert len(packing.pack(docs(spark, [(None, "a"), (7, "b"), (7, "b")])).collect()) >= 3
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_gives_the_ids_of_any_file(name):
+    import public_tokenizers
+
+    path = public_tokenizers.path(name)
+    encode, plain = packing.encoder(path), Tokenizer.from_file(path)
+    for text in ("", "Two  Words\n\n and\ttabs ", "ΑΣ x́ café 12,34!! <|endoftext|> don't", "日本語 текст  ñandú\x1c."):
+        assert np.frombuffer(encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def warc_record(i, u, h):
     body = (h or "").encode()
     head = f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Record-ID: <urn:record:{'' if i is None else i}>\r\nWARC-Target-URI: {u or ''}\r\nContent-Type: text/html\r\nContent-Length: {len(body)}\r\n\r\n"
