@@ -4,8 +4,10 @@ Records are serialised as WARC/1.0 and laid end to end in archives. A leaf is
 the hash of a record's place, offset range and digest; a node is the hash of
 its range of places and offsets and of the ordered hashes of up to ``FAN_OUT``
 nodes below it, so that a record that is intact but elsewhere shows as well.
-Two replicas are compared at the roots; only children of differing nodes are
-read on the way down, so an intact archive costs one comparison. What differs
+Nodes of a level are stored in parts by the top node they lie under. Two
+replicas are compared at the roots; on the way down only parts with a differing
+root are read, and in these only children of differing nodes are compared, so
+replicas that agree cost the comparison of their roots. What differs
 at the leaves is told apart afterwards: the same bytes elsewhere, other bytes
 under the same id, lost or extra.
 
@@ -29,6 +31,8 @@ from .shared import forget, union_all, written
 
 #: Records of an archive, and children of a node.
 ARCHIVE_RECORDS, FAN_OUT = 256, 16
+#: Leaves for which a level gets one more stored part, and the least and most parts.
+PART_LEAVES, LEAST_PARTS, MOST_PARTS = 1_000_000, 16, 1_024
 #: The archive of records without an id; no id has this one.
 NULL_IDS = -(1 << 63)
 #: The date that records carry; a caller's own would make equal records differ.
@@ -95,17 +99,27 @@ def leaves(
     return out
 
 
-def tree(leaf_rows: DataFrame, levels: int, fan_out: int = FAN_OUT) -> list[DataFrame]:
-    """Nodes of each level, the leaves first: archive, seq, start, end, hash.
-    Each level is written once."""
+def _part(above: int, fan_out: int, parts: int) -> Column:
+    """The stored part of a node, by the node ``above`` levels higher that it lies under."""
+    return F.pmod(F.xxhash64("archive", F.expr(f"seq div {fan_out**above}L")), F.lit(parts)).cast("int")
+
+
+def tree(leaf_rows: DataFrame, levels: int, fan_out: int = FAN_OUT, parts: int = LEAST_PARTS) -> list[DataFrame]:
+    """Nodes of each level, the leaves first: archive, seq, start, end, hash,
+    part. Each level is written once, in a folder for each part; a part that is
+    large is written by several tasks."""
+
+    def stored(nodes: DataFrame, level: int) -> DataFrame:
+        return written(nodes.withColumn("part", _part(levels - level, fan_out, parts)).hint("rebalance", "part"), ("part",))
+
     leaf = F.sha2(F.concat_ws("|", F.lit("leaf"), *(F.col(c).cast("string") for c in ("seq", "start", "end")), "digest"), 256)
-    out = [written(leaf_rows.select("archive", "seq", "start", "end", leaf.alias("hash")))]
-    for _ in range(levels):
+    out = [stored(leaf_rows.select("archive", "seq", "start", "end", leaf.alias("hash")), 0)]
+    for level in range(1, levels + 1):
         below = out[-1].groupBy("archive", F.expr(f"seq div {fan_out}").alias("up"))
         ordered = F.array_sort(F.collect_list(F.struct("seq", "hash")))  # fan_out hashes at most
         node = below.agg(F.min("seq").alias("first"), F.max("seq").alias("last"), F.min("start").alias("start"), F.max("end").alias("end"), ordered.alias("hashes"))
         named = F.concat_ws("|", F.lit("node"), *(F.col(c).cast("string") for c in ("first", "last", "start", "end")), F.transform("hashes", lambda x: x["hash"]))
-        out.append(written(node.select("archive", F.col("up").alias("seq"), "start", "end", F.sha2(named, 256).alias("hash"))))
+        out.append(stored(node.select("archive", F.col("up").alias("seq"), "start", "end", F.sha2(named, 256).alias("hash")), level))
     return out
 
 
@@ -124,17 +138,23 @@ def audit(one: DataFrame, other: DataFrame, levels: int, fan_out: int = FAN_OUT)
 
     ``levels`` should reach a single root for a usual archive; of a larger one
     all nodes of the top level are compared. Empty replicas are allowed; equal
-    ones give an empty table.
+    ones give an empty table, and nothing below their roots is read.
     """
-    ours, theirs = tree(one, levels, fan_out), tree(other, levels, fan_out)
-    differing = None
+    parts = min(MOST_PARTS, max(LEAST_PARTS, max(one.count(), other.count()) // PART_LEAVES))
+    ours, theirs = tree(one, levels, fan_out, parts), tree(other, levels, fan_out, parts)
+    differing, touched = None, []
     for level in range(levels, -1, -1):
-        a, b = (side[level].select("archive", "seq", "hash") for side in (ours, theirs))
+        a, b = (side[level] for side in (ours, theirs))
         if differing is not None:
             parents = differing.select("archive", F.col("seq").alias("up"))
-            a, b = (x.withColumn("up", F.expr(f"seq div {fan_out}")).join(parents, ["archive", "up"], "left_semi").drop("up") for x in (a, b))
-        both = a.withColumnRenamed("hash", "ours").join(b.withColumnRenamed("hash", "theirs"), ["archive", "seq"], "full_outer")
-        differing = written(both.where("not (ours <=> theirs)"))
+            a, b = (x.where(F.col("part").isin(touched)).withColumn("up", F.expr(f"seq div {fan_out}")).join(parents, ["archive", "up"], "left_semi") for x in (a, b))
+        a, b = (x.select("archive", "seq", F.col("hash").alias(name)) for x, name in ((a, "ours"), (b, "theirs")))
+        above, differing = differing, written(a.join(b, ["archive", "seq"], "full_outer").where("not (ours <=> theirs)"))
+        forget(above)
+        if level == levels:  # nodes below are in the parts of their top nodes
+            touched = [r.part for r in differing.select(_part(0, fan_out, parts).alias("part")).distinct().collect()]  # MOST_PARTS numbers at most
+        if not touched:
+            break
     for level in (*ours, *theirs):
         forget(level)
     return differing

@@ -163,6 +163,26 @@ def test_fixity_audit_descends_to_every_difference(spark):
     assert warc.levels_for(256) == 2 and warc.levels_for(257) == 3
 
 
+def test_fixity_audit_reads_only_parts_that_differ(spark, monkeypatch):
+    rows = [(i, "u", f"page {i}") for i in range(4_000)]
+    good = warc.leaves(spark.createDataFrame(rows, "page_id long, url string, html string"), archive_records=16).select("archive", "seq", "start", "end", "digest")
+    bad = good.withColumn("digest", F.when((F.col("archive") == 9) & (F.col("seq") == 5), "x").otherwise(F.col("digest")))
+    read = []
+
+    def noted(df, *by):
+        read.append(re.findall(r"PartitionFilters: \[([^\]]*)\]", df._jdf.queryExecution().executedPlan().toString()))
+        return plain(df, *by)
+
+    plain = warc.written
+    monkeypatch.setattr(warc, "written", noted)
+    assert [(r.archive, r.seq) for r in warc.audit(good, bad, 1).collect()] == [(9, 5)]
+    assert sum(bool(re.search(r"part#\d+ = \d+", x)) for x in read[-1]) == 2  # the leaves of both, one part of 16
+    assert not any("part#" in x for x in read[-2])
+    read.clear()
+    assert warc.audit(good, good, 1).collect() == []
+    assert len(read) == 5  # two trees of two levels, and the roots
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(i, f"http://h/{i}?a=1", f"<p>{i}\né</p>" if i % 5 else "") for i in range(40)]
     rows.append((40, "http://h/40", "WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 5\r\n\r\nhello"))
