@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import patterns as P
+from ..functions import rows as W
 from ..functions import text as X
 from . import scoring
 
@@ -92,5 +93,5 @@ def keyphrases(docs: DataFrame, longest: int = 2, top: int = 40, least_words: in
     ranked = rows.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("score", "at", "phrase", "size"))).alias("p"))
     near = lambda a, b: 1 - F.levenshtein(a["phrase"], b["phrase"]) / F.greatest(F.length(a["phrase"]), F.length(b["phrase"])) > alike
     kept = F.aggregate("p", F.slice("p", 1, 0), lambda s, x: F.when((F.size(s) < top) & ~F.exists(s, lambda y: near(x, y)), F.concat(s, F.array(x))).otherwise(s))
-    rows = ranked.select(id_col, F.filter(kept, lambda x: x["size"] >= least_words).alias("k")).select(id_col, F.posexplode("k").alias("rank", "x"))
+    rows = W.numbered(ranked.select(id_col, F.filter(kept, lambda x: x["size"] >= least_words).alias("k")), [id_col], "k", "rank", "x")
     return rows.select(id_col, "rank", "x.phrase", "x.score")

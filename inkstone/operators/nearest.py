@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import patterns as P
+from ..functions import rows as W
 from ..functions import text as X
 from . import enrich, scoring
 
@@ -71,15 +72,22 @@ def noun_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(id, sent_idx, pos, size, chunk): modifiers and nouns side by side, two
     words at least, lower case. A sentence's classes are written as a string of
     letters, on which the automaton is a pattern; leading articles are not in it."""
-    tagged = scoring.sentences(docs, id_col, text_col).select(id_col, "sent_idx", enrich.tagged("sentence").alias("t"))
     letter = lambda t: F.coalesce(*(F.when(t["tag"] == c, x) for c, x in CLASSES.items()), F.lit("."))
-    kinds = tagged.withColumn("kinds", F.array_join(F.transform("t", letter), ""))
-    hits = F.arrays_zip(F.split("kinds", CHUNK, -1).alias("gap"), F.regexp_extract_all("kinds", F.lit(CHUNK), F.lit(0)).alias("hit"))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<pos:int,size:int>>").alias("out"))
     step = lambda s, h: X.let(s["at"] + F.length(h["gap"]), lambda pos: F.struct((pos + F.length(h["hit"])).alias("at"), F.concat(s["out"], F.array(F.struct(pos.alias("pos"), F.length(h["hit"]).alias("size")))).alias("out")))
-    spans = kinds.withColumn("spans", F.aggregate(F.filter(hits, lambda h: h["hit"].isNotNull()), zero, step)["out"])
-    rows = spans.select(id_col, "sent_idx", F.transform("spans", lambda s: F.struct(s["pos"].alias("pos"), s["size"].alias("size"), F.array_join(F.transform(F.slice("t", s["pos"] + 1, s["size"]), lambda w: F.lower(w["token"])), " ").alias("chunk"))).alias("c"))
-    return rows.select(id_col, "sent_idx", F.inline("c"))
+
+    def spans(kinds: Column) -> Column:
+        hits = F.arrays_zip(F.split(kinds, CHUNK, -1).alias("gap"), F.regexp_extract_all(kinds, F.lit(CHUNK), F.lit(0)).alias("hit"))
+        return F.aggregate(F.filter(hits, lambda h: h["hit"].isNotNull()), zero, step)["out"]
+
+    # the classes and their string are bound: as columns they would be worked out again for each chunk
+    def chunks(t: Column) -> Column:
+        cut = lambda s: F.array_join(F.transform(F.slice(t, s["pos"] + 1, s["size"]), lambda w: F.lower(w["token"])), " ")
+        found = X.let(F.array_join(F.transform(t, letter), ""), spans)
+        return F.transform(found, lambda s: F.struct(s["pos"].alias("pos"), s["size"].alias("size"), cut(s).alias("chunk")))
+
+    rows = scoring.sentences(docs, id_col, text_col).select(id_col, "sent_idx", X.let(enrich.tagged("sentence"), chunks).alias("c"))
+    return W.fields(rows, [id_col, "sent_idx"], "c", "pos")
 
 
 def noun_phrases(docs: DataFrame, keywords: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
