@@ -50,9 +50,9 @@ _HERE = re.compile(r"""<<[-~]?[ ]?(["']?)([A-Za-z_][A-Za-z0-9_]*)\1""")
 _OPERATOR = re.compile(r"::|:=|=>|===?|!==?|<=|>=|\+=|=|:|\+")
 #: What a string of each quote holds, closed or not.
 _HOLDS = {"'": re.compile(r"(?:[^'\\\n]++|\\.)*+", re.S), '"': re.compile(r'(?:[^"\\\n]++|\\.)*+', re.S)}
-#: Characters of the longest value without quotes; what is longer is data, not a secret.
-LONGEST_BARE = 1_024
-_BARE = re.compile(rf"""[^\s"'`#;,)\]}}<>]{{1,{LONGEST_BARE + 1}}}""")
+#: Characters from which on values without quotes that end at one place are weighed together.
+LONG_BARE = 1_024
+_BARE = re.compile(r"""[^\s"'`#;,)\]}<>]++""")
 _HELD = re.compile(r"\$?\{([A-Za-z_][A-Za-z0-9_.]*)\}")
 _ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:-]*)(?:\s[^<>]*+)?+>([^<>]++)</")
 _FIRST_WORD = re.compile(r"^[ \t]*([A-Za-z_][A-Za-z0-9_]*)\b", re.M)
@@ -81,6 +81,29 @@ def literal_weight(value: str) -> float:
     return min(1.0, 0.4 + 0.1 * bits + 0.01 * min(len(value), 20))
 
 
+def _long_weights(text: str, nodes: list[Assignment]) -> dict[tuple[int, int], tuple[float, bool]]:
+    """For each long value without quotes its weight, by the rule of ``literal_weight``, and
+    whether it has a digit. Those that end at one place are met from the last to the
+    first, and characters counted once for all of them."""
+    by_end: dict[int, set[int]] = {}
+    for node in nodes:
+        for start, end, value, _ in node.literals:
+            if value is None:
+                by_end.setdefault(end, set()).add(start)
+    out = {}
+    for end, begins in by_end.items():
+        times, at = Counter(), end
+        for start in sorted(begins, reverse=True):
+            times.update(text[start:at])
+            at, n = start, end - start
+            letters = sum(k for c, k in times.items() if c.isascii() and c.isalnum())
+            said = text[start : start + 10].lower()
+            nothing = letters <= 16 and _fold(text[start:end]) in PLACEHOLDERS or said.startswith(("your", "example", "changeme", "${", "<"))
+            bits = -sum(k / n * math.log2(k / n) for k in times.values())
+            out[start, end] = (0.0 if nothing else min(1.0, 0.4 + 0.1 * bits + 0.2), any(times[d] for d in "0123456789"))
+    return out
+
+
 def tokens(text: str) -> list[tuple[int, int, int, str]]:
     """(kind, start, end, value) in order, without white space but line ends. A
     string's place is that of what its quotes hold. One way forward: a quote
@@ -132,7 +155,7 @@ def tokens(text: str) -> list[tuple[int, int, int, str]]:
 
 class Assignment:
     """A name with the literals and the names it is assigned: literals are
-    (start, end, value, quoted)."""
+    (start, end, value, quoted); a long value without quotes is None, and read off the text."""
 
     __slots__ = ("at", "literals", "name", "refs")
 
@@ -145,7 +168,7 @@ class _Lines:
     text, and how far the last here-document reaches."""
 
     def __init__(self, text: str):
-        self.text, self.reach, self._ends, self._words = text, 0, None, None
+        self.text, self.reach, self._ends, self._words, self._bare = text, 0, None, None, (0, 0)
 
     def end(self, at: int) -> int:
         """The next line end from ``at`` on; -1 if there is none."""
@@ -154,6 +177,13 @@ class _Lines:
         i = bisect.bisect_left(self._ends, at)
         return self._ends[i] if i < len(self._ends) else -1
 
+    def bare(self, at: int) -> int:
+        """Where the value without quotes from ``at`` on ends; a run is looked through once."""
+        if not self._bare[0] <= at < self._bare[1]:
+            m = _BARE.match(self.text, at)
+            self._bare = (at, m.end() if m else at)
+        return self._bare[1] if self._bare[0] <= at < self._bare[1] else at
+
     def word(self, word: str, at: int) -> int:
         """The next line from ``at`` on that begins with ``word``; -1 if there is none."""
         if self._words is None:
@@ -240,8 +270,8 @@ def _value(text: str, t: list, i: int, made: Assignment, key: int, lines: _Lines
             break
         elif kind == NAME and value == "$" and after[3] == "(":  # a command whose input may be a here-document
             i = stops[i + 1] - 1
-        elif joined and kind in (NAME, OTHER) and (m := _BARE.match(text, start)):
-            if m.end() == end and kind == NAME:
+        elif joined and kind in (NAME, OTHER) and (stop := lines.bare(start)) > start:
+            if stop == end and kind == NAME:
                 if after[3] in ("(", "["):
                     break  # what a call gives is not known
                 made.refs.append((value, start))
@@ -250,8 +280,7 @@ def _value(text: str, t: list, i: int, made: Assignment, key: int, lines: _Lines
                 if after[3] != "+":
                     made.literals.append((start, end, value, False))
             else:
-                if m.end() - start <= LONGEST_BARE:
-                    made.literals.append((start, m.end(), m[0], False))
+                made.literals.append((start, stop, text[start:stop] if stop - start <= LONG_BARE else None, False))
                 break
         else:
             break
@@ -297,6 +326,7 @@ def lexed(text: str) -> list[tuple[int, int, float]]:
             known.setdefault("." + node.name.rpartition(".")[2], []).append(i)
     places = {name: [nodes[i].at for i in of] for name, of in known.items()}
     weights = [name_weight(n.name) for n in nodes]
+    long = _long_weights(text, nodes)
     best: dict[tuple[int, int], float] = {}
     done = [False] * len(nodes)
     for first in sorted((i for i, w in enumerate(weights) if w > 0), key=lambda i: -weights[i]):
@@ -315,8 +345,9 @@ def lexed(text: str) -> list[tuple[int, int, float]]:
                             todo.append((j, False))
                         break
             for start, end, value, quoted in nodes[i].literals:
-                if quoted or not direct or re.search("[0-9]", value):
-                    score = weights[first] * literal_weight(value)
+                weight, digit = long[start, end] if value is None else (None, False)
+                if quoted or not direct or digit or value is not None and re.search("[0-9]", value):
+                    score = weights[first] * (literal_weight(value) if value is not None else weight)
                     if score >= THRESHOLD * 0.9:
                         best[start, end] = max(score, best.get((start, end), 0.0))
     return [(s, e, v) for (s, e), v in sorted(best.items())]
