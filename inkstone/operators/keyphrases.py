@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import patterns as P
 from ..functions import rows as W
@@ -22,13 +21,18 @@ PIECE = r"[\p{L}\p{N}]+(?:['-][\p{L}\p{N}]+)*|[^\s]"
 DECIMALS = 9
 
 
-def _tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, sent_idx, pos, run, word, term): words; those of one ``run`` have no mark between them."""
-    rows = scoring.sentences(docs, id_col, text_col).select(id_col, "sent_idx", F.posexplode(F.regexp_extract_all("sentence", F.lit(PIECE), F.lit(0))).alias("pos", "word"))
-    is_word = F.col("word").rlike(r"^[\p{L}\p{N}]")
-    order = Window.partitionBy(id_col, "sent_idx").orderBy("pos")
-    rows = rows.withColumn("run", F.count_if(~is_word).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.where(is_word).withColumn("term", F.lower("word"))
+def _words(text: Column) -> Column:
+    """(t, s, p, left, right, capital, acronym) of every word of a text, by term: ``s`` its
+    sentence, ``p`` its place there, ``left`` and ``right`` the words beside it without a mark between."""
+    piece = lambda w, p, s: F.struct(F.when(w.rlike(r"^[\p{L}\p{N}]"), F.lower(w)).alias("t"), s.alias("s"), p.alias("p"), (w.rlike(r"^\p{Lu}") & (p > 0)).alias("capital"), w.rlike(r"^\p{Lu}{2,}$").alias("acronym"))
+    pieces = F.flatten(F.transform(X.split_sentences(text), lambda x, s: F.transform(F.regexp_extract_all(x, F.lit(PIECE), F.lit(0)), lambda w, p: piece(w, p, s))))
+
+    def placed(a: Column) -> Column:
+        beside = lambda y, x: F.when(y["s"] == x["s"], y["t"])
+        of = lambda x, i: F.struct(x["t"].alias("t"), x["s"].alias("s"), x["p"].alias("p"), beside(F.get(a, i - 1), x).alias("left"), beside(F.get(a, i + 1), x).alias("right"), x["capital"].alias("capital"), x["acronym"].alias("acronym"))
+        return F.filter(F.transform(a, of), lambda x: x["t"].isNotNull())
+
+    return F.sort_array(X.let(pieces, placed))
 
 
 def _usable(term: Column) -> Column:
@@ -38,50 +42,73 @@ def _usable(term: Column) -> Column:
 
 def word_weights(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, term, n, weight) for every word of a document; a small weight is a good one."""
-    return _weights(_tokens(docs, id_col, text_col), id_col)
-
-
-def _weights(tokens: DataFrame, id_col: str) -> DataFrame:
-    order = Window.partitionBy(id_col, "sent_idx", "run").orderBy("pos")
-    capital = F.col("word").rlike(r"^\p{Lu}") & (F.col("pos") > 0)
-    acronym = F.col("word").rlike(r"^\p{Lu}{2,}$")
-    rows = tokens.withColumns({"left": F.lag("term").over(order), "right": F.lead("term").over(order), "capital": capital, "acronym": acronym})
-    words = rows.groupBy(id_col, "term").agg(
-        F.count("*").alias("n"), F.count_if("capital").alias("capitals"), F.count_if("acronym").alias("acronyms"), F.countDistinct("sent_idx").alias("sentences"), F.median("sent_idx").alias("middle"),
-        F.count("left").alias("lefts"), F.countDistinct("left").alias("left_words"), F.count("right").alias("rights"), F.countDistinct("right").alias("right_words"),
-    )
-    totals = tokens.groupBy(F.col(id_col).alias("_of")).agg((F.max("sent_idx") + 1).alias("in_all"))
-    usable = F.when(_usable(F.col("term")), F.col("n"))
-    every = Window.partitionBy(id_col)
-    words = words.join(totals, F.col(id_col) == F.col("_of")).withColumns({"most": F.max("n").over(every), "mean": F.coalesce(F.avg(usable).over(every), F.lit(0.0)), "spread": F.coalesce(F.stddev_pop(usable).over(every), F.lit(0.0))})
-    share = lambda distinct, n: F.when(F.col(n) > 0, F.col(distinct) / F.col(n)).otherwise(0.0)
-    related = 1 + (share("left_words", "lefts") + share("right_words", "rights")) * F.col("n") / F.col("most")
-    cased = F.greatest("capitals", "acronyms") / (1 + F.ln("n"))
-    frequent = F.col("n") / F.greatest(F.col("mean") + F.col("spread"), F.lit(1.0))
-    early = F.ln(F.ln(3 + F.col("middle")))
-    weight = related * early / (cased + frequent / related + F.col("sentences") / F.col("in_all") / related)
-    return words.select(id_col, "term", "n", F.round(weight, DECIMALS).alias("weight"))
+    rows = W.fields(docs.select(id_col, X.let(_words(F.col(text_col)), _weights).alias("w")), [id_col], "w", "term")
+    return rows.select(id_col, "term", F.col("n").cast("long").alias("n"), "weight")
+
+
+def _weights(words: Column) -> Column:
+    """(term, n, weight, usable, places) of each word, out of all of a document's words in their order."""
+    some = lambda p, c: F.array_compact(F.transform(p, lambda x: x[c]))
+    count = lambda p, c: F.size(F.filter(p, lambda x: x[c]))
+    share = lambda p, c: X.let(some(p, c), lambda a: F.when(F.size(a) > 0, F.size(F.array_distinct(a)) / F.size(a)).otherwise(0.0))
+    middle = lambda p: (F.get(p, F.floor((F.size(p) - 1) / 2).cast("int"))["s"] + F.get(p, F.floor(F.size(p) / 2).cast("int"))["s"]) / 2
+
+    def stats(p: Column) -> Column:
+        term, cased = F.get(p, F.lit(0))["t"], F.greatest(count(p, "capital"), count(p, "acronym")) / (1 + F.ln(F.size(p)))
+        sentences = F.size(F.array_distinct(F.transform(p, lambda x: x["s"])))
+        at = F.transform(p, lambda x: F.struct(x["s"].alias("s"), x["p"].alias("p")))
+        return F.struct(term.alias("term"), F.size(p).alias("n"), _usable(term).alias("usable"), cased.alias("cased"), sentences.alias("sentences"), F.ln(F.ln(3 + middle(p))).alias("early"), (share(p, "left") + share(p, "right")).alias("company"), at.alias("places"))
+
+    def weighed(all_: Column, n: Column, in_all: Column) -> Column:
+        mean = F.coalesce(F.try_divide(F.aggregate(n, F.lit(0.0), lambda s, x: s + x), F.size(n)), F.lit(0.0))
+        spread = lambda m: F.coalesce(F.sqrt(F.try_divide(F.aggregate(n, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)), F.size(n))), F.lit(0.0))
+        often = X.let(mean, lambda m: F.greatest(m + spread(m), F.lit(1.0)))
+
+        def weight(x: Column, most: Column, often: Column) -> Column:
+            related = 1 + x["company"] * x["n"] / most
+            return X.let(related, lambda r: F.round(r * x["early"] / (x["cased"] + x["n"] / often / r + x["sentences"] / in_all / r), DECIMALS))
+
+        row = lambda x, most, o: F.struct(x["term"].alias("term"), x["n"].alias("n"), weight(x, most, o).alias("weight"), x["usable"].alias("usable"), x["places"].alias("places"))
+        return X.let(F.struct(F.array_max(F.transform(all_, lambda x: x["n"])).alias("most"), often.alias("often")), lambda k: F.transform(all_, lambda x: row(x, k["most"], k["often"])))
+
+    counts = lambda a: F.transform(F.filter(a, lambda x: x["usable"]), lambda x: x["n"].cast("double"))
+    last = F.array_max(F.transform(words, lambda x: x["s"])) + 1
+    return X.let(scoring.runs(words, lambda x: x["t"], stats), lambda a: X.let(F.struct(counts(a).alias("n"), last.alias("last")), lambda k: weighed(a, k["n"], k["last"])))
 
 
 def phrase_weights(docs: DataFrame, longest: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, phrase, size, n, score): runs of up to ``longest`` words that begin and
-    end with usable ones; the smallest score is the best."""
-    return _phrases(docs, longest, id_col, text_col)
+    end with usable ones; the smallest score is the best. All out of a document's own row."""
+    rows = W.fields(docs.select(id_col, _phrases(F.col(text_col), longest).alias("p")), [id_col], "p", "phrase")
+    return rows.select(id_col, "phrase", "size", F.col("n").cast("long").alias("n"), "score", "at")
+
+
+def _phrases(text: Column, longest: int) -> Column:
+    """(phrase, size, n, score, at) of a text's phrases: its words, with their weights, are put
+    back in order, groups of neighbours are made of them, and equal ones are runs of a sorted array."""
+    placed = lambda x: F.transform(x["places"], lambda y: F.struct(y["s"].alias("s"), y["p"].alias("p"), x["term"].alias("t"), x["weight"].alias("w"), x["usable"].alias("u")))
+    in_order = F.sort_array(F.flatten(F.transform(X.let(_words(text), _weights), placed)))
+
+    def groups(a: Column) -> Column:
+        def of(k: int, x: Column, i: Column) -> Column:
+            parts = [x, *(F.get(a, i + j) for j in range(1, k))]
+            product, total = parts[0]["w"], parts[0]["w"]
+            for y in parts[1:]:
+                product, total = product * y["w"], total + y["w"]
+            # places in a sentence rise one by one as long as no mark or sentence lies between
+            whole = x["u"] & parts[-1]["u"] & (parts[-1]["s"] == x["s"]) & (parts[-1]["p"] == x["p"] + k - 1)
+            phrase = F.concat_ws(" ", *(y["t"] for y in parts))
+            return F.when(whole, F.struct(phrase.alias("phrase"), x["s"].alias("sent_idx"), x["p"].alias("pos"), F.lit(k).alias("size"), product.alias("product"), total.alias("sum")))
+
+        each = lambda k: lambda x, i: of(k, x, i)
+        return F.array_compact(F.concat(*(F.transform(a, each(k)) for k in range(1, longest + 1))))
 
+    def row(first: Column, n: Column) -> Column:
+        score = F.round(first["product"] / (n * (1 + first["sum"])), DECIMALS)
+        return F.struct(first["phrase"].alias("phrase"), first["size"].alias("size"), n.alias("n"), score.alias("score"), F.struct(first["sent_idx"].alias("sent_idx"), first["pos"].alias("pos")).alias("at"))
 
-def _phrases(docs: DataFrame, longest: int, id_col: str, text_col: str) -> DataFrame:
-    # dealt out by document once: words, phrases and their meeting stay in place
-    tokens = _tokens(docs.select(id_col, text_col).repartition(id_col), id_col, text_col)
-    order = Window.partitionBy(id_col, "sent_idx", "run").orderBy("pos")
-    ahead = tokens.select(id_col, "sent_idx", "pos", F.array_compact(F.array("term", *(F.lead("term", k).over(order) for k in range(1, longest)))).alias("terms"))
-    runs = ahead.select(id_col, "sent_idx", "pos", F.explode(F.transform(F.sequence(F.lit(1), F.size("terms")), lambda k: F.slice("terms", 1, k))).alias("terms"))
-    kept = runs.where(_usable(F.get("terms", F.lit(0))) & _usable(F.element_at("terms", -1)))
-    phrases = kept.groupBy(id_col, "terms").agg(F.count("*").alias("times"), F.min(F.struct("sent_idx", "pos")).alias("at"))
-    weights = _weights(tokens, id_col).select(F.col(id_col).alias("_of"), F.col("term").alias("_term"), "weight")
-    each = phrases.select(id_col, "terms", "times", "at", F.explode("terms").alias("term")).join(weights, (F.col(id_col) == F.col("_of")) & (F.col("term") == F.col("_term")))
-    found = each.groupBy(id_col, "terms").agg(F.first("times").alias("n"), F.first("at").alias("at"), F.product("weight").alias("product"), F.sum("weight").alias("sum"))
-    score = F.round(F.col("product") / (F.col("n") * (1 + F.col("sum"))), DECIMALS)
-    return found.select(id_col, F.array_join("terms", " ").alias("phrase"), F.size("terms").alias("size"), "n", score.alias("score"), "at")
+    ordered = F.sort_array(X.let(in_order, groups))
+    return scoring.runs(ordered, lambda x: x["phrase"], lambda p: row(F.get(p, F.lit(0)), F.size(p)))
 
 
 def keyphrases(docs: DataFrame, longest: int = 2, top: int = 40, least_words: int = 2, alike: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,9 +116,11 @@ def keyphrases(docs: DataFrame, longest: int = 2, top: int = 40, least_words: in
     whose edit similarity to a better one exceeds ``alike`` is left out; what
     has fewer than ``least_words`` words goes after that. Phrases of equal score
     come by first appearance, then by themselves. Null and empty texts have none."""
-    rows = _phrases(docs, longest, id_col, text_col)
-    ranked = rows.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("score", "at", "phrase", "size"))).alias("p"))
-    near = lambda a, b: 1 - F.levenshtein(a["phrase"], b["phrase"]) / F.greatest(F.length(a["phrase"]), F.length(b["phrase"])) > alike
-    kept = F.aggregate("p", F.slice("p", 1, 0), lambda s, x: F.when((F.size(s) < top) & ~F.exists(s, lambda y: near(x, y)), F.concat(s, F.array(x))).otherwise(s))
-    rows = W.numbered(ranked.select(id_col, F.filter(kept, lambda x: x["size"] >= least_words).alias("k")), [id_col], "k", "rank", "x")
+    row = lambda x: F.struct(x["score"].alias("score"), x["at"].alias("at"), x["phrase"].alias("phrase"), x["size"].alias("size"), F.length(x["phrase"]).alias("length"))
+    # a distance is no less than the difference of the lengths: most pairs are told apart by these
+    more, less = (lambda a, b: F.greatest(a["length"], b["length"])), (lambda a, b: F.least(a["length"], b["length"]))
+    near = lambda a, b: (less(a, b) / more(a, b) > alike - 1e-9) & (1 - F.levenshtein(a["phrase"], b["phrase"]) / more(a, b) > alike)
+    kept = lambda p: F.aggregate(p, F.slice(p, 1, 0), lambda s, x: F.when((F.size(s) < top) & ~F.exists(s, lambda y: near(x, y)), F.concat(s, F.array(x))).otherwise(s))
+    ranked = X.let(F.sort_array(F.transform(_phrases(F.col(text_col), longest), row)), kept)
+    rows = W.numbered(docs.select(id_col, F.filter(ranked, lambda x: x["size"] >= least_words).alias("k")), [id_col], "k", "rank", "x")
     return rows.select(id_col, "rank", "x.phrase", "x.score")

@@ -37,7 +37,7 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(id_col, F.posexplode(X.split_paragraphs(text_col, least)).alias("para_idx", "paragraph"))
 
 
-def _runs(ordered: Column, value, body) -> Column:
+def runs(ordered: Column, value, body) -> Column:
     """``body`` of each run of equal values of a sorted array. Elements are taken by
     their places: a slice would copy the whole array for each run."""
 
@@ -53,14 +53,14 @@ def term_runs(toks: Column, body) -> Column:
     occurs and its weight; ``toks`` has the terms of each sentence."""
     every = F.sort_array(F.flatten(F.transform(toks, lambda t, i: F.transform(t, lambda w: F.struct(w.alias("v"), i.alias("i"))))))
     weight = lambda p: F.ln((F.size(toks) + 1) / (F.size(F.array_distinct(F.transform(p, lambda x: x["i"]))) + 1)) + 1
-    return _runs(every, lambda x: x["v"], lambda p: X.let(weight(p), lambda w: body(p, w)))
+    return runs(every, lambda x: x["v"], lambda p: X.let(weight(p), lambda w: body(p, w)))
 
 
 def _raws(toks: Column) -> Column:
     """(sent_idx, raw) in order: mean weight of a sentence's terms in its document."""
     weights = F.flatten(term_runs(toks, lambda p, w: F.transform(p, lambda x: F.struct(x["i"].alias("i"), w.alias("w")))))
     mean = lambda p: F.aggregate(p, F.lit(0.0), lambda s, x: s + x["w"]) / F.size(p)
-    return _runs(F.sort_array(weights), lambda x: x["i"], lambda p: F.struct(F.get(p, F.lit(0))["i"].alias("sent_idx"), mean(p).alias("raw")))
+    return runs(F.sort_array(weights), lambda x: x["i"], lambda p: F.struct(F.get(p, F.lit(0))["i"].alias("sent_idx"), mean(p).alias("raw")))
 
 
 def _sentences(text: Column, separate: bool) -> Column:
