@@ -53,10 +53,10 @@ def test_features_are_made_of_neighbouring_tokens_where_they_are(spark):
 def test_key_phrases_come_out_of_one_row(spark):
     """Their words were dealt out, and once for each kind of distinct neighbours."""
     text = "Deep learning helps. Deep learning needs data centers. The data centers use data."
-    docs = spark.createDataFrame([(1, text), (1, "Other words, other words."), (2, None), (None, text)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, text), (1, "Solar panels, solar panels."), (2, None), (None, text)], "doc_id long, text string")
     for df in (keyphrases.keyphrases(docs), keyphrases.phrase_weights(docs, 3), keyphrases.word_weights(docs)):
         assert not re.search(r"\bExchange\b|\bWindow\b", plan_of(df))
     rows = keyphrases.phrase_weights(docs, 3).collect()
     first, same = ({(r.phrase, r.n, r.score) for r in rows if r.doc_id == i} for i in (1, None))
-    assert ("deep learning needs", 1) in {x[:2] for x in same} and same < first and {("other words", 2)} < {x[:2] for x in first - same}
+    assert ("deep learning needs", 1) in {x[:2] for x in same} and same < first and {("solar panels", 2)} < {x[:2] for x in first - same}
     assert not any("helps deep" in r.phrase or "the data" == r.phrase for r in rows)
