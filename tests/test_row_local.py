@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 
 from inkstone.functions import rows as W
-from inkstone.operators import enrich, extract, keyphrases, scoring
+from inkstone.operators import chain, enrich, extract, keyphrases, scoring
 from inkstone.plans import corpora as C
+from inkstone.plans import labels
 from pyspark.sql import functions as F
 
 
@@ -60,3 +61,16 @@ def test_key_phrases_come_out_of_one_row(spark):
     first, same = ({(r.phrase, r.n, r.score) for r in rows if r.doc_id == i} for i in (1, None))
     assert ("deep learning needs", 1) in {x[:2] for x in same} and same < first and {("solar panels", 2)} < {x[:2] for x in first - same}
     assert not any("helps deep" in r.phrase or "the data" == r.phrase for r in rows)
+
+
+def test_chains_are_labelled_where_their_text_is(spark, monkeypatch):
+    """Every feature of every token was a row that was dealt out; the labels are those of the joined tables."""
+    texts = ["Dr. Mary Smith of Paris met Google in May. 12 men left.", "", None, "Smith & Co", "IBM"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "sid long, sentence string")
+    weights, moves = spark.createDataFrame([*labels.WEIGHTS, ("w.lower=met", "O", 1.5), ("+2:suf2=en", "I-MISC", 4.0), ("-2:pre3=Mar", "B-ORG", 0.25)], "feature string, label string, weight double"), spark.createDataFrame(labels.MOVES, "before string, label string, weight double")
+    found = chain.text_labels(docs, weights, moves)
+    assert not re.search(r"\bExchange\b|\bWindow\b", plan_of(found))
+    tokens, rows = enrich.span_tokens(docs, "sid", "sentence"), sorted(map(tuple, found.collect()))
+    assert rows == sorted(map(tuple, chain.chain_labels(tokens, weights, moves, id_col="sid").collect()))
+    monkeypatch.setattr(chain, "BROADCAST_WEIGHTS", 1)
+    assert rows == sorted(map(tuple, chain.chain_labels(tokens, weights, moves, id_col="sid").collect())) and {r[3] for r in rows} > {"O", "B-PERSON"}
