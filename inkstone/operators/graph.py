@@ -13,11 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import rows as W
 from ..functions import text as X
 from ..stored import Stored, kept
 from . import scoring
 
 WINDOW, DAMPING, STEPS, CLOSE = 4, 0.85, 50, 1e-6
+#: Edges of a document up to which it is ranked in one row.
+IN_ROW = 200_000
 
 
 def page_rank(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -35,9 +38,22 @@ def page_rank(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray
     return score
 
 
-def rank_nodes(edges: DataFrame, sizes: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def rank_nodes(edges: DataFrame, sizes: DataFrame, id_col: str = "doc_id", in_row: int = IN_ROW) -> DataFrame:
     """(id, node, score) from edges (id, a, b, w), each given once, and (id, n).
-    Each step is a join of shares and scores and a sum by target; it is stored,
+    A document of no more than ``in_row`` edges is ranked out of one row, the
+    others by joins of tables, to the same scores."""
+    edges = kept(edges)
+    crowded = kept(edges.groupBy(F.col(id_col).alias("_of")).count().where(F.col("count") > in_row).select("_of"))
+    here = lambda df, how: df.join(crowded, F.col(id_col) == F.col("_of"), how)
+    some = not crowded.isEmpty()
+    if not some:
+        here = lambda df, how: df
+    rows = W.numbered(_ranked(here(edges, "left_anti"), here(sizes.where("n > 0"), "left_anti"), id_col), [id_col], "scores", "node", "score")
+    return rows.unionByName(_rank_by_tables(here(edges, "left_semi"), here(sizes, "left_semi"), id_col)) if some else rows
+
+
+def _rank_by_tables(edges: DataFrame, sizes: DataFrame, id_col: str) -> DataFrame:
+    """Each step is a join of shares and scores and a sum by target; it is stored,
     so that the loss of an executor costs one step. A document whose scores have
     settled is set aside and not worked on again."""
     spark = edges.sparkSession
@@ -68,7 +84,7 @@ def rank_nodes(edges: DataFrame, sizes: DataFrame, id_col: str = "doc_id") -> Da
 def _ranked(edges: DataFrame, sizes: DataFrame, id_col: str, distributed: bool = False) -> DataFrame:
     """(id, scores) from edges (id, a, b, w) and (id, n)."""
     if distributed:
-        rows = rank_nodes(edges, sizes, id_col)
+        rows = _rank_by_tables(edges, sizes, id_col)
         return rows.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "score"))), lambda x: x["score"]).alias("scores"))
     packed = edges.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("a", "b", "w"))).alias("e"))
     packed = sizes.join(packed, id_col, "left").select(id_col, "n", F.coalesce("e", F.array().cast(packed.schema["e"].dataType)).alias("e"))
@@ -106,14 +122,35 @@ def summarize_textrank(docs: DataFrame, num_sentences: int = 5, id_col: str = "d
     return rows.select(id_col, F.when(F.col("scores").isNull(), F.col("t")).otherwise(best).alias("summary"))
 
 
+def _company(window: int):
+    """Of a document's terms in order, which stand within ``window`` of one another and how
+    often: places (a, b) in the sorted distinct terms, a < b, and w, in order."""
+
+    def of(terms: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in terms:
+            known, x = np.unique(np.asarray(t, object), return_inverse=True)
+            pairs = [np.minimum(x[:-d], x[d:]) * len(known) + np.maximum(x[:-d], x[d:]) for d in range(1, min(window, len(x)))]
+            met, w = np.unique(np.concatenate(pairs) if pairs else np.zeros(0, np.int64), return_counts=True)
+            a, b = met // max(1, len(known)), met % max(1, len(known))
+            out.append((a[a < b], b[a < b], w[a < b]))
+        return pd.DataFrame(out, columns=["a", "b", "w"])
+
+    return of
+
+
+def _known_terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, t, terms): a document's terms in order, and each once, sorted."""
+    rows = docs.select(id_col, X.tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
+    return rows.select(id_col, "t", F.sort_array(F.array_distinct("t")).alias("terms"))
+
+
 def companions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(id, term_a, term_b, w): how often two different terms stand within
-    ``window`` terms of one another, term_a first by name."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(id_col, X.tokens(text).alias("t"))
-    near = F.flatten(F.transform("t", lambda a, i: F.transform(F.slice(F.col("t"), i + 2, F.lit(window - 1)), lambda b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")))))
-    pairs = rows.select(id_col, F.explode(near).alias("p")).select(id_col, "p.*").where("a <> b")
-    return pairs.groupBy(id_col, F.col("a").alias("term_a"), F.col("b").alias("term_b")).agg(F.count("*").alias("w"))
+    """(id, term_a, term_b, w): how often two different terms of a document stand within
+    ``window`` terms of one another, term_a first by name. One row's work."""
+    rows = _known_terms(docs, id_col, text_col).select(id_col, "terms", F.pandas_udf(_company(window), "a array<int>, b array<int>, w array<long>")("t").alias("c"))
+    word = lambda c: F.transform(f"c.{c}", lambda i: F.get("terms", i))
+    return W.fields(rows, [id_col], F.arrays_zip(word("a").alias("term_a"), word("b").alias("term_b"), F.col("c.w").alias("w")), "term_a")
 
 
 def term_contexts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_pairs: int = 2) -> DataFrame:
@@ -145,11 +182,12 @@ def similar_terms(docs: DataFrame, terms: DataFrame, top: int = 5, least: float
 
 def textrank_terms(docs: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, rank, term): terms by weighted rank in their company, ties by term."""
-    known = docs.select(id_col, F.array_sort(F.array_distinct(X.tokens(F.coalesce(F.col(text_col), F.lit(""))))).alias("terms")).where(F.size("terms") > 0)
-    edges = companions(docs, id_col, text_col).join(known, id_col)
-    place = lambda c: (F.array_position("terms", F.col(c)) - 1).cast("int")
-    edges = edges.select(id_col, place("term_a").alias("a"), place("term_b").alias("b"), F.col("w").cast("double").alias("w"))
-    scores = _ranked(edges, known.select(id_col, F.size("terms").alias("n")), id_col)
-    rows = scores.join(known, id_col)
-    best = F.slice(F.array_sort(F.zip_with("scores", "terms", lambda s, t: F.struct((-F.round(s, scoring.DECIMALS)).alias("by"), t.alias("term")))), 1, n)
-    return rows.select(id_col, F.posexplode(best).alias("i", "x")).select(id_col, (F.col("i") + 1).alias("rank"), F.col("x.term").alias("term"))
+    near = _company(WINDOW)
+
+    def of(terms: pd.Series) -> pd.Series:
+        edges = near(terms)
+        return pd.Series([page_rank(len(set(t)), a, b, w.astype(float)) if len(t) else [] for t, a, b, w in zip(terms, edges["a"], edges["b"], edges["w"])])
+
+    rows = _known_terms(docs, id_col, text_col).select(id_col, "terms", F.pandas_udf(of, "array<double>")("t").alias("scores"))
+    best = F.slice(F.sort_array(F.zip_with("scores", "terms", lambda s, t: F.struct((-F.round(s, scoring.DECIMALS)).alias("by"), t.alias("term")))), 1, n)
+    return W.numbered(rows, [id_col], best, "i", "x").select(id_col, (F.col("i") + 1).alias("rank"), F.col("x.term").alias("term"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from inkstone.functions import rows as W
-from inkstone.operators import chain, enrich, extract, keyphrases, scoring
+from inkstone.operators import chain, enrich, extract, graph, keyphrases, scoring
 from inkstone.plans import corpora as C
 from inkstone.plans import labels
 from pyspark.sql import functions as F
@@ -74,3 +74,27 @@ def test_chains_are_labelled_where_their_text_is(spark, monkeypatch):
     assert rows == sorted(map(tuple, chain.chain_labels(tokens, weights, moves, id_col="sid").collect()))
     monkeypatch.setattr(chain, "BROADCAST_WEIGHTS", 1)
     assert rows == sorted(map(tuple, chain.chain_labels(tokens, weights, moves, id_col="sid").collect())) and {r[3] for r in rows} > {"O", "B-PERSON"}
+
+
+def test_company_of_terms_comes_out_of_one_row(spark):
+    texts = ["alpha beta alpha gamma alpha beta", "delta", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    near, terms = graph.companions(docs), graph.textrank_terms(docs, 2)
+    for df in (near, terms):
+        assert not re.search(r"\bExchange\b|\bWindow\b", plan_of(df))
+    assert sorted(map(tuple, near.collect())) == [(0, "alpha", "beta", 5), (0, "alpha", "gamma", 3), (0, "beta", "gamma", 2)]
+    assert sorted(map(tuple, terms.collect())) == [(0, 1, "alpha"), (0, 2, "beta"), (1, 1, "delta")]
+
+
+def test_documents_of_few_edges_are_ranked_in_one_row(spark, monkeypatch):
+    """Every document took up to fifty joins; now only those of very many edges do, to the same scores."""
+    docs = spark.createDataFrame([(i, "Red cats run. Red dogs run far. Blue cats sleep. " * (i + 1)) for i in range(4)] + [(9, "One only.")], "doc_id long, text string")
+    edges, sizes = graph.similarities(docs), scoring.sentences(docs).groupBy("doc_id").agg(F.count("*").alias("n"))
+    tabled = graph._rank_by_tables
+    want = sorted((r.doc_id, r.node, round(r.score, 9)) for r in tabled(edges, sizes, "doc_id").collect())
+    asked = []
+    monkeypatch.setattr(graph, "_rank_by_tables", lambda e, s, c: asked.append(sorted(r.doc_id for r in s.collect())) or tabled(e, s, c))
+    for most, heavy in ((graph.IN_ROW, None), (20, [2, 3])):
+        asked.clear()
+        assert sorted((r.doc_id, r.node, round(r.score, 9)) for r in graph.rank_nodes(edges, sizes, in_row=most).collect()) == want
+        assert asked == ([heavy] if heavy else [])
