@@ -156,7 +156,10 @@ def companions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def term_contexts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_pairs: int = 2) -> DataFrame:
     """(term, context, x): over all documents, the positive pointwise mutual
     information of terms that stand near one another ``least_pairs`` times."""
-    pairs = companions(docs, id_col, text_col).groupBy("term_a", "term_b").agg(F.sum("w").alias("w"))
+    # counted over all documents at once, not in each of them first
+    rows = docs.select(X.tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
+    near = F.flatten(F.transform("t", lambda a, i: F.transform(F.slice(F.col("t"), i + 2, F.lit(WINDOW - 1)), lambda b: F.struct(F.least(a, b).alias("term_a"), F.greatest(a, b).alias("term_b")))))
+    pairs = W.fields(rows, [], near, "term_a").where("term_a <> term_b").groupBy("term_a", "term_b").agg(F.count("*").alias("w"))
     both = pairs.select(F.col("term_a").alias("term"), F.col("term_b").alias("context"), "w").unionByName(pairs.select(F.col("term_b").alias("term"), F.col("term_a").alias("context"), "w"))
     sums = both.groupBy("term").agg(F.sum("w").alias("d"))
     total = sums.agg(F.sum("d").alias("total"))  # one row
