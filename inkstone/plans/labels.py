@@ -47,8 +47,7 @@ _GOLD_BIO = f"""{_corpus_labels_sql(C.DOCUMENTS)}, {K._SPAN_SQL},
 
 
 def _tags(spark, sf_dir):
-    docs = C.documents(spark, sf_dir)
-    return enrich.project_bio(enrich.span_tokens(docs), chain.label_corpus(docs))
+    return chain.corpus_tags(C.documents(spark, sf_dir))
 
 
 @query(f"with {_GOLD_BIO} select doc_id, tok, token, bio from bio")
