@@ -17,7 +17,6 @@ No pair list leaves a task: each node returns a spanning forest of its links.
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 from itertools import combinations
@@ -39,11 +38,12 @@ FAN_OUT, FRONTIER = 2, 1 << 16
 WIDTH, SIMILARITY = 5, 0.8
 #: Fingerprints of a set, each of 32 bits, bits in which two may differ to meet; buckets of the projections.
 TABLES, TABLE_FLIPS, BUCKETS = 32, 2, 4_096
-#: The tables are searched in turns (first, how many): what an early turn has joined
-#: is one tree in the next, so that a large group of near copies is not linked in every table.
-TURNS = ((0, 3), (3, 29))
-#: Links up to which all of a value's links are followed; beyond, those that span.
-SMALL = 8
+#: The tables are searched in turns (first, how many, whether every link is followed): what an early
+#: turn has joined is one tree in the next, so that a large group of near copies is not linked in every table.
+TURNS = ((0, 3, False), (0, TABLES, True))
+#: Links up to which all of a value's links are followed at once; beyond, those that span. What
+#: was left out is searched again once these are settled, with so many times the links.
+SMALL, MORE = 8, 16
 #: Values of a table in a node, as planned and at most.
 TABLE_PLANNED, TABLE_MOST = 65_536, 262_144
 #: Bits apart, of all TABLES * 32, from which on a similarity of 0.8 is ruled out,
@@ -187,40 +187,59 @@ class Forest:
             up = higher
 
 
-def _node_links(most: int, small: int):
-    """Links of a node that span its components. With ``small`` they are links
-    that were found, so that they can be checked one by one, and all links of
-    values that have no more than so many; without, links to a component's root.
-    Values of one ``tree`` are joined already: only links between trees are given."""
+def _home_first(rows: pd.DataFrame, column: str) -> np.ndarray:
+    home, values = rows["home"].to_numpy(), rows[column].to_numpy()
+    return np.concatenate([values[home], values[~home]])
+
+
+def _met(values: np.ndarray, n: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all values within ``most`` bits, in batches, if one is among the first ``n``."""
+    if n:
+        index = GrayIndex(values[:n])
+        yield from index.meetings(None, most)
+        if n < len(values):
+            yield from ((v, h + n) for v, h in index.meetings(GrayIndex(values[n:]), most))
+
+
+def _node_links(most: int):
+    """Links of a node's values to the roots of their components."""
 
     def of(rows: pd.DataFrame) -> pd.DataFrame:
-        home = rows["home"].to_numpy()
-        values = np.concatenate([rows["fp"].to_numpy()[home], rows["fp"].to_numpy()[~home]]).view(np.uint64)
-        n = int(home.sum())
-        forest, met = Forest(len(values)), np.zeros(len(values), np.int64)
-        trees = np.arange(len(values))
-        if small:
-            trees = np.concatenate([rows["tree"].to_numpy()[home], rows["tree"].to_numpy()[~home]])
-            by = np.argsort(trees, kind="stable")
-            same = trees[by[1:]] == trees[by[:-1]]
-            forest.link(by[1:][same], by[:-1][same])
-        kept = [np.zeros((2, 0), np.int64)]
-        if n:
-            index = GrayIndex(values[:n])
-            for batch in itertools.chain(index.meetings(None, most), ((v, h + n) for v, h in index.meetings(GrayIndex(values[n:]), most)) if n < len(values) else ()):
-                made = forest.link(*batch)
-                if small:
-                    for end in batch:
-                        np.add.at(met, end, 1)
-                    few = ((met[batch[0]] <= small) | (met[batch[1]] <= small)) & (trees[batch[0]] != trees[batch[1]])
-                    kept += [np.stack(made), np.stack([batch[0][few], batch[1][few]])]
-        if small:
-            u, v = np.concatenate(kept, axis=1)
-        else:
-            roots = forest.roots(np.arange(len(values)))
-            u = np.nonzero(roots != np.arange(len(values)))[0]
-            v = roots[u]
-        return pd.DataFrame({"u": values[u].view(np.int64), "v": values[v].view(np.int64)})
+        values = _home_first(rows, "fp").view(np.uint64)
+        forest = Forest(len(values))
+        for batch in _met(values, int(rows["home"].sum()), most):
+            forest.link(*batch)
+        roots = forest.roots(np.arange(len(values)))
+        u = np.nonzero(roots != np.arange(len(values)))[0]
+        return pd.DataFrame({"u": values[u].view(np.int64), "v": values[roots[u]].view(np.int64)})
+
+    return of
+
+
+def _tree_links(most: int, small: int):
+    """Links of a node's values of different trees, batch by batch, to be checked one
+    by one: all links of values that have no more than ``small``, of others those that
+    span. Both ends of a link that is left out are given again as ``more``."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(batches)
+        values, trees = _home_first(rows, "fp"), _home_first(rows, "tree")
+        forest, met, left = Forest(len(values)), np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+        by = np.argsort(trees, kind="stable")
+        same = trees[by[1:]] == trees[by[:-1]]
+        forest.link(by[1:][same], by[:-1][same])
+        links = lambda u, v, more: pd.DataFrame({"u": values[u], "tree_u": trees[u], "v": values[v], "tree_v": trees[v], "more": more})
+        for u, v in _met(values.view(np.uint64), int(rows["home"].sum()), most):
+            apart = trees[u] != trees[v]
+            u, v = u[apart], v[apart]
+            made = forest.link(u, v)
+            for end in (u, v):
+                np.add.at(met, end, 1)
+            few = (met[u] <= small) | (met[v] <= small)
+            left[u[~few]] = left[v[~few]] = True
+            yield links(np.concatenate([made[0], u[few]]), np.concatenate([made[1], v[few]]), False)
+        at = np.nonzero(left)[0]
+        yield links(at, at, True)
 
     return of
 
@@ -230,12 +249,13 @@ def _flips(bits: int, most: int) -> list[tuple[int, int]]:
     return [(sum(1 << i for i in c), n) for n in range(most + 1) for c in combinations(range(bits), n)]
 
 
-def fingerprint_links(distinct: DataFrame, max_bits: int = 2, planned: int = NODE_PLANNED, most: int = NODE_MOST, tables: int = 1) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, max_bits: int = 2, planned: int = NODE_PLANNED, most: int = NODE_MOST, tables: int = 1, small: int = SMALL) -> DataFrame:
     """Edges (u, v) whose components are those of all pairs of the distinct
     values in ``distinct.fp`` that differ in at most ``max_bits`` bits. With
     ``tables`` the lowest byte of a value is the number of its table, each
-    table has a hierarchy of its own, values of different tables never link, and
-    values of one ``distinct.tree`` are known to belong together."""
+    table has a hierarchy of its own, values of different tables never link,
+    rows (fp, tree) are distinct, those of one ``tree`` are known to belong together,
+    and the links are those of ``_tree_links``."""
     count = distinct.count()
     depth = max(0, math.ceil(math.log2(max(1, count) / tables / planned)))
     table = F.col("fp").bitwiseAND(F.lit(0xFF if tables > 1 else 0).cast("long"))
@@ -262,7 +282,8 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = 2, planned: int = NOD
         full = written(full.select(F.col("node").alias("full")))
         crowded = bool(full.take(1))
         fitting = rows.join(full, F.col("node") == F.col("full"), "left_anti") if crowded else rows
-        parts.append(fitting.groupBy("node").applyInPandas(_node_links(max_bits, SMALL if tables > 1 else 0), "u long, v long"))
+        nodes = fitting.groupBy("node")
+        parts.append(nodes.applyInPandas(_tree_links(max_bits, small), "u long, tree_u long, v long, tree_v long, more boolean") if tables > 1 else nodes.applyInPandas(_node_links(max_bits), "u long, v long"))
         if not crowded:
             break
         rows = rows.join(full, F.col("node") == F.col("full"), "left_semi")
@@ -389,24 +410,59 @@ def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
     return written(moved.groupBy("node").agg(F.min("component").alias("component")))
 
 
-def _candidates(classes: DataFrame, groups: DataFrame, least: float, first: int, count: int) -> DataFrame:
+def _candidates(classes: DataFrame, groups: DataFrame, least: float, turn: tuple[int, int, bool], small: int, crowded: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """(u, v, far): class numbers, u > v, of different components, that meet in
-    one of ``count`` tables from ``first`` on, and the bits in which their
-    sketches differ. A forest for each table, never all pairs."""
+    one of a turn's tables, and the bits in which their sketches differ; beside it (fp): the
+    values some of whose links were left out, as they have more than ``small``. All links left out are
+    among these, so ``crowded``, if given, are the only values searched. A turn that does not follow
+    every link compares the first class of each value alone."""
+    first, count, every = turn
     named = groups.select(F.col("node").alias("cid"), "component")
     pieces = classes.join(named, "cid", "left").select("cid", F.coalesce("component", "cid").alias("tree"), F.explode(F.slice("bits", first + 1, count)).alias("fp"))
-    firsts = written(pieces.groupBy("fp").agg(F.min(F.struct("cid", "tree")).alias("x")).select("fp", F.col("x.cid").alias("first"), F.col("x.tree").alias("tree")))
-    same = pieces.join(firsts.select("fp", "first", F.col("tree").alias("other")), "fp").where("tree <> other").select("cid", "first")
-    links = fingerprint_links(firsts.select("fp", "tree"), TABLE_FLIPS, TABLE_PLANNED, TABLE_MOST, TABLES)
-    near = links.join(firsts.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(firsts.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v")
-    edges = same.select(F.col("cid").alias("a"), F.col("first").alias("b")).union(near.select("a", "b")).where("a <> b")
+    if crowded is not None:
+        pieces = pieces.join(crowded, "fp", "left_semi")
+    if every:
+        there = pieces
+        values = written(pieces.select("fp", "tree").distinct())
+    else:
+        there = values = written(pieces.groupBy("fp").agg(F.min(F.struct("cid", "tree")).alias("x")).select("fp", "x.cid", "x.tree"))
+    links = written(fingerprint_links(values.select("fp", "tree"), TABLE_FLIPS, TABLE_PLANNED, TABLE_MOST, TABLES, small))
+    edges = links.where("not more").distinct()
+    for end, name in (("u", "a"), ("v", "b")):
+        edges = edges.join(there.select(F.col("fp").alias(end), F.col("tree").alias(f"tree_{end}"), F.col("cid").alias(name)), [end, f"tree_{end}"])
+    edges = edges.select("a", "b")
+    if not every:
+        firsts = values.select("fp", F.col("cid").alias("b"), F.col("tree").alias("other"))
+        edges = edges.union(pieces.join(firsts, "fp").where("tree <> other").select(F.col("cid").alias("a"), "b"))
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     one, two = (classes.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "uv")
     far = F.aggregate(F.zip_with("bits_u", "bits_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
     met = edges.join(one, "u").join(two, "v").where(F.least("n_u", "n_v") >= least * F.greatest("n_u", "n_v"))
     out = written(met.select("u", "v", far.alias("far")).where(F.col("far") <= UNLIKELY))
-    forget(firsts)
-    return out
+    left = written(links.where("more").select(F.col("u").alias("fp")).distinct())
+    forget(values)
+    forget(links)
+    return out, left
+
+
+def _checked(edges: DataFrame, groups: DataFrame, classes: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """``groups`` after the edges (u, v, far) that hold. Nearest ones of each class are
+    counted on the texts first, and only as long as they would join two components."""
+    groups = _merged(groups, edges.where(F.col("far") <= CERTAIN).select(F.col("u").alias("a"), F.col("v").alias("b")))
+    open_, tried = edges.where(F.col("far") > CERTAIN), 1
+    while True:
+        open_ = _with_groups(open_, groups).withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy("far", "v")))
+        open_ = written(open_)
+        if not open_.take(1):
+            return groups
+        now = open_.where(F.col("rank") <= tried)
+        ends = now.select(F.col("u").alias("cid")).union(now.select("v")).distinct()
+        needed = classes.select("cid", "th").join(ends, "cid", "left_semi")
+        known = texts.join(needed, "th").dropDuplicates(["cid"]).select("cid", "t")
+        both = now.join(known.select(F.col("cid").alias("u"), F.col("t").alias("t1")), "u").join(known.select(F.col("cid").alias("v"), F.col("t").alias("t2")), "v")
+        linked = both.select(F.col("c_u").alias("a"), F.col("c_v").alias("b"), "t1", "t2").mapInPandas(_similar(width, least), "a long, b long")
+        groups = _merged(groups, linked)
+        open_, tried = open_.where(F.col("rank") > tried).drop("rank"), 4 * tried
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
@@ -419,31 +475,29 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     with probability 0.98, nearer ones sooner. What meets with ``CERTAIN`` bits
     of all or fewer apart links at once; other links are counted on the texts,
     the nearest of each document first, as long as they would join two components.
-    Tables come in turns, and a turn links only what earlier ones left apart.
+    Tables come in turns, and a turn links only what earlier ones left apart. The last
+    turn follows every link: what it leaves out of a crowd is searched again, with
+    what was joined so far as one tree, until nothing is left out. Sets too small
+    to be that similar to any other set are not searched.
     """
     rows = written(_keyed(docs, id_col, text_col).mapInPandas(_sketched(width), "id long, th long, k1 long, k2 long, n long, bits array<long>"))
     folded = rows.groupBy("k1", "k2").agg(F.min("id").alias("least_id"), F.min("th").alias("th"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"))
     classes = written(folded.withColumn("cid", F.monotonically_increasing_id()))
     texts = docs.select(F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"))
     groups = classes.sparkSession.createDataFrame([], "node long, component long")
-    for first, count in TURNS:
-        edges = _candidates(classes, groups, least, first, count)
-        groups = _merged(groups, edges.where(F.col("far") <= CERTAIN).select(F.col("u").alias("a"), F.col("v").alias("b")))
-        open_, tried = edges.where(F.col("far") > CERTAIN), 1
-        while True:
-            open_ = _with_groups(open_, groups).withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy("far", "v")))
-            open_ = written(open_)
-            if not open_.take(1):
+    # two different sets of which the smaller has n shingles share at most n of n + 1
+    searched = classes.where(F.col("n") * (1 - least) >= least - 1e-9)
+    for turn in TURNS:
+        small, crowded = SMALL, None
+        while small == SMALL or crowded.take(1):
+            edges, left = _candidates(searched, groups, least, turn, small, crowded)
+            groups = _checked(edges, groups, classes, texts, width, least)
+            forget(edges)
+            forget(crowded)
+            if not turn[2]:
+                forget(left)
                 break
-            now = open_.where(F.col("rank") <= tried)
-            ends = now.select(F.col("u").alias("cid")).union(now.select("v")).distinct()
-            needed = classes.select("cid", "th").join(ends, "cid", "left_semi")
-            known = texts.join(needed, "th").dropDuplicates(["cid"]).select("cid", "t")
-            both = now.join(known.select(F.col("cid").alias("u"), F.col("t").alias("t1")), "u").join(known.select(F.col("cid").alias("v"), F.col("t").alias("t2")), "v")
-            linked = both.select(F.col("c_u").alias("a"), F.col("c_v").alias("b"), "t1", "t2").mapInPandas(_similar(width, least), "a long, b long")
-            groups = _merged(groups, linked)
-            open_, tried = open_.where(F.col("rank") > tried).drop("rank"), 4 * tried
-        forget(edges)
+            small, crowded = small * MORE, left
     named = classes.join(groups, F.col("cid") == F.col("node"), "left").select("k1", "k2", "least_id", F.coalesce("component", "cid").alias("component"))
     smallest = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     chosen = written(named.join(smallest, "component").select("k1", "k2", "component_id"))

@@ -108,6 +108,39 @@ def test_similar_documents_match_brute_force(spark, sf_dir):
     assert simhash.keep_one_similar(docs.limit(0)).collect() == []
 
 
+def crowd(apart):
+    """Sixteen texts in eight similar pairs, and sketches of which all pairs meet in the first table and in no other."""
+    texts = []
+    for i in range(8):
+        words = [f"w{i}x{j}" for j in range(60)]
+        texts += [" ".join(words), " ".join([*words, "end"])]
+    place = {simhash.shingle_set(t).tobytes(): k for k, t in enumerate(texts)}
+    # two bits of their own in each table but the first: 4 bits between any two, 124 of all, which is neither certain nor unlikely
+    bits = [[(1 << k if apart else 0) if t == 0 else 3 << 2 * k for t in range(simhash.TABLES)] for k in range(len(texts))]
+    made = [np.array([b << 32 | t for t, b in enumerate(row)], np.uint64).view(np.int64) for row in bits]
+    return texts, lambda sets: np.array([made[place[s.tobytes()]] for s in sets])
+
+
+@pytest.mark.parametrize("apart", [False, True])
+def test_every_link_of_a_crowd_is_followed(spark, monkeypatch, apart):
+    """Only links of a spanning forest, and those to the first text of a value, were checked."""
+    texts, made = crowd(apart)
+    monkeypatch.setattr(simhash, "sketches", made)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.id: r.component_id for r in simhash.similar_components(docs).collect()} == {k: k - k % 2 for k in range(len(texts))}
+
+
+def test_short_texts_with_one_sketch_are_not_similar(spark):
+    seen = {}
+    for i in range(2_000):
+        value = int(simhash.shingle_set(f"word{i}")[0])
+        seen.setdefault((value % simhash.BUCKETS, value >> 63), []).append(f"word{i}")
+    one, two = next(words for words in seen.values() if len(words) > 1)[:2]
+    four = " ".join("abcdefgh")
+    docs = spark.createDataFrame([(1, one), (2, two), (3, one.upper()), (4, four), (5, four + " i")], "doc_id long, text string")
+    assert {r.id: r.component_id for r in simhash.similar_components(docs).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4}
+
+
 def test_gray_index_meets_all_pairs():
     rng = np.random.default_rng(9)
     values = np.unique(np.concatenate([rng.integers(0, 1 << 63, 300, dtype=np.uint64), rng.integers(0, 1 << 10, 200, dtype=np.uint64)]))
