@@ -237,7 +237,8 @@ def _tree_links(most: int, small: int):
                 np.add.at(met, end, 1)
             few = (met[u] <= small) | (met[v] <= small)
             left[u[~few]] = left[v[~few]] = True
-            yield links(np.concatenate([made[0], u[few]]), np.concatenate([made[1], v[few]]), False)
+            if few.any() or len(made[0]):
+                yield links(np.concatenate([made[0], u[few]]), np.concatenate([made[1], v[few]]), False)
         at = np.nonzero(left)[0]
         yield links(at, at, True)
 
