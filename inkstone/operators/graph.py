@@ -1,15 +1,18 @@
 """Rank by graph: sentences by similarity, terms by company; and terms that keep like company.
 
-Spark builds the graphs: edges are equi-joins inside a document. The power
-iteration over one document's edge list runs in an Arrow batch; ``rank_nodes``
-is the same for documents whose edges do not fit one, as joins of tables.
+A document's sentences are ranked out of its own row, without their pairs: a step
+of the power iteration goes from sentences to the terms they share and back. Of
+graphs that are given as tables, the edges of a document are ranked in an Arrow
+batch, and by joins of tables where they do not fit one (``rank_nodes``).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,9 +31,14 @@ def page_rank(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray
     source, target, weight = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w])
     degree = np.bincount(source, weight, n)
     share = weight / degree[source] if len(source) else weight
+    return _following(n, lambda score: np.bincount(target, share * score[source], n))
+
+
+def _following(n: int, spread) -> np.ndarray:
+    """The power iteration: ``spread`` passes the scores of ``n`` nodes on to their neighbours."""
     score = np.full(n, 1 / n)
     for _ in range(STEPS):
-        following = (1 - DAMPING) / n + DAMPING * np.bincount(target, share * score[source], n)
+        following = (1 - DAMPING) / n + DAMPING * spread(score)
         done = np.abs(following - score).sum() < CLOSE
         score = following
         if done:
@@ -38,6 +46,50 @@ def page_rank(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray
     return score
 
 
+def rank_by_terms(n: int, sentence: np.ndarray, term: np.ndarray) -> np.ndarray:
+    """Scores of ``n`` sentences, linked by the cosine of their term counts, from a row
+    (sentence, term) for each term. Edges are never made: work and memory grow with the terms."""
+    _, term = np.unique(term, return_inverse=True)
+    both, tf = np.unique(sentence * (len(term) + 1) + term, return_counts=True)
+    sentence, term = both // (len(term) + 1), both % (len(term) + 1)
+    weight = tf / np.sqrt(np.bincount(sentence, tf * tf, n))[sentence]
+    # terms of one sentence alone link none; without them a sentence that has no link has no weight at all
+    shared = np.bincount(term)[term] > 1
+    sentence, term, weight = sentence[shared], term[shared], weight[shared]
+    own = np.bincount(sentence, weight * weight, n)
+
+    def met(x: np.ndarray) -> np.ndarray:
+        return np.bincount(sentence, weight * np.bincount(term, weight * x[sentence])[term], n) - own * x
+
+    degree = met(np.ones(n))
+    linked = np.bincount(sentence, minlength=n) > 0
+    return _following(n, lambda score: met(np.where(linked, score / np.where(linked, degree, 1.0), 0.0)))
+
+
+def _sentence_scores(terms: Column) -> Column:
+    """The ranks of a document's sentences from the terms of each."""
+
+    def of(rows: pa.Array) -> pa.Array:
+        lists = rows.flatten()
+        code = lists.flatten().dictionary_encode()
+        code = (code.combine_chunks() if isinstance(code, pa.ChunkedArray) else code).indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes, inner = (pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (rows, lists))
+        ends, stops, out = np.cumsum([0, *sizes]), np.cumsum([0, *inner]), [np.zeros(0)]
+        for a, b in zip(ends[:-1], ends[1:]):
+            if b > a:
+                out.append(rank_by_terms(b - a, np.repeat(np.arange(b - a), inner[a:b]), code[stops[a] : stops[b]]))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out)))
+
+    return F.arrow_udf(of, "array<double>")(terms)
+
+
+def sentence_ranks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, node, score): the rank of every sentence, as ``rank_nodes`` of ``similarities``
+    finds it, out of its document's own row: nothing is dealt out, and no pair is made."""
+    rows = docs.select(id_col, _sentence_scores(F.transform(X.split_sentences(text_col), X.tokens)).alias("scores"))
+    return W.numbered(rows, [id_col], "scores", "node", "score")
+
+
 def rank_nodes(edges: DataFrame, sizes: DataFrame, id_col: str = "doc_id", in_row: int = IN_ROW) -> DataFrame:
     """(id, node, score) from edges (id, a, b, w), each given once, and (id, n).
     A document of no more than ``in_row`` edges is ranked out of one row, the
@@ -110,12 +162,15 @@ def similarities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def summarize_textrank(docs: DataFrame, num_sentences: int = 5, id_col: str = "doc_id", text_col: str = "text", distributed: bool = False) -> DataFrame:
     """(id, summary): the best-ranked sentences in document order; texts with no
-    more sentences than asked for are returned whole. ``distributed`` ranks by
-    ``rank_nodes``, for documents of very many sentences."""
+    more sentences than asked for are returned whole. All out of a document's own
+    row; ``distributed`` ranks by tables of its pairs of sentences instead."""
     sents = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("t"), X.split_sentences(text_col).alias("s"))
-    sizes = sents.select(id_col, F.size("s").alias("n")).where(F.col("n") > num_sentences)
-    scores = _ranked(similarities(docs, id_col, text_col), sizes, id_col, distributed)
-    rows = sents.join(scores, id_col, "left")
+    if distributed:
+        sizes = sents.select(id_col, F.size("s").alias("n")).where(F.col("n") > num_sentences)
+        rows = sents.join(_ranked(similarities(docs, id_col, text_col), sizes, id_col, True), id_col, "left")
+    else:
+        asked = F.when(F.size("s") > num_sentences, F.transform("s", X.tokens)).otherwise(F.array().cast("array<array<string>>"))
+        rows = sents.select(id_col, "t", "s", F.nullif(_sentence_scores(asked), F.array().cast("array<double>")).alias("scores"))
     order = F.array_sort(F.transform("scores", lambda v, i: F.struct((-F.round(v, scoring.DECIMALS)).alias("by"), i.alias("i"))))
     chosen = F.array_sort(F.transform(F.slice(order, 1, num_sentences), lambda x: x["i"]))
     best = F.array_join(F.transform(chosen, lambda i: F.get("s", i)), " ")

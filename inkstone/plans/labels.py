@@ -227,7 +227,6 @@ def similar_terms(spark, sf_dir):
 
 @query()
 def ranked_nodes(spark, sf_dir):
-    """The rank of every sentence, by joins of tables."""
-    docs = C.documents(spark, sf_dir)
-    sizes = scoring.sentences(docs).groupBy("doc_id").agg(F.count("*").alias("n"))
-    return graph.rank_nodes(graph.similarities(docs), sizes).withColumn("score", F.round("score", 6))
+    """The rank of every sentence of a document."""
+    # the order of a sum decides decimals from the fifteenth on, and so how a score like 1 / 128 is rounded
+    return graph.sentence_ranks(C.documents(spark, sf_dir)).withColumn("score", F.round(F.round("score", 12), 6))
