@@ -8,6 +8,7 @@ Phrases are counted in Arrow batches of whole documents, all words at once.
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -255,6 +256,15 @@ def within(a: str, b: str, most: int) -> int | None:
     return row[-1] if row[-1] <= most else None
 
 
+@functools.lru_cache(10_000)
+def _most_edits(length: int, alike: float) -> int:
+    """The largest distance at which two phrases, the longer of this length, are too much alike; -1 if even equal ones are not."""
+    d = max(-1, int((1 - alike) * length) + 1)
+    while d >= 0 and not 1 - d / length > alike:
+        d -= 1
+    return d
+
+
 def _best(p: Phrases, order: range, top: int, alike: float) -> list[int]:
     kept, names = [], []
     for i in order:
@@ -262,9 +272,9 @@ def _best(p: Phrases, order: range, top: int, alike: float) -> list[int]:
             break
         name = p.name(i)
         for other in names:
-            more, less = max(len(name), len(other)), min(len(name), len(other))
-            # a distance is no less than the difference of the lengths: most pairs are told apart by these
-            if less / more > alike - 1e-9 and (d := within(name, other, int((1 - alike) * more) + 1)) is not None and 1 - d / more > alike:
+            most = _most_edits(max(len(name), len(other)), alike)
+            # phrases differ, and a distance is no less than the difference of the lengths: most pairs are told apart by these
+            if most > 0 and abs(len(name) - len(other)) <= most and within(name, other, most) is not None:
                 break
         else:
             kept.append(i)
