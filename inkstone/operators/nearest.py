@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import patterns as P
 from ..functions import rows as W
 from ..functions import text as X
+from ..stored import kept
 from . import enrich, scoring
 
 #: Pieces of a sentence: numbers with their signs, words, and marks.
@@ -41,16 +42,20 @@ def nearest_facts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     words of three letters and more; facts are kept whose name has two of them.
     A number takes the word behind it along if that is a noun. Numbers and names
     are laid out on one line for each sentence, and what was last and what comes
-    next is carried along it: no number meets any other name.
+    next is carried along it: no number meets any other name. Only sentences with
+    digits are taken apart and asked what they say; names are found once, in texts with digits.
     """
+    docs = docs.where(F.col(text_col).rlike("[0-9]"))
     sentences = scoring.sentences(docs, id_col, text_col).withColumn("sid", F.struct(id_col, "sent_idx"))
+    with_digits = sentences.where(F.col("sentence").rlike("[0-9]"))
     names = enrich.entity_spans(sentences, "sid", "sentence", PIECE).select("sid", "first", "last", canonical(F.col("entity")).alias("entity")).where(F.length("entity") >= 3)
+    names = kept(names)
     places = names.select("sid", "entity").distinct().groupBy(F.col(f"sid.{id_col}").alias(id_col), "entity").agg(F.count("*").alias("in"))
     words = F.split("entity", " ")
     known = places.where((F.col("in") >= 2) | (F.size(words).between(2, 3) & F.forall(words, lambda w: F.length(w) >= 3))).select(F.col(id_col).alias("_of"), F.col("entity").alias("_name"))
     names = names.join(known, (F.col(f"sid.{id_col}") == F.col("_of")) & (F.col("entity") == F.col("_name"))).select("sid", F.col("first").alias("pos"), F.struct("entity", "first", "last").alias("name"))
     order = Window.partitionBy("sid").orderBy("pos")
-    tokens = enrich.name_tokens(sentences, "sid", "sentence", PIECE)
+    tokens = enrich.name_tokens(with_digits, "sid", "sentence", PIECE)
     behind = F.lead("word").over(order)
     follows = (F.lead("pos").over(order) == F.col("pos") + 1) & (enrich.word_class(behind) == "NOUN")
     numbers = tokens.withColumn("number", F.when(follows, F.concat_ws(" ", "word", behind)).otherwise(F.col("word"))).where(F.col("word").rlike("^[$€£]?[0-9]")).select("sid", "pos", "number")
@@ -62,7 +67,7 @@ def nearest_facts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     after = F.col("b.first") - F.col("pos")
     nearer = F.col("b").isNull() | (F.col("a").isNotNull() & (before <= after))
     facts = met.select("sid", "pos", "number", F.when(nearer, F.col("a.entity")).otherwise(F.col("b.entity")).alias("entity"), F.when(nearer, before).otherwise(after).alias("distance"))
-    said = sentences.select(F.col("sid").alias("_sid"), "sentence", F.explode(polarities("sentence")).alias("polarity"))
+    said = with_digits.select(F.col("sid").alias("_sid"), "sentence", F.explode(polarities("sentence")).alias("polarity"))
     rows = facts.join(said, F.col("sid") == F.col("_sid")).groupBy("sid", "entity", "number", "polarity").agg(F.min(F.struct("pos", "distance", "sentence")).alias("x"))
     rows = rows.select(F.col(f"sid.{id_col}").alias(id_col), F.col("sid.sent_idx").alias("sent_idx"), "x.pos", "entity", "number", "polarity", "x.distance", "x.sentence")
     return rows.withColumn("_n", F.count("*").over(Window.partitionBy(id_col, "entity"))).where("_n >= 2").drop("_n")
